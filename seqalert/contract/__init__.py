@@ -1,0 +1,6 @@
+"""Queries over the driver's tables and their check SQL."""
+
+from importlib import import_module
+
+for _part in ("sequences", "metrics"):
+    import_module(f"seqalert.contract.{_part}")

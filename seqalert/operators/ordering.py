@@ -29,6 +29,11 @@ CHUNK = 1 << 20
 HASH_DIGITS = 3
 
 
+def _numeric(df: DataFrame, col: str) -> Column:
+    kind = df.schema[col].dataType.typeName()
+    return (F.col(col).cast("timestamp") if kind in ("timestamp_ntz", "date") else F.col(col)).cast("double")
+
+
 def range_bounds(df: DataFrame, col: str, task_rows: int = TASK_ROWS) -> list[float]:
     """Inner bounds that cut ``col`` into ranges of about ``task_rows`` rows; none when one task will do."""
     rows = df.count()
@@ -36,13 +41,13 @@ def range_bounds(df: DataFrame, col: str, task_rows: int = TASK_ROWS) -> list[fl
     if parts <= 1:
         return []
     asked = [i / parts for i in range(1, parts)]
-    return sorted(set(df.select(F.col(col).cast("double").alias(col)).approxQuantile(col, asked, 1 / (4 * parts))))
+    return sorted(set(df.select(_numeric(df, col).alias(col)).approxQuantile(col, asked, 1 / (4 * parts))))
 
 
 def with_range(df: DataFrame, col: str, bounds: Sequence[float], name: str = "_range") -> DataFrame:
     """Number of the value range of ``col``; the search over the bounds runs in the JVM."""
     splits = [-float("inf"), *bounds, float("inf")]
-    asd = df.withColumn("_x", F.col(col).cast("double"))
+    asd = df.withColumn("_x", _numeric(df, col))
     out = Bucketizer(splits=splits, inputCol="_x", outputCol=name, handleInvalid="keep").transform(asd)
     return out.withColumn(name, F.col(name).cast("int")).drop("_x")
 

@@ -201,3 +201,9 @@ def token_drift(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.select(
         "token", F.coalesce("share_a", F.lit(0.0)).alias("share_a"), F.coalesce("share_b", F.lit(0.0)).alias("share_b"), where.alias("seen")
     )
+
+
+def leakage(splits: DataFrame) -> DataFrame:
+    """Traces that appear in more than one split."""
+    per = splits.groupBy("trace_id").agg((F.min("split") != F.max("split")).alias("shared"))
+    return per.agg(F.sum(F.col("shared").cast("int")).cast("bigint").alias("shared"), F.count(F.lit(1)).alias("traces"))
