@@ -2,5 +2,5 @@
 
 from importlib import import_module
 
-for _part in ("sequences", "metrics"):
+for _part in ("sequences", "metrics", "episode_queries", "sampling_queries", "abi_queries"):
     import_module(f"seqalert.contract.{_part}")

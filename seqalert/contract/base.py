@@ -75,7 +75,7 @@ CTES = {
         CASE WHEN a.attack_end < max(w) THEN CASE WHEN NOT bool_or(alert AND w = a.attack_end) THEN 0
             ELSE coalesce(min(CASE WHEN NOT alert AND w > a.attack_end THEN w END), max(w) + 1) - a.attack_end - 1 END END AS recovery
         FROM att a JOIN (SELECT alerts.*, coalesce(w BETWEEN t.attack_start AND t.attack_end, false) AS inside FROM alerts JOIN att t ON t.episode_id = alerts.trace_id) x
-        ON x.trace_id = a.episode_id GROUP BY ALL) r""",
+        ON x.trace_id = a.episode_id GROUP BY a.episode_id, a.score_file, a.attack_family, a.intended_label, a.attack_start, a.attack_end) r""",
     # Call-number tables made of the parts: one per part type.
     "amap": """SELECT abi, name, number, row_number() OVER (PARTITION BY abi, name ORDER BY k) - 1 AS ord, common, anchor FROM (
         SELECT lower(p_type) AS abi, replace(p_name, ' ', '_') || '_' || replace(p_brand, '#', '') AS name, CAST(p_partkey % 341 AS INTEGER) AS number, min(p_partkey) AS k,

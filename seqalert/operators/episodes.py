@@ -284,3 +284,11 @@ def top_failures(results: DataFrame, n: int = 12) -> DataFrame:
     slow = top("slow_detected", has & F.col("detection_delay_windows").isNotNull(), F.desc("detection_delay_windows"), F.col("episode_id"))
     false = top("benign_false_alert", ~has & F.col("had_false_alert"), F.desc("false_alert_duration_windows"), F.col("episode_id"))
     return missed.unionByName(slow).unionByName(false)
+
+
+def family_rows(scores: DataFrame, manifest: DataFrame, text: str) -> DataFrame:
+    """Score rows ``(file, ...)`` whose manifest entry names a preset containing ``text``."""
+    path = canonical_path(F.coalesce("expected_detect_file", "source_file"))
+    chosen = manifest.where(F.contains(F.lower("target_preset"), F.lit(text.lower()))).select(path.alias("_path"), "target_preset")
+    one = chosen.groupBy("_path").agg(F.min("target_preset").alias("target_preset"))
+    return scores.join(one, canonical_path(F.col("file")) == F.col("_path")).drop("_path")
