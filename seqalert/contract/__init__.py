@@ -2,5 +2,5 @@
 
 from importlib import import_module
 
-for _part in ("sequences", "metrics", "episode_queries", "sampling_queries", "abi_queries"):
+for _part in ("sequences", "metrics", "episode_queries", "sampling_queries", "abi_queries", "file_queries", "model_queries", "stream_queries"):
     import_module(f"seqalert.contract.{_part}")

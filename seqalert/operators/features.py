@@ -76,13 +76,12 @@ class _Tfidf:
 
     def with_vectors(self, windows: DataFrame, projection: "Projection | None" = None, name: str = "vec") -> DataFrame:
         """Add the dense vector of each window, or its projection."""
-        model = windows.sparkSession.sparkContext.broadcast((self._slim(), projection))
+        tfidf = self._slim()
 
         @F.pandas_udf("array<double>")
         def vectors(col: pd.Series) -> pd.Series:
-            tfidf, proj = model.value
             x = tfidf.matrix(col.tolist())
-            return pd.Series(list(x if proj is None else proj.apply(x)), index=col.index)
+            return pd.Series(list(x if projection is None else projection.apply(x)), index=col.index)
 
         return windows.withColumn(name, vectors("win"))
 
@@ -177,11 +176,9 @@ class Projection:
         return ((centred - (centred @ self.loadings) @ self.loadings.T) ** 2).mean(axis=1)
 
     def transform(self, df: DataFrame, vec: str = "vec", name: str = "projected") -> DataFrame:
-        model = df.sparkSession.sparkContext.broadcast(self)
-
         @F.pandas_udf("array<double>")
         def project(col: pd.Series) -> pd.Series:
-            return pd.Series(list(model.value.apply(stack(col))), index=col.index)
+            return pd.Series(list(self.apply(stack(col))), index=col.index)
 
         return df.withColumn(name, project(vec))
 
@@ -249,11 +246,9 @@ def sweep_features(
 
 
 def with_residual(df: DataFrame, model: Projection, vec: str = "vec", name: str = "score") -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(model)
-
     @F.pandas_udf("double")
     def residual(col: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.residual(stack(col)), index=col.index)
+        return pd.Series(model.residual(stack(col)), index=col.index)
 
     return df.withColumn(name, residual(vec))
 

@@ -56,21 +56,11 @@ class NormalScores:
         self.cols, self.points = list(cols), points
 
     def fit(self, train: DataFrame) -> "NormalScores":
-        asked = {f"q{i}": i / (self.points - 1) for i in range(self.points)}
         self.grid = {c: _grid(train, c, self.points) for c in self.cols}
         return self
 
     def transform(self, df: DataFrame, suffix: str = "_n") -> DataFrame:
-        shared = df.sparkSession.sparkContext.broadcast(self.grid)
-        out = df
-        for c in self.cols:
-
-            @F.pandas_udf("double")
-            def normal(col: pd.Series, c=c) -> pd.Series:
-                return pd.Series(_to_normal(col.to_numpy(float), shared.value[c]), index=col.index)
-
-            out = out.withColumn(f"{c}{suffix}", normal(F.col(c)))
-        return out
+        return df.withColumns({f"{c}{suffix}": _normal_column(df, self.grid[c])(F.col(c)) for c in self.cols})
 
 
 def _grid(df: DataFrame, col: str, points: int) -> np.ndarray:
@@ -92,6 +82,16 @@ def _grid(df: DataFrame, col: str, points: int) -> np.ndarray:
     return np.array([r["a"] + r["f"] * ((r["b"] if r["b"] is not None else r["a"]) - r["a"]) for r in rows])
 
 
+def _normal_column(df: DataFrame, grid: np.ndarray):
+    shared = df.sparkSession.sparkContext.broadcast(grid)
+
+    @F.pandas_udf("double")
+    def normal(col: pd.Series) -> pd.Series:
+        return pd.Series(_to_normal(col.to_numpy(float), shared.value), index=col.index)
+
+    return normal
+
+
 def _to_normal(x: np.ndarray, grid: np.ndarray) -> np.ndarray:
     refs = np.linspace(0, 1, len(grid))
     # The mean of both directions puts a tie in the middle of its quantiles.

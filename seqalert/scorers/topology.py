@@ -10,6 +10,7 @@ from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from seqalert.operators import features
 
@@ -46,5 +47,5 @@ def batch_score(df: DataFrame, make_predict_fn: Callable, batch: int = 1024, col
     """Score with an outside model: ``make_predict_fn`` loads it once per Python worker and returns a function from a
     batch matrix to one value per row."""
     length = df.select(F.size(col)).head()[0]
-    udf = predict_batch_udf(make_predict_fn, return_type="double", batch_size=batch, input_tensor_shapes=[[int(length)]])
+    udf = predict_batch_udf(make_predict_fn, return_type=DoubleType(), batch_size=batch, input_tensor_shapes=[[int(length)]])
     return df.withColumn(name, udf(F.col(col).cast("array<double>")))

@@ -58,15 +58,14 @@ def read_attack_traces(spark: SparkSession, path: str, lenient: bool = False) ->
     return read_traces(spark, path, lenient).withColumn("family", family_of_directory(F.col("folder")))
 
 
-def read_named_logs(spark: SparkSession, path: str, abi_map: DataFrame, abi: str = "x86_64", first_unknown: int = 500) -> DataFrame:
+def read_named_logs(spark: SparkSession, path: str, abi_map: DataFrame, abi: str = "x86_64", first_unknown: int = 500, glob: str = "*.log") -> DataFrame:
     """Logs of ``|``-separated call names as number tokens; unknown names get ids from ``first_unknown`` on in name
     order. ``domain`` is the parent folder."""
-    found = F.filter(F.transform(F.split("value", r"\|"), F.trim), lambda t: t != "")
-    rows = _positions(_tokens(_lines(spark, path, "*.log"), found)).withColumnRenamed("token", "name")
+    found = F.filter(F.transform(F.split("value", r"\|"), lambda t: F.trim(t)), lambda t: t != "")
+    rows = _positions(_tokens(_lines(spark, path, glob), found)).withColumnRenamed("token", "name")
     nums = abis.primary_numbers(abi_map.where(F.col("abi") == abi)).select("name", F.col("number").alias("_num"))
-    lost = ordering.cut(rows.join(nums, "name", "left_anti").select("name").distinct().withColumn("_h", F.xxhash64("name")))
-    # Distinct unknown names are numbered by name; the first order column of a numbering is numeric, so the names are
-    # ranked through their character codes.
+    lost = ordering.cut(rows.join(nums, "name", "left_anti").select("name").distinct())
+    # A numbering needs a numeric first column: the leading characters of the name as one number.
     codes = F.lit(0.0)
     for i in range(6):
         codes = codes + F.ascii(F.substring("name", i + 1, 1)) * float(256 ** (5 - i))
@@ -110,7 +109,7 @@ def list_files(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame
 def read_scores(spark: SparkSession, path: str) -> DataFrame:
     """Per-trace score records, one JSON object per line; bad lines stay in ``_corrupt_record``."""
     lines = spark.read.text(path).select(F.regexp_replace("value", "^﻿", "").alias("value")).where(F.trim("value") != "")
-    schema = schemas.SCORE_RECORD.add("_corrupt_record", "string")
+    schema = schemas.SCORE_RECORD + ", _corrupt_record string"
     parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
     return lines.select(parsed.alias("_r")).select("_r.*")
 
@@ -118,16 +117,17 @@ def read_scores(spark: SparkSession, path: str) -> DataFrame:
 def score_windows(records: DataFrame) -> DataFrame:
     """Score records as one row per window."""
     z = F.arrays_zip("path_a_scores", "path_b_scores", "path_c_scores", "phase5_probs", "phase5_positive")
-    rows = records.select("file", F.col("phase5_tau").alias("tau"), F.posexplode(z).alias("w", "_z"))
+    rows = records.select("file", F.col("phase5_tau").alias("tau"), F.coalesce("first_window", F.lit(0)).alias("_first"), F.posexplode(z).alias("w", "_z"))
     return rows.select(
-        F.col("file").alias("trace_id"), F.col("w").cast("bigint").alias("w"), "tau", F.col("_z.path_a_scores").alias("path_a"),
+        F.col("file").alias("trace_id"), (F.col("_first") + F.col("w")).alias("w"), "tau", F.col("_z.path_a_scores").alias("path_a"),
         F.col("_z.path_b_scores").alias("path_b"), F.col("_z.path_c_scores").alias("path_c"), F.col("_z.phase5_probs").alias("prob"),
         F.col("_z.phase5_positive").alias("positive"),
     )
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.schema(schemas.MANIFEST).option("multiLine", "true").json(path)
+def read_manifest(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Manifest entries of one or more documents; a large manifest is kept as one document per line."""
+    raw = spark.read.schema(schemas.MANIFEST).option("multiLine", str(multi_line).lower()).json(path)
     return raw.select(F.explode("entries").alias("_e")).select("_e.*")
 
 
