@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqalert.functions.columns import with_status
 from seqalert.operators import windows as win
 from seqalert.operators.alerts import Policy
 from seqalert.operators.episodes import build_segments, resolve_onset
@@ -140,7 +141,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """A fresh folder below the shared checkpoint folder."""
     ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/run-{uuid.uuid4().hex}"
+    return f"{spark.sparkContext.getCheckpointDir()}/run-{uuid.uuid4().hex}"
 
 
 def ev_tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -206,8 +207,7 @@ def onset(spark: SparkSession) -> DataFrame:
 
 
 def raw_episodes(spark: SparkSession, d: str) -> DataFrame:
-    n = ev_windows(spark, d).groupBy("trace_id").agg(F.count(F.lit(1)).alias("n_windows"))
-    return meta(spark, d).join(n, "trace_id").select(
+    return with_status(meta(spark, d), 20, 2).where(F.col("n_windows") > 0).select(
         F.col("trace_id").alias("episode_id"), F.concat(F.lit("scores/"), "trace_id").alias("score_file"),
         F.concat(F.lit("src/"), "trace_id").alias("source_file"), "n_windows",
         F.when(F.col("y") == 1, "malware_targeted").otherwise("benign_control").alias("intended_label"), F.col("family").alias("attack_family"),

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seqalert.contract.base import POLICY, TAU, episodes, ev_windows, meta, onset, pool, query, raw_episodes, table
-from seqalert.operators import alerts, episodes as E
+from seqalert.contract.base import POLICY, TAU, episodes, ev_windows, meta, onset, pool, query, raw_episodes, scored
+from seqalert.operators import alerts, episodes as E, ordering
 
 
-def results(s, d, size=16):
-    scores = pool(s, d).select(F.col("trace_id").alias("episode_id"), "w", "prob")
+def results(s, d, size=ordering.CHUNK):
+    scores = scored(ev_windows(s, d)).select(F.col("trace_id").alias("episode_id"), "w", "prob")
     return E.evaluate(scores, episodes(s, d), POLICY, size=size)
 
 
@@ -119,7 +119,7 @@ def _(s, d):
     "res",
 )
 def _(s, d):
-    return results(s, d)
+    return results(s, d, size=16)
 
 
 @query("win_12_recovery_delay", "SELECT episode_id, recovery AS recovery_delay_after_attack_end FROM res", "res")

@@ -111,7 +111,8 @@ def rolling(
 def alert_timeline(
     scores: DataFrame, policy: Policy, key: Sequence[str] = KEY, prob: str = "prob", size: int = ordering.CHUNK
 ) -> DataFrame:
-    """Alert state of every window under the policy: adds the rolling columns and ``alert``."""
+    """Alert state of every window under the policy: adds the rolling columns, ``alert`` and ``was_alert`` (the state one
+    window earlier). The rolling columns are computed once and checkpointed."""
     tau = policy.tau if policy.tau is not None else F.coalesce(F.col("tau"), F.lit(0.5)) if "tau" in scores.columns else 0.5
     rolled = rolling(scores, policy.rolling, tau, policy.trigger_consecutive, key, prob, size)
     mean, rate, run = F.col("rolling_mean"), F.col("rolling_rate"), F.col("rolling_run")
@@ -119,10 +120,11 @@ def alert_timeline(
     ends = clear_condition(policy, mean, rate)
     if policy.hold == 1 and policy.disjoint:
         # Triggering and clearing exclude each other, so the state is the last event that happened.
-        events = rolled.withColumn("_event", F.when(starts, 1).when(ends, 0))
-        out = ordering.carry_last(events, "_event", key, "w", "_state", size)
-        return out.withColumn("alert", F.coalesce("_state", F.lit(0)) == 1).drop("_event", "_state")
-    marked = rolled.withColumn("_starts", starts).withColumn("_ends", ends)
+        events = ordering.cut(rolled.withColumn("_event", F.when(starts, 1).when(ends, 0)))
+        out = ordering.carry_last(events, "_event", key, "w", "_state", size, previous="_before")
+        state = {n: F.coalesce(c, F.lit(0)) == 1 for n, c in (("alert", "_state"), ("was_alert", "_before"))}
+        return out.withColumns(state).drop("_event", "_state", "_before")
+    marked = ordering.cut(rolled.withColumn("_starts", starts).withColumn("_ends", ends))
     return _fold(marked, policy.hold, list(key), min(size, FOLD_CHUNK))
 
 
@@ -180,10 +182,11 @@ def _fold(marked: DataFrame, hold: int, key: list[str], size: int) -> DataFrame:
         pdf = left.sort_values("w")
         begin = int(right["_begin"].iloc[0]) if len(right) else 0
         alert, _ = _run_state(pdf["_starts"].to_numpy(bool), pdf["_ends"].to_numpy(bool), hold, begin)
-        return pdf.assign(alert=alert).drop(columns=["_starts", "_ends", "_chunk"])
+        was = np.concatenate([[begin > 0], alert[:-1]])
+        return pdf.assign(alert=alert, was_alert=was).drop(columns=["_starts", "_ends", "_chunk"])
 
     out_cols = [c for c in marked.columns if c not in ("_starts", "_ends")]
-    schema = ", ".join(f"`{c}` {types[c]}" for c in out_cols) + ", alert boolean"
+    schema = ", ".join(f"`{c}` {types[c]}" for c in out_cols) + ", alert boolean, was_alert boolean"
     grouped = chunked.groupBy(*key, "_chunk").cogroup(begins.groupBy(*key, "_chunk"))
     return grouped.applyInPandas(alerts_of, schema)
 

@@ -257,8 +257,7 @@ def bootstrap_ci(tbl: DataFrame, rounds: int = 200, level: float = 0.95, seed: i
         pos, neg = rng.poisson(pdf["pos"].to_numpy()), rng.poisson(pdf["neg"].to_numpy())
         return pdf[["replicate"]].head(1).assign(**_metrics(pos, neg))
 
-    reps = tbl.sparkSession.range(rounds).select(F.col("id").cast("int").alias("replicate"))
-    long = merged.select("score", "pos", "neg").crossJoin(F.broadcast(reps))
+    long = merged.select("score", "pos", "neg", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("replicate"))
     rows = long.groupBy("replicate").applyInPandas(replicate, "replicate int, auc double, ap double, f1 double")
     # One row per replicate.
     lo, hi = (1 - level) / 2, 1 - (1 - level) / 2

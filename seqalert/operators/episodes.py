@@ -135,7 +135,7 @@ def attack_mask(windows: DataFrame, episodes: DataFrame, key: str = "episode_id"
     """Windows with ``in_attack`` and the attack bounds. The few episode columns are repeated per chunk of windows, so
     the join spreads a long episode over its chunks."""
     slim = attack_ranges(episodes).select(
-        key, "intended_label", "attack_family", "attack_start", "attack_end", "_ranges",
+        key, "attack_start", "attack_end", "_ranges",
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"greatest(0, n_windows - 1) div {size}"))).alias("_chunk"),
     )
     chunked = windows.withColumn("_chunk", F.expr(f"w div {size}"))
@@ -145,24 +145,22 @@ def attack_mask(windows: DataFrame, episodes: DataFrame, key: str = "episode_id"
 
 
 def episode_results(timeline: DataFrame, episodes: DataFrame, key: str = "episode_id", tau: float | None = None, size: int = ordering.CHUNK) -> DataFrame:
-    """One row of timing measures per episode from ``timeline(key, w, alert)`` and
+    """One row of timing measures per episode from ``timeline(key, w, alert, was_alert)`` and
     ``episodes(key, score_file, intended_label, attack_family, n_windows, ground_truth_segments)``.
 
     The alert segments themselves are rows of ``alerts.segments(timeline, 'alert')``."""
-    masked = attack_mask(timeline.select(key, "w", "alert"), episodes, key, size)
-    # A segment starts where the window before it has no alert; one repeated row per chunk supplies that window.
-    halo = ordering.with_halo(masked, "w", 1, size)
-    prev = F.coalesce(F.lag("alert").over(Window.partitionBy(key, "_chunk").orderBy("w")), F.lit(False))
-    rows = halo.withColumn("_prev", prev).where("_own")
+    if "was_alert" not in timeline.columns:
+        # One repeated row per chunk supplies the window before its first.
+        halo = ordering.with_halo(timeline.select(key, "w", "alert"), "w", 1, size)
+        was = F.coalesce(F.lag("alert").over(Window.partitionBy(key, "_chunk").orderBy("w")), F.lit(False))
+        timeline = halo.withColumn("was_alert", was).where("_own")
+    # A segment starts where the window before it has no alert.
+    rows = attack_mask(timeline.select(key, "w", "alert", F.col("was_alert").alias("_prev")), episodes, key, size)
     on, w = F.col("alert"), F.col("w")
     count = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("bigint")
     start, end = F.col("attack_start"), F.col("attack_end")
     agg = rows.groupBy(key).agg(
         F.count(F.lit(1)).alias("n_windows"),
-        F.max("intended_label").alias("intended_label"),
-        F.max("attack_family").alias("attack_family"),
-        F.max("attack_start").alias("attack_start_window"),
-        F.max("attack_end").alias("attack_end_window"),
         F.min(F.when(on, w)).alias("first_alert_window"),
         F.min(F.when(on & F.col("in_attack"), w)).alias("first_alert_inside_attack_window"),
         count(on & F.col("in_attack")).alias("alert_time_inside_attack"),
@@ -176,6 +174,12 @@ def episode_results(timeline: DataFrame, episodes: DataFrame, key: str = "episod
         F.max(w).alias("_last"),
         F.max(F.when(w == end, on)).alias("_on_at_end"),
     )
+    # The label and bounds come from the episode table again: text in an aggregate would force a sort.
+    meta = attack_ranges(episodes).select(
+        key, "score_file", "intended_label", "attack_family", F.col("n_windows").alias("declared_n_windows"),
+        F.col("attack_start").alias("attack_start_window"), F.col("attack_end").alias("attack_end_window"),
+    )
+    agg = agg.join(meta, key)
     has = F.coalesce(F.col("intended_label") == ATTACK, F.lit(False))
     inside = F.col("first_alert_inside_attack_window")
     agg = agg.withColumn("has_attack_segment", has).withColumn("detected", has & inside.isNotNull())
@@ -186,8 +190,7 @@ def episode_results(timeline: DataFrame, episodes: DataFrame, key: str = "episod
     recovery = F.when(F.col("attack_end_window").isNull() | (F.col("attack_end_window") >= F.col("_last")), None).otherwise(
         F.when(~F.col("_on_at_end"), F.lit(0)).otherwise(F.coalesce("_first_clear", F.col("_last") + 1) - F.col("attack_end_window") - 1)
     )
-    meta = episodes.select(key, "score_file", F.col("n_windows").alias("declared_n_windows"))
-    return agg.join(meta, key).select(
+    return agg.select(
         key, "score_file", "attack_family", "intended_label", "n_windows", "declared_n_windows", "has_attack_segment",
         (F.col("window_attack_count") > 0).alias("has_attack_window_range"),
         "attack_start_window", "attack_end_window", "detected", "first_alert_window", "first_alert_inside_attack_window",
@@ -219,6 +222,7 @@ def evaluate(scores: DataFrame, episodes: DataFrame, policy: alerts.Policy, key:
 def family_realtime(results: DataFrame) -> DataFrame:
     """Recall, recall within 5/10/20 windows, delay median and P90, pre-attack false-alert rate per attack family."""
     rows = results.where("has_attack_segment").withColumn("attack_family", F.coalesce(F.nullif(F.col("attack_family"), F.lit("")), F.lit("UNKNOWN")))
+    rows = ordering.cut(rows)
     rate = lambda c: F.avg(F.col(c).cast("int"))
     out = rows.groupBy("attack_family").agg(
         F.count(F.lit(1)).alias("attack_episodes"),
@@ -236,6 +240,7 @@ def family_realtime(results: DataFrame) -> DataFrame:
 
 def realtime_summary(results: DataFrame, missing: int | Column = 0, total: int | Column | None = None) -> DataFrame:
     """Sixteen measures over all episodes as one row; a ratio over nothing is NULL."""
+    results = ordering.cut(results)
     has = F.col("has_attack_segment")
     count = lambda c: F.sum(F.when(c, 1).otherwise(0))
     total_of = lambda c, cond=None: F.sum(F.col(c) if cond is None else F.when(cond, F.col(c)).otherwise(0))
@@ -274,6 +279,7 @@ def realtime_summary(results: DataFrame, missing: int | Column = 0, total: int |
 
 def top_failures(results: DataFrame, n: int = 12) -> DataFrame:
     """Missed attacks, slowest detections and longest benign false alerts, ``n`` rows each."""
+    results = ordering.cut(results)
     cols = ["episode_id", "attack_family", "detection_delay_windows", "first_alert_window", "false_alert_duration_windows", "score_file"]
     has = F.col("has_attack_segment")
 

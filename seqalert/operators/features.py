@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqalert.operators import curves, ordering, windows as win
@@ -60,10 +60,11 @@ class _Tfidf:
         grams = windows.select("trace_id", "w", F.explode(self.grams()).alias("gram"))
         # The vocabulary has max_features rows at most.
         known = grams.join(F.broadcast(self.table.select("gram", "idx", "idf")), "gram")
-        tf = known.groupBy("trace_id", "w", "idx", "idf").agg(F.count(F.lit(1)).alias("_tf"))
-        raw = tf.withColumn("_v", (1 + F.log("_tf")) * F.col("idf"))
-        norm = raw.groupBy("trace_id", "w").agg(F.sqrt(F.sum(F.col("_v") * F.col("_v"))).alias("_norm"))
-        return raw.join(norm, ["trace_id", "w"]).select("trace_id", "w", "idx", (F.col("_v") / F.col("_norm")).alias("weight"))
+        # One shuffle by window serves both the counts and the row length.
+        tf = known.repartition("trace_id", "w").groupBy("trace_id", "w", "idx", "idf").agg(F.count(F.lit(1)).alias("_tf"))
+        v = (1 + F.log("_tf")) * F.col("idf")
+        norm = F.sqrt(F.sum(v * v).over(Window.partitionBy("trace_id", "w")))
+        return tf.select("trace_id", "w", "idx", (v / norm).alias("weight"))
 
     def matrix(self, wins: Sequence) -> np.ndarray:
         raise NotImplementedError

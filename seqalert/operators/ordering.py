@@ -25,10 +25,17 @@ TASK_ROWS = 2_000_000
 MAX_RANGES = 8192
 #: Windows per chunk for frames over a sequence.
 CHUNK = 1 << 20
+#: Most rows of a model table that is sent whole to every executor.
+SHARED_ROWS = 1_000_000
 #: First hex digits of an md5 key that form its range: 16 ** 3 ranges.
 HASH_DIGITS = 3
 
 
+def share(df: DataFrame, rows: int = SHARED_ROWS) -> DataFrame:
+    """Mark a stored table for broadcasting when it has at most ``rows`` rows; a larger one is joined by shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def _numeric(df: DataFrame, col: str) -> Column:
     kind = df.schema[col].dataType.typeName()
     return (F.col(col).cast("timestamp") if kind in ("timestamp_ntz", "date") else F.col(col)).cast("double")
@@ -186,16 +193,26 @@ def with_halo(df: DataFrame, index: str, before: int, size: int = CHUNK) -> Data
     return df.withColumn("_chunk", F.explode(F.sequence(own, last))).withColumn("_own", F.col("_chunk") == own)
 
 
-def carry_last(df: DataFrame, value: str, key: Sequence[str], index: str, name: str, size: int = CHUNK) -> DataFrame:
-    """Last non-null ``value`` up to each row of a sequence: inside the chunk, else from the chunks before."""
+def carry_last(
+    df: DataFrame, value: str, key: Sequence[str], index: str, name: str, size: int = CHUNK, previous: str | None = None
+) -> DataFrame:
+    """Last non-null ``value`` up to each row of a sequence, and up to the row before it as ``previous``: from the row's
+    chunk, else from the chunks before. ``df`` is stored or checkpointed: its longest sequence is looked up first, and
+    when one chunk holds it no chunks are needed."""
     key = list(key)
+    longest = df.agg(F.max(index)).head()[0]
+    spans = {name: 0} | ({previous: -1} if previous else {})
+    upto = lambda part, end: F.last(value, ignorenulls=True).over(part.orderBy(index).rowsBetween(Window.unboundedPreceding, end))
+    if longest is None or longest < size:
+        whole = Window.partitionBy(*key)
+        return df.select("*", *[upto(whole, end).alias(n) for n, end in spans.items()])
     chunked = df.withColumn("_chunk", F.expr(f"{index} div {size}"))
-    upto = Window.partitionBy(*key, "_chunk").orderBy(index).rowsBetween(Window.unboundedPreceding, 0)
-    local = chunked.withColumn("_last", F.last(value, ignorenulls=True).over(upto))
+    part = Window.partitionBy(*key, "_chunk")
+    local = chunked.select("*", *[upto(part, end).alias(f"_in_{n}") for n, end in spans.items()])
     at = F.when(F.col(value).isNotNull(), F.col(index))
     ends = chunked.groupBy(*key, "_chunk").agg(F.max_by(value, at).alias("_end"))
     # One row per chunk of a sequence.
     before = Window.partitionBy(*key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.select(*key, "_chunk", F.last("_end", ignorenulls=True).over(before).alias("_carried"))
-    out = local.join(ends, [*key, "_chunk"]).withColumn(name, F.coalesce("_last", "_carried"))
-    return out.select(*df.columns, name)
+    out = local.join(ends, [*key, "_chunk"])
+    return out.select(*df.columns, *[F.coalesce(f"_in_{n}", "_carried").alias(n) for n in spans])

@@ -26,7 +26,7 @@ def build(master: str | None = None, name: str = "seqalert", **conf: str) -> Spa
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's shared checkpoint folder; a private one only where none is named."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
+    if sc.getCheckpointDir():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="seqalert-checkpoint-"))
