@@ -216,7 +216,8 @@ _RULES = """, t AS (SELECT trace_id, any_value(y) AS y, avg(prob) AS prob_mean,
     rated AS (SELECT rules.bucket, p, r, k, count(CASE WHEN y = 0 AND prob_mean >= p AND pos_rate >= r AND max_consecutive >= k THEN 1 END) / max(benign)::DOUBLE AS fpr,
         count(CASE WHEN y = 1 AND prob_mean >= p AND pos_rate >= r AND max_consecutive >= k THEN 1 END) / max(attack)::DOUBLE AS tpr FROM rules JOIN t USING (bucket) JOIN sz USING (bucket) GROUP BY ALL),
     pick AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY CASE WHEN fpr <= 0.1 THEN 0 ELSE 1 END, CASE WHEN fpr <= 0.1 THEN -tpr ELSE fpr END, CASE WHEN fpr <= 0.1 THEN fpr ELSE -tpr END, p, r, k) AS o FROM rated)
-    SELECT bucket, benign, attack, CASE WHEN fpr <= 0.1 THEN 'target_met' ELSE 'target_not_met' END AS status, p AS min_prob, r AS min_rate, CAST(k AS INTEGER) AS min_run, fpr, tpr FROM pick JOIN sz USING (bucket) WHERE o = 1"""
+    SELECT bucket, benign, attack, CASE WHEN few THEN 'too_few_samples' WHEN fpr <= 0.1 THEN 'target_met' ELSE 'target_not_met' END AS status, CASE WHEN few THEN 0.6::DOUBLE ELSE p END AS min_prob, CASE WHEN few THEN 0.5::DOUBLE ELSE r END AS min_rate,
+    CAST(CASE WHEN few THEN 3 ELSE k END AS INTEGER) AS min_run, CASE WHEN NOT few THEN fpr END AS fpr, CASE WHEN NOT few THEN tpr END AS tpr FROM (SELECT *, benign < 5 OR attack = 0 AS few FROM pick JOIN sz USING (bucket) WHERE o = 1)"""
 
 
 @query("cur_19_calibrated_rules", _RULES, "pool", rounds="min_prob min_rate fpr tpr")

@@ -128,6 +128,20 @@ def _(s, d):
     return chronology.Markov(1).fit_tokens(train).score_tokens(tokens)
 
 
+@query(
+    "scr_06_markov_long_traces",
+    """, pr AS (SELECT trace_id, pos, token AS b, lag(token) OVER (PARTITION BY trace_id ORDER BY pos) AS a, count(*) OVER (PARTITION BY trace_id) AS len FROM ltok),
+    wn AS (SELECT trace_id, CAST(unnest(range(0, (len - 20) // 2 + 1)) AS BIGINT) AS w FROM (SELECT DISTINCT trace_id, len FROM pr WHERE len >= 20)),
+    bg AS (SELECT wn.trace_id, w, a, b FROM wn JOIN pr ON pr.trace_id = wn.trace_id AND pos BETWEEN 2 * w + 1 AND 2 * w + 19),
+    md AS (SELECT a, b, ln(n / sum(n) OVER (PARTITION BY a)) AS lp FROM (SELECT a, b, count(*) AS n FROM bg GROUP BY a, b))
+    SELECT trace_id, w, -sum(lp) / 19 AS score FROM bg JOIN md ON md.a = bg.a AND md.b = bg.b GROUP BY trace_id, w""",
+    "ltok", rounds="score",
+)
+def _(s, d):
+    tokens = li_tokens(s, d)
+    return chronology.Markov(1).fit_tokens(tokens).score_tokens(tokens)
+
+
 @query("scr_01_one_class_svm", rounds="score")
 def _(s, d):
     v = vectors(s, d)

@@ -15,7 +15,7 @@ EPS = 1e-8
 
 
 def score_table(
-    df: DataFrame, score: str = "score", y: str = "y", by: Sequence[str] = (), task_rows: int = ordering.TASK_ROWS
+    df: DataFrame, score: str = "score", y: str = "y", by: Sequence[str] = (), task_rows: int | None = None
 ) -> DataFrame:
     """``(by, score, pos, neg, cum_pos, cum_neg, P, N)``, cumulated from the highest score down."""
     by = list(by)
@@ -178,7 +178,7 @@ def calibrated_metrics(
     )
 
 
-def rank_percentile(df: DataFrame, cols: Sequence[str], task_rows: int = ordering.TASK_ROWS) -> DataFrame:
+def rank_percentile(df: DataFrame, cols: Sequence[str], task_rows: int | None = None) -> DataFrame:
     """Add ``<col>_pct``: average-tie rank divided by the row count, through one table of distinct values per column."""
     out = df
     for c in cols:
@@ -195,7 +195,7 @@ def savgol_weights(window: int, at: int, order: int = 2) -> np.ndarray:
     return np.linalg.pinv(np.vander(x, order + 1, increasing=True))[0]
 
 
-def best_f1_smoothed(tbl: DataFrame, task_rows: int = ordering.TASK_ROWS) -> DataFrame:
+def best_f1_smoothed(tbl: DataFrame, task_rows: int | None = None) -> DataFrame:
     """Threshold at the highest smoothed F1 over ascending thresholds: local quadratic fits of odd width
     ``min(21, max(5, n // 10 * 2 + 1))`` for ``n`` thresholds, one-sided fits at both ends, no smoothing below 5."""
     base = ordering.cut(tbl.select("score", _f1().alias("f1")))

@@ -41,9 +41,10 @@ def _numeric(df: DataFrame, col: str) -> Column:
     return (F.col(col).cast("timestamp") if kind in ("timestamp_ntz", "date") else F.col(col)).cast("double")
 
 
-def range_bounds(df: DataFrame, col: str, task_rows: int = TASK_ROWS) -> list[float]:
-    """Inner bounds that cut ``col`` into ranges of about ``task_rows`` rows; none when one task will do."""
-    rows = df.count()
+def range_bounds(df: DataFrame, col: str, task_rows: int | None = None) -> list[float]:
+    """Inner bounds that cut ``col`` into ranges of about ``task_rows`` rows (``TASK_ROWS`` by default); none when one task
+    will do."""
+    rows, task_rows = df.count(), task_rows or TASK_ROWS
     parts = min(MAX_RANGES, -(-rows // task_rows))
     if parts <= 1:
         return []
@@ -66,7 +67,7 @@ def prefix_sum(
     by: Sequence[str] = (),
     descending: bool = False,
     totals: dict[str, str] | None = None,
-    task_rows: int = TASK_ROWS,
+    task_rows: int | None = None,
 ) -> DataFrame:
     """Add running sums ``sums`` (new name -> column) in the order of ``order`` inside ``by``, and group sums
     ``totals`` (new name -> column). ``order[0]`` is numeric or a timestamp; rows come from a stored table or a
@@ -113,7 +114,7 @@ def number_rows(
     order: Sequence[str],
     by: Sequence[str] = (),
     name: str = "pos",
-    task_rows: int = TASK_ROWS,
+    task_rows: int | None = None,
 ) -> DataFrame:
     """Dense 0-based position of every row inside ``by``; ``order`` must be unique inside a group."""
     numbered = prefix_sum(df.withColumn("_one", F.lit(1)), order, {name: "_one"}, by=by, task_rows=task_rows)
@@ -157,7 +158,7 @@ def hash_rank(
 
 
 def quantiles(
-    df: DataFrame, col: str, asked: dict[str, float], by: Sequence[str] = (), task_rows: int = TASK_ROWS
+    df: DataFrame, col: str, asked: dict[str, float], by: Sequence[str] = (), task_rows: int | None = None
 ) -> DataFrame:
     """Exact linearly interpolated quantiles, one row per group, one column per entry of ``asked``.
 

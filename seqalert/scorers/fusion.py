@@ -67,10 +67,10 @@ def _grid(df: DataFrame, col: str, points: int) -> np.ndarray:
     """``points`` evenly spaced exact quantiles of a column, from its table of distinct values."""
     counts = ordering.cut(df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n")))
     run = ordering.prefix_sum(counts, ["v"], {"upto": "n"}, totals={"total": "n"})
-    # Grid points whose rank this value covers: (upto - n, upto] on the scale of ranks.
+    # Grid points whose rank lies at most one rank from those this value holds, upto - n to upto - 1.
     step = (F.col("total") - 1) / (points - 1)
-    lo = F.when(F.col("total") > 1, F.ceil((F.col("upto") - F.col("n")) / step - 1)).otherwise(0)
-    hi = F.when(F.col("total") > 1, F.floor(F.col("upto") / step + 1)).otherwise(points - 1)
+    lo = F.when(F.col("total") > 1, F.floor((F.col("upto") - F.col("n") - 1) / step)).otherwise(0)
+    hi = F.when(F.col("total") > 1, F.ceil(F.col("upto") / step)).otherwise(points - 1)
     span = F.sequence(F.greatest(F.lit(0), lo).cast("int"), F.least(F.lit(points - 1), hi).cast("int"))
     near = run.select("v", "n", "upto", "total", F.explode(span).alias("i"))
     at = F.col("i") * (F.col("total") - 1) / (points - 1)
