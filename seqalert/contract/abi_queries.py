@@ -166,7 +166,15 @@ def _(s, d):
     return abi.resolve_abi(*_job(s, d), abi_map(s, d)).select("trace_id", "n_tokens", "direction", "abi")
 
 
-@query("abi_03_conversion_report")
+# Every file of the conversion job with its tokens, direction and ABI, and the converted tokens.
+JOB = _score_sql(TCNT, "trace_id") + COVERAGE + """, nb AS (SELECT trace_id, abi FROM (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY score DESC, abi) AS r FROM sc) WHERE r = 1), nn AS (SELECT trace_id, abi FROM ti WHERE best > 0 AND tied = 1 AND known = best),
+    rs AS (SELECT c.trace_id, n AS n_tokens, CASE WHEN n % 2 = 1 THEN 'name_to_number' ELSE 'number_to_name' END AS direction, CASE WHEN n % 2 = 1 THEN nn.abi ELSE nb.abi END AS abi FROM (SELECT trace_id, count(*) AS n FROM ltok GROUP BY trace_id) c LEFT JOIN nb ON nb.trace_id = c.trace_id LEFT JOIN nn ON nn.trace_id = c.trace_id),
+    cv2 AS (SELECT rs.trace_id, rs.abi, direction, CASE WHEN direction = 'name_to_number' THEN nu.number IS NOT NULL ELSE na.name IS NOT NULL END AS known, nu.number AS number FROM rs JOIN named ON named.trace_id = rs.trace_id JOIN ltok ON ltok.trace_id = named.trace_id AND ltok.pos = named.pos
+        LEFT JOIN pnums nu ON nu.abi = rs.abi AND nu.name = named.token LEFT JOIN pnames na ON na.abi = rs.abi AND na.number = ltok.token WHERE rs.abi IS NOT NULL),
+    rp AS (SELECT rs.*, coalesce(k, 0) AS converted_tokens, coalesce(u, 0) AS unknown_tokens, CASE WHEN rs.abi IS NULL THEN 'unresolved' ELSE 'converted' END AS status FROM rs LEFT JOIN (SELECT trace_id, count(*) AS k, count(CASE WHEN NOT known THEN 1 END) AS u FROM cv2 GROUP BY trace_id) USING (trace_id))"""
+
+
+@query("abi_03_conversion_report", JOB + "SELECT trace_id, 'inbox/' || trace_id || '.txt' AS path, n_tokens, direction, abi, 'detected' AS method, NULL::VARCHAR AS error, converted_tokens, unknown_tokens, status FROM rp", "ltok", "pnames", "pnums")
 def _(s, d):
     files, tokens = _job(s, d)
     m = ordering.cut(abi_map(s, d))
@@ -187,7 +195,16 @@ def _(s, d):
     return abi.convert(files, tokens, m).select("trace_id", "pos", "token", "converted", "known")
 
 
-@query("agg_21_validated_conversion")
+@query(
+    "agg_21_validated_conversion",
+    JOB + """, rc AS (SELECT abi AS folder, number AS token, count(*) AS n FROM cv2 WHERE direction = 'name_to_number' AND known GROUP BY ALL), rm AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY n DESC, token) <= 20 AS top FROM rc),
+    rt AS (SELECT folder, sum(n) AS t, count(*) AS q, sum(CASE WHEN top THEN n ELSE 0 END) AS tt, count(CASE WHEN top THEN 1 END) AS tq FROM rm GROUP BY folder),
+    rh AS (SELECT folder, abi, sum(n) AS k, count(*) AS kq, sum(CASE WHEN top AND common THEN n ELSE 0 END) AS c, count(CASE WHEN top AND common THEN 1 END) AS cq, sum(CASE WHEN anchor THEN n ELSE 0 END) AS a FROM rm JOIN pnames ON number = token GROUP BY ALL),
+    again AS (SELECT folder, arg_min(abi, (-score, abi)) AS again FROM (SELECT rt.folder, abi, round(100 * (0.35 * c / tt::DOUBLE + 0.30 * k / t::DOUBLE + 0.20 * a / t::DOUBLE + 0.10 * cq / tq::DOUBLE + 0.05 * kq / q::DOUBLE), 3) AS score FROM rt JOIN rh USING (folder)) GROUP BY folder),
+    ck AS (SELECT abi AS folder, count(*) AS reports, count(*) AS converted, 0::BIGINT AS not_converted, 0::BIGINT AS wrong_abi, count(CASE WHEN unknown_tokens > 0 THEN 1 END) AS with_unknown, bool_and(direction = 'name_to_number') AS num FROM rp WHERE abi IS NOT NULL GROUP BY abi)
+    SELECT folder, reports, converted, not_converted, wrong_abi, with_unknown, CASE WHEN num THEN again END AS redetected_abi, with_unknown = 0 AND (NOT num OR coalesce(again = folder, false)) AS passed FROM ck LEFT JOIN again USING (folder)""",
+    "ltok", "pnames", "pnums",
+)
 def _(s, d):
     files, tokens = _job(s, d)
     m = ordering.cut(abi_map(s, d))

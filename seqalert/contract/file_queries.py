@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seqalert import schemas
-from seqalert.contract.abi_queries import _job
+from seqalert.contract.abi_queries import JOB, _job
 from seqalert.contract.base import TAU, abi_map, episodes, ev_names, ev_tokens, ev_windows, meta, pool, query, scratch, table
 from seqalert.contract.episode_queries import results
 from seqalert.operators import abi, episodes as E, ordering, sampling
@@ -120,7 +120,7 @@ def _(s, d):
     return E.attack_ranges(back).select("episode_id", "intended_label", "n_windows", "attack_start", "attack_end")
 
 
-@query("snk_04_converted_files")
+@query("snk_04_converted_files", JOB + "SELECT abi, direction, count(DISTINCT trace_id) AS files, count(*) AS tokens FROM cv2 GROUP BY abi, direction", "ltok", "pnames", "pnums")
 def _(s, d):
     path = scratch(s)
     fs, tokens = _job(s, d)

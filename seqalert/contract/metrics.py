@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from seqalert.contract.base import LABELLED, TAU, ev_tokens, labelled, pool, query, table
@@ -80,7 +81,17 @@ def _(s, d):
     return curves.best_f1(tbl(s, d))
 
 
-@query("cur_05_best_f1_smoothed", rounds="tau f1 smoothed_f1")
+def _smooth_sql() -> str:
+    """Local quadratic fits over 21 thresholds, the width for a hundred thresholds or more; weights by least squares."""
+    x = np.vander(np.arange(21), 3)
+    hat = x @ np.linalg.inv(x.T @ x) @ x.T
+    rows = ", ".join("[" + ", ".join(repr(float(v)) for v in r) + "]::DOUBLE[]" for r in hat)
+    return f""", fl AS (SELECT list(f1 ORDER BY score) AS f, list(score ORDER BY score) AS t FROM rates), ix AS (SELECT f, t, len(f) AS n, CAST(unnest(range(0, len(f))) AS INTEGER) AS i FROM fl),
+    st2 AS (SELECT f[i + 1] AS f1, t[i + 1] AS tau, i, f[least(greatest(0, i - 10), n - 21) + 1 : least(greatest(0, i - 10), n - 21) + 21] AS part, i - least(greatest(0, i - 10), n - 21) AS k0 FROM ix)
+    SELECT tau, f1, list_sum(list_transform(range(1, 22), lambda k: part[k] * ([{rows}])[k0 + 1][k])) AS smoothed_f1 FROM st2 ORDER BY smoothed_f1 DESC, i LIMIT 1"""
+
+
+@query("cur_05_best_f1_smoothed", CURVE + _smooth_sql(), rounds="tau f1 smoothed_f1")
 def _(s, d):
     return curves.best_f1_smoothed(tbl(s, d))
 

@@ -77,7 +77,12 @@ def _(s, d):
     return features.coreset(vectors(s, d), 0.05).select("cluster", "vec_id")
 
 
-@query("jn_11_nearest_to_centres")
+@query(
+    "jn_11_nearest_to_centres",
+    f""", v AS ({VEC}), c AS (SELECT label, dim, avg(x) AS m FROM v JOIN embeddings USING (vec_id) GROUP BY label, dim), d AS (SELECT vec_id, c.label, sum((x - m) * (x - m)) AS d FROM v JOIN c USING (dim) GROUP BY ALL),
+    n AS (SELECT vec_id, label, d FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, label) AS r FROM d) WHERE r = 1)
+    SELECT CAST(label AS INTEGER) AS cluster, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY d) AS r FROM n) WHERE r = 1""",
+)
 def _(s, d):
     v = vectors(s, d)
     # Ten centres: the class means.
@@ -154,7 +159,15 @@ def _(s, d):
     return frequency.IsolationForest(50, 256, keys=["vec_id"]).fit(v).score(v).select("vec_id", "score")
 
 
-@query("scr_03_lof", rounds="score")
+@query(
+    "scr_03_lof",
+    f""", v AS ({VEC}), d AS (SELECT a.vec_id AS a, b.vec_id AS b, sqrt(sum((a.x - b.x) * (a.x - b.x))) AS d FROM v a JOIN v b USING (dim) GROUP BY ALL),
+    nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS r FROM d WHERE a <> b) WHERE r <= 20), kd AS (SELECT a, max(d) AS kd FROM nn GROUP BY a),
+    lr AS (SELECT nn.a, 1 / (avg(greatest(d, kd)) + 1e-10) AS lrd FROM nn JOIN kd ON kd.a = nn.b GROUP BY nn.a),
+    qn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS r FROM d) WHERE r <= 20)
+    SELECT qn.a AS vec_id, avg(lrd) * (avg(greatest(d, kd)) + 1e-10) AS score FROM qn JOIN kd ON kd.a = qn.b JOIN lr ON lr.a = qn.b GROUP BY qn.a""",
+    rounds="score", places=5,
+)
 def _(s, d):
     v = vectors(s, d)
     return frequency.Lof(20, 1000, keys=["vec_id"]).fit(v).score(v).select("vec_id", "score")
@@ -182,7 +195,14 @@ def _(s, d):
     return chronology.Hmm(4, 3).fit(train_windows(s, d)).score(ev_windows(s, d)).select("trace_id", "w", "score")
 
 
-@query("scr_08_context_model", rounds="score")
+@query(
+    "scr_08_context_model",
+    """, cx AS (SELECT trace_id, w, i, target, o, CASE WHEN o < 5 THEN win[i - 4 + o] ELSE win[i - 3 + o] END AS near FROM (SELECT trace_id, w, win, i, win[i + 1] AS target, unnest(range(0, 10)) AS o FROM (SELECT *, unnest(range(5, 15)) AS i FROM win))),
+    tr AS (SELECT o, near, target FROM cx JOIN meta USING (trace_id) WHERE y = 0), md AS (SELECT o, near, target, count(*) AS n FROM tr GROUP BY ALL), tt AS (SELECT o, near, count(*) AS t FROM tr GROUP BY ALL),
+    p AS (SELECT trace_id, w, i, avg((coalesce(n, 0) + 0.1::DOUBLE) / (coalesce(t, 0) + 0.1::DOUBLE * (SELECT count(DISTINCT target) FROM tr))) AS p FROM cx LEFT JOIN md ON md.o = cx.o AND md.near = cx.near AND md.target = cx.target LEFT JOIN tt ON tt.o = cx.o AND tt.near = cx.near GROUP BY ALL)
+    SELECT trace_id, w, avg(-ln(p)) AS score FROM p GROUP BY trace_id, w""",
+    "win", "meta", rounds="score",
+)
 def _(s, d):
     return chronology.ContextModel(5).fit(train_windows(s, d)).score(ev_windows(s, d)).select("trace_id", "w", "score")
 

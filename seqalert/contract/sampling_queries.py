@@ -30,7 +30,12 @@ def _(s, d):
     return sampling.transition_weights(ev_windows(s, d))
 
 
-@query("smp_03_sample_by_transition")
+@query(
+    "smp_03_sample_by_transition",
+    WEIGHTS + """, dr AS (SELECT *, md5(concat_ws(':', trace_id, w, 42)) AS h FROM wt) SELECT trace_id, w, weight FROM (
+    SELECT *, row_number() OVER (ORDER BY -ln((CAST('0x' || substr(h, 1, 12) AS BIGINT)::DOUBLE + 1) / 281474976710657.0::DOUBLE) / weight, h) AS r FROM dr) WHERE r <= 500""",
+    "win", rounds="weight", places=9,
+)
 def _(s, d):
     return sampling.sample_by_transition(ev_windows(s, d), 500).select("trace_id", "w", "weight")
 

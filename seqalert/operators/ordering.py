@@ -3,8 +3,7 @@
 A group (a trace, a class, one score column) may hold a large share of all rows, so nothing here sorts a
 group as one unit. Three shapes cover every ordered operator of the package:
 
-* ``prefix_sum`` splits the order into value ranges, sums inside each range and adds the totals of the
-  ranges before it;
+* ``prefix_sum`` splits the order into ranges, sums inside each range and adds the totals of the ranges before it;
 * ``hash_rank`` does the same for a seeded random order, where the ranges are known beforehand;
 * ``with_halo`` cuts a densely numbered sequence into chunks that repeat the few rows a frame looks back on.
 """
@@ -13,7 +12,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +19,8 @@ from seqalert.session import cut
 
 #: Rows one task may sort. Below it one plain window is cheaper than splitting.
 TASK_ROWS = 2_000_000
-#: Most value ranges a prefix sum makes; their bounds are the only thing brought to the driver.
-MAX_RANGES = 8192
+#: Most ranges a prefix sum makes.
+MAX_RANGES = 100_000
 #: Windows per chunk for frames over a sequence.
 CHUNK = 1 << 20
 #: Most rows of a model table that is sent whole to every executor.
@@ -36,30 +34,6 @@ def share(df: DataFrame, rows: int = SHARED_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def _numeric(df: DataFrame, col: str) -> Column:
-    kind = df.schema[col].dataType.typeName()
-    return (F.col(col).cast("timestamp") if kind in ("timestamp_ntz", "date") else F.col(col)).cast("double")
-
-
-def range_bounds(df: DataFrame, col: str, task_rows: int | None = None) -> list[float]:
-    """Inner bounds that cut ``col`` into ranges of about ``task_rows`` rows (``TASK_ROWS`` by default); none when one task
-    will do."""
-    rows, task_rows = df.count(), task_rows or TASK_ROWS
-    parts = min(MAX_RANGES, -(-rows // task_rows))
-    if parts <= 1:
-        return []
-    asked = [i / parts for i in range(1, parts)]
-    return sorted(set(df.select(_numeric(df, col).alias(col)).approxQuantile(col, asked, 1 / (4 * parts))))
-
-
-def with_range(df: DataFrame, col: str, bounds: Sequence[float], name: str = "_range") -> DataFrame:
-    """Number of the value range of ``col``; the search over the bounds runs in the JVM."""
-    splits = [-float("inf"), *bounds, float("inf")]
-    asd = df.withColumn("_x", _numeric(df, col))
-    out = Bucketizer(splits=splits, inputCol="_x", outputCol=name, handleInvalid="keep").transform(asd)
-    return out.withColumn(name, F.col(name).cast("int")).drop("_x")
-
-
 def prefix_sum(
     df: DataFrame,
     order: Sequence[str],
@@ -69,38 +43,38 @@ def prefix_sum(
     totals: dict[str, str] | None = None,
     task_rows: int | None = None,
 ) -> DataFrame:
-    """Add running sums ``sums`` (new name -> column) in the order of ``order`` inside ``by``, and group sums
-    ``totals`` (new name -> column). ``order[0]`` is numeric or a timestamp; rows come from a stored table or a
-    checkpoint, because the range bounds need a pass of their own."""
-    totals = totals or {}
-    by = list(by)
-    bounds = range_bounds(df, order[0], task_rows)
+    """Add running sums ``sums`` (new name -> column) in the order of ``order`` inside ``by``, and group sums ``totals`` (new
+    name -> column). ``order`` is unique inside a group. ``df`` is a stored table or a checkpoint, because it is counted
+    first: up to ``task_rows`` rows (``TASK_ROWS`` by default) one plain window does; above, the rows are cut into ranges of
+    about that size. The rows are checkpointed with the number of their range before any sum is taken, so that it cannot
+    change when an executor is lost."""
+    totals, by, task_rows = totals or {}, list(by), task_rows or TASK_ROWS
     sort = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
-    if not bounds:
+    parts = min(MAX_RANGES, -(-df.count() // task_rows))
+    if parts <= 1:
         group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
         upto = group.orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0)
         out = df.select("*", *[F.sum(c).over(upto).alias(n) for n, c in sums.items()])
         return out.select("*", *[F.sum(c).over(group).alias(n) for n, c in totals.items()])
 
-    cut_df = with_range(df, order[0], bounds)
+    ranged = df.repartitionByRange(parts, *[F.col(b) for b in by], *sort)
+    ranged = cut(ranged.withColumn("_range", F.spark_partition_id()))
     used = sorted({*sums.values(), *totals.values()})
-    per_range = cut_df.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_s_{c}") for c in used])
+    per_range = ranged.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_s_{c}") for c in used])
     # One row per range and group: at most MAX_RANGES rows per group.
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    ranges = group.orderBy(F.col("_range").desc() if descending else F.col("_range"))
-    before = ranges.rowsBetween(Window.unboundedPreceding, -1)
+    before = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     per_range = per_range.select(
         *by,
         "_range",
         *[F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_before_{n}") for n, c in sums.items()],
         *[F.sum(f"_s_{c}").over(group).alias(n) for n, c in totals.items()],
     )
-    keys = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*by, "_range"]]
-    cond = keys[0]
-    for k in keys[1:]:
-        cond = cond & k
+    cond = F.col("l._range") == F.col("r._range")
+    for b in by:
+        cond = cond & F.col(f"l.{b}").eqNullSafe(F.col(f"r.{b}"))
     inner = Window.partitionBy(*by, "_range").orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0)
-    local = cut_df.select("*", *[F.sum(c).over(inner).alias(f"_in_{n}") for n, c in sums.items()])
+    local = ranged.select("*", *[F.sum(c).over(inner).alias(f"_in_{n}") for n, c in sums.items()])
     joined = local.alias("l").join(per_range.alias("r"), cond)
     return joined.select(
         *[F.col(f"l.{c}") for c in df.columns],

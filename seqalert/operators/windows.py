@@ -16,7 +16,7 @@ PACK = 4096
 def tokens_from(
     df: DataFrame, trace: str | Column, order_cols: Sequence[str], token: str | Column, task_rows: int | None = None
 ) -> DataFrame:
-    """Any table as a token stream ``(trace_id, pos, token)``; ``order_cols[0]`` is numeric or a timestamp."""
+    """Any table as a token stream ``(trace_id, pos, token)``; ``order_cols`` are unique inside a trace."""
     trace = F.col(trace) if isinstance(trace, str) else trace
     token = F.col(token) if isinstance(token, str) else token
     rows = df.select(

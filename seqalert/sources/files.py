@@ -65,11 +65,7 @@ def read_named_logs(spark: SparkSession, path: str, abi_map: DataFrame, abi: str
     rows = _positions(_tokens(_lines(spark, path, glob), found)).withColumnRenamed("token", "name")
     nums = abis.primary_numbers(abi_map.where(F.col("abi") == abi)).select("name", F.col("number").alias("_num"))
     lost = ordering.cut(rows.join(nums, "name", "left_anti").select("name").distinct())
-    # A numbering needs a numeric first column: the leading characters of the name as one number.
-    codes = F.lit(0.0)
-    for i in range(6):
-        codes = codes + F.ascii(F.substring("name", i + 1, 1)) * float(256 ** (5 - i))
-    ids = ordering.number_rows(lost.withColumn("_code", codes), ["_code", "name"], name="_id")
+    ids = ordering.number_rows(lost, ["name"], name="_id")
     ids = ids.select("name", (F.col("_id") + first_unknown).cast("int").alias("_new"))
     out = rows.join(nums, "name", "left").join(ids, "name", "left")
     return out.select("trace_id", "stem", F.col("folder").alias("domain"), "pos", "name", F.coalesce("_num", "_new").cast("int").alias("token"))
