@@ -94,16 +94,15 @@ def _(s, d):
 
 @query(
     "jn_12_knn",
-    f""", v AS ({VEC}), d AS (SELECT a.vec_id, b.vec_id AS other, sqrt(sum((a.x - b.x) * (a.x - b.x))) AS distance FROM v a JOIN v b USING (dim) GROUP BY ALL)
+    f""", v AS ({VEC}), d AS (SELECT a.vec_id, b.vec_id AS other, sqrt(sum((a.x - b.x) * (a.x - b.x))) AS distance FROM v a JOIN v b USING (dim) WHERE b.vec_id IN (SELECT vec_id FROM embeddings ORDER BY md5(concat_ws(':', vec_id, 42)) LIMIT 300) GROUP BY ALL)
     SELECT vec_id, place, other, distance FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, other) - 1 AS place FROM d) WHERE place < 5""",
     rounds="distance", places=5,
 )
 def _(s, d):
     v = vectors(s, d)
-    # The training side is a model-sized sample; this table is smaller than it.
-    train = v.orderBy("vec_id").limit(5000).collect()
+    # The training side is a seeded sample of model size.
+    train = frequency.hash_sample(v, 300, 42, ["vec_id"]).collect()
     near = frequency.knn(v, np.array([r["vec"] for r in train]), 5)
-    ids = F.array(*[F.lit(r["vec_id"]) for r in train])
     rows = near.select("vec_id", F.posexplode(F.arrays_zip("knn.distances", "knn.indices")).alias("place", "_n"))
     names = s.createDataFrame([(i, r["vec_id"]) for i, r in enumerate(train)], "i int, other bigint")
     out = rows.join(names, F.col("_n.indices") == F.col("i"))
@@ -161,8 +160,9 @@ def _(s, d):
 
 @query(
     "scr_03_lof",
-    f""", v AS ({VEC}), d AS (SELECT a.vec_id AS a, b.vec_id AS b, sqrt(sum((a.x - b.x) * (a.x - b.x))) AS d FROM v a JOIN v b USING (dim) GROUP BY ALL),
-    nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS r FROM d WHERE a <> b) WHERE r <= 20), kd AS (SELECT a, max(d) AS kd FROM nn GROUP BY a),
+    f""", v AS ({VEC}), tr AS (SELECT vec_id FROM embeddings ORDER BY md5(concat_ws(':', vec_id, 42)) LIMIT 300),
+    d AS (SELECT a.vec_id AS a, b.vec_id AS b, sqrt(sum((a.x - b.x) * (a.x - b.x))) AS d FROM v a JOIN v b USING (dim) WHERE b.vec_id IN (SELECT vec_id FROM tr) GROUP BY ALL),
+    nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS r FROM d WHERE a <> b AND a IN (SELECT vec_id FROM tr)) WHERE r <= 20), kd AS (SELECT a, max(d) AS kd FROM nn GROUP BY a),
     lr AS (SELECT nn.a, 1 / (avg(greatest(d, kd)) + 1e-10) AS lrd FROM nn JOIN kd ON kd.a = nn.b GROUP BY nn.a),
     qn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS r FROM d) WHERE r <= 20)
     SELECT qn.a AS vec_id, avg(lrd) * (avg(greatest(d, kd)) + 1e-10) AS score FROM qn JOIN kd ON kd.a = qn.b JOIN lr ON lr.a = qn.b GROUP BY qn.a""",
@@ -170,7 +170,7 @@ def _(s, d):
 )
 def _(s, d):
     v = vectors(s, d)
-    return frequency.Lof(20, 1000, keys=["vec_id"]).fit(v).score(v).select("vec_id", "score")
+    return frequency.Lof(20, 300, keys=["vec_id"]).fit(v).score(v).select("vec_id", "score")
 
 
 @query("scr_04_pca_error", rounds="score")
