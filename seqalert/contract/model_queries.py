@@ -127,7 +127,7 @@ def _(s, d):
 
 @query("scr_06_markov_streams", MARKOV + "SELECT trace_id, w, -sum(coalesce(lp, -10)) / 19 AS score FROM bg LEFT JOIN md ON md.a = bg.a AND md.b = bg.b GROUP BY trace_id, w", "win", "meta", rounds="score")
 def _(s, d):
-    tokens = ev_tokens(s, d)
+    tokens = ordering.cut(ev_tokens(s, d))
     train = tokens.join(meta(s, d).where(F.col("y") == 0).select("trace_id"), "trace_id", "left_semi")
     return chronology.Markov(1).fit_tokens(train).score_tokens(tokens)
 
@@ -142,7 +142,7 @@ def _(s, d):
     "ltok", rounds="score",
 )
 def _(s, d):
-    tokens = li_tokens(s, d)
+    tokens = ordering.cut(li_tokens(s, d))
     return chronology.Markov(1).fit_tokens(tokens).score_tokens(tokens)
 
 

@@ -156,16 +156,15 @@ def quantiles(
     return out.select(*by, *cols)
 
 
-def with_halo(df: DataFrame, index: str, before: int, size: int = CHUNK) -> DataFrame:
-    """Add ``_chunk`` and ``_own``: a row belongs to chunk ``index div size`` and is repeated in the next chunk
-    when a frame of ``before`` earlier rows there looks back on it."""
-    if before >= size:
-        raise ValueError("a chunk must be longer than the frame")
+def with_halo(df: DataFrame, index: str, before: int, size: int = CHUNK, after: int = 0) -> DataFrame:
+    """Add ``_chunk`` and ``_own``: a row belongs to chunk ``index div size`` and is repeated in the chunks whose frames look
+    back on it over ``before`` rows or ahead to it over ``after`` rows."""
     own = F.expr(f"{index} div {size}")
-    if before == 0:
+    if before == 0 and after == 0:
         return df.withColumn("_chunk", own).withColumn("_own", F.lit(True))
+    first = F.expr(f"greatest(0, {index} - {after}) div {size}") if after else own
     last = F.expr(f"({index} + {before}) div {size}")
-    return df.withColumn("_chunk", F.explode(F.sequence(own, last))).withColumn("_own", F.col("_chunk") == own)
+    return df.withColumn("_chunk", F.explode(F.sequence(first, last))).withColumn("_own", F.col("_chunk") == own)
 
 
 def carry_last(
