@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seqalert.contract.base import LABELLED, TAU, ev_windows, labelled, meta, pool, query, table
+from seqalert.contract.base import LABELLED, ev_windows, labelled, meta, pool, query, table
 from seqalert.contract.metrics import AUC, CONF, CONF_COLS, curve_sql
 from seqalert.operators import ordering, sampling
 

@@ -7,7 +7,6 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
     LinearSVC,
@@ -17,12 +16,11 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqalert.operators import curves, ordering
-from seqalert.operators.features import stack
 from seqalert.scorers.frequency import IsolationForest, add_score
 
 PATHS = ("path_a", "path_b", "path_c")
