@@ -78,17 +78,14 @@ class Tables:
         self.codes = codes
         self.tables = []
         for s in range(codes.shape[1]):
-            order = np.argsort(codes[:, s], kind="stable")
-            value, first = np.unique(codes[order, s], return_index=True)
-            self.tables.append((order, value, np.append(first, len(order))))
+            self.tables.append(np.unique(codes[:, s], return_inverse=True))  # buckets, and the bucket of each row
 
     def within(self, query: np.ndarray, radius: int) -> np.ndarray:
         """Rows whose code lies within ``radius`` of ``query``."""
         hit = np.zeros(len(self.codes), bool)
         step = radius // self.codes.shape[1]
-        for s, (order, value, first) in enumerate(self.tables):
-            for b in np.flatnonzero(np.bitwise_count(value ^ query[s]) <= step):
-                hit[order[first[b] : first[b + 1]]] = True
+        for s, (value, bucket) in enumerate(self.tables):
+            hit |= (np.bitwise_count(value ^ query[s]) <= step)[bucket]
         rows = np.flatnonzero(hit)
         return rows[np.bitwise_count(self.codes[rows] ^ query).sum(1) <= radius]
 
