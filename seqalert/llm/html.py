@@ -241,9 +241,10 @@ class TreeModel:
         return "\n".join(x for x in lines if x)
 
 
-def labelled(nodes: list[Node]) -> list[bool] | None:
+def labelled(nodes: list[Node]) -> list[bool | None] | None:
     """Labels of the elements of a page that marks its content: by ``data-keep`` where it is given, else by an article or main
-    element outside the parts around it. None for a page that marks nothing."""
+    element outside the parts around it. What such an element holds under a class or id is unknown (None), as comments
+    or adverts may stand there. None for a page that marks nothing."""
     label: list = [None] * len(nodes)
     marked = [_KEEP.search(n.attrs) for n in nodes]
     if any(marked):
@@ -252,14 +253,19 @@ def labelled(nodes: list[Node]) -> list[bool] | None:
     else:
         for i, n in enumerate(nodes):
             above = label[n.parent] if i else None
-            label[i] = False if n.tag in AROUND else above if above is not None else True if n.tag in CORE else None
+            if n.tag in AROUND:
+                label[i] = False
+            elif above is True and len(described(n)) > 1:
+                label[i] = "unknown"
+            else:
+                label[i] = above if above is not None else True if n.tag in CORE else None
         if True not in label:
             return None
     out = [x is True for x in label]
     for i in range(len(nodes) - 1, 0, -1):  # what holds content and is not marked is part of its way up
         if out[i] and label[nodes[i].parent] is None:
             out[nodes[i].parent] = True
-    return out
+    return [None if x == "unknown" else y for x, y in zip(label, out)]
 
 
 def skeletons() -> Iterator[str]:
@@ -297,13 +303,15 @@ def fit(pages: Iterable[str]) -> TreeModel:
         if label is None:
             continue
         for node, look, y in zip(nodes[1:], seen(nodes)[1:], label[1:]):
+            if y is None:
+                continue
             looks[y][look] += 1
             if label[node.parent]:
                 told[described(node), y] += 1
     every = set(looks[True]) | set(looks[False])
     total = {y: sum(c.values()) + len(every) for y, c in looks.items()}
-    # The square root holds back evidence that an element shares with those around it.
-    evidence = {x: float(np.sqrt(((looks[True][x] + 1) / total[True]) / ((looks[False][x] + 1) / total[False]))) for x in every}
+    # The root holds back evidence that an element shares with those around it.
+    evidence = {x: float(np.power(((looks[True][x] + 1) / total[True]) / ((looks[False][x] + 1) / total[False]), 0.25)) for x in every}
     names = sorted({x for f, _ in told for x in f})
     at = {x: i for i, x in enumerate(names)}
     row = np.repeat(np.arange(len(told)), [len(f) for f, _ in told])
