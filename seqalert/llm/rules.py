@@ -120,10 +120,10 @@ def ablation(book: DataFrame, policies: Mapping[str, list[str]] = POLICIES) -> D
     by_bits = book.groupBy("failed").agg(F.count(F.lit(1)).alias("n"))
     cases = [(v, r, mask([r]), mask(rules)) for v, rules in policies.items() for r in rules]
     case = F.explode(F.array(*[F.struct(F.lit(v).alias("policy"), F.lit(r).alias("rule"), F.lit(bit).alias("bit"), F.lit(m).alias("mask")) for v, r, bit, m in cases]))
-    each = by_bits.select("failed", "n", case.alias("c")).select("failed", "n", "c.*").withColumn("hit", F.col("failed").bitwiseAND("mask"))
+    each = by_bits.select("failed", "n", case.alias("c")).select("failed", "n", "c.*").withColumn("hit", F.col("failed").bitwiseAND(F.col("mask")))
     count = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
     return each.groupBy("policy", "rule").agg(
-        count(F.col("hit").bitwiseAND("bit") != 0).alias("failed"), count(F.col("hit") == F.col("bit")).alias("alone"), count(F.col("hit") == 0).alias("kept")
+        count(F.col("hit").bitwiseAND(F.col("bit")) != 0).alias("failed"), count(F.col("hit") == F.col("bit")).alias("alone"), count(F.col("hit") == 0).alias("kept")
     )
 
 
