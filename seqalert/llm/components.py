@@ -15,7 +15,7 @@ def components(edges: DataFrame) -> DataFrame:
     contracts the graph to those ends; it ends when no edge is left, after a number of rounds logarithmic in the number of
     nodes. Every step is a join or a grouping that combines before it shuffles; a star's centre is a skewed join key, which
     adaptive execution splits. Edges with a null end are ignored; no edges give an empty table."""
-    pairs = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull())
+    pairs = cut(edges.where(F.col("a").isNotNull() & F.col("b").isNotNull()))
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
     loops = nodes.select("node", F.col("node").alias("component")).distinct()
     label = None
@@ -24,7 +24,8 @@ def components(edges: DataFrame) -> DataFrame:
         up = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("up")))
         while True:
             above = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            jumped = cut(up.join(above, "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
+            twice = up.join(above, "up").select("node", F.col("top").alias("up"))
+            jumped = cut(twice.join(above, "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
             up = jumped.select("node", "up")
             if jumped.where("moved").isEmpty():
                 break
