@@ -8,7 +8,7 @@ Two steps, both exact up to collisions of 64-bit hashes:
    share a common passage seldom meet. The map side keeps one document per signature and task and turns the others into
    edges, so a group of copies of any size reaches the shuffle as one row per task.
 2. T-occurrence search inside a block. Distinct sets are held in an inverted index. For a query set of ``n`` shingles the
-   ``L`` longest lists are set aside, the short ones are merged by a heap, candidates need ``T - L`` occurrences there, and
+   ``L`` longest lists are set aside, with L by the cost of either side, the short ones are merged by a heap, candidates need ``T - L`` occurrences there, and
    the long lists are probed by binary search (DivideSkip). Found documents leave the index and become queries themselves,
    so a near-copy group of any size costs about one full query. Blocks over ``task_docs`` sets are split into chunks that
    share a pivot; sets not joined to the pivot are searched in every other chunk as well.
@@ -21,7 +21,6 @@ import heapq
 from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import groupby
-from math import log2
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +34,10 @@ from seqalert.session import cut
 
 #: Signatures that a task holds before it combines them.
 HELD = 2_000_000
+#: Most postings that are merged by a heap in Python.
+HEAP = 2_000
+#: Cost of merging a posting, in steps of a vectorised binary search.
+MERGE = 0.5
 #: Most sets that one task searches at once.
 TASK_DOCS = 20_000
 
@@ -48,9 +51,9 @@ def size_ranges(percent: int, upto: int) -> list[tuple[int, int]]:
     """Overlapping size ranges such that both sizes of any linked pair lie in one of them."""
     out, low = [], 1
     while low <= upto:
-        high = max(low, low * 3 // 2)
+        high = max(low * 3 // 2, -(-100 * low // percent))
         out.append((low, high))
-        low = max(low + 1, high * percent // 100 + 1)
+        low = high * percent // 100 + 1  # larger sizes linked with smaller ones than this lie in this range
     return out
 
 
@@ -128,6 +131,20 @@ def _signed(k: int, percent: int, held: int):
     return run
 
 
+def merged(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct entries of sorted lists, and in how many lists each stands.
+
+    Up to HEAP postings go through a heap of the lists' heads. More are merged run by run by numpy's stable sort, which
+    merges presorted runs: the same merge, without a Python step per posting."""
+    if sum(map(len, lists)) <= HEAP:
+        seen = [(entry, sum(1 for _ in same)) for entry, same in groupby(heapq.merge(*(one.tolist() for one in lists)))]
+        cand, hits = np.array(seen, np.int64).reshape(-1, 2).T
+        return cand, hits
+    every = np.sort(np.concatenate(lists), kind="stable")
+    first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+    return every[first], np.diff(np.append(first, len(every)))
+
+
 class Index:
     """Inverted lists over sets, searched by the T-occurrence method."""
 
@@ -143,7 +160,7 @@ class Index:
         self.end = np.append(self.first[1:], len(token))
         self.count = len(which)
 
-    def search(self, query: np.ndarray, percent: int, steep: float = 0.05) -> list[int]:
+    def search(self, query: np.ndarray, percent: int) -> list[int]:
         """Live sets linked with ``query``."""
         n = len(query)
         at = np.minimum(np.searchsorted(self.token, query), len(self.token) - 1)
@@ -151,15 +168,19 @@ class Index:
         need = -(-percent * n // 100)  # the least overlap with any set of a fitting size
         if len(at) < need:
             return []
-        at = at[np.argsort(self.end[at] - self.first[at], kind="stable")]
+        size = self.end[at] - self.first[at]
+        order = np.argsort(size, kind="stable")
+        at, size = at[order], size[order]
         lists = [self.owner[self.first[i] : self.end[i]] for i in at]
-        long = min(need - 1, int(need / (steep * log2(max(2, len(lists[-1]))) + 1)))
+        # Probing costs a step per candidate and long list, merging MERGE steps a posting, and a candidate takes at least
+        # ``need - L`` postings of the short lists. The cheapest L that leaves need - L >= 1 is taken.
+        every = np.arange(need)
+        postings = np.cumsum(size)[len(at) - 1 - every]
+        long = int(np.argmin(MERGE * postings + every * np.minimum(self.count, postings // (need - every))))
         short, probe = lists[: len(lists) - long], lists[len(lists) - long :]
-        merged = heapq.merge(*(s.tolist() for s in short)) if len(short) > 1 else short[0].tolist()
-        seen = [(doc, hits) for doc, hits in ((d, sum(1 for _ in g)) for d, g in groupby(merged)) if hits >= need - long and self.live[doc]]
-        if not seen:
-            return []
-        cand, hits = (np.array(c) for c in zip(*seen))
+        cand, hits = merged(short)
+        keep = (hits >= need - long) & self.live[cand]
+        cand, hits = cand[keep], hits[keep]
         for left, one in enumerate(probe):
             keep = hits + (len(probe) - left) >= need
             cand, hits = cand[keep], hits[keep]
