@@ -72,7 +72,7 @@ def _(s, d):
     return t.select(F.substring_index(_run("domain"), "_", -1).alias("trace_id"), "pos", "name", "token")
 
 
-@query("src_05_read_mixed_traces", KINDS + "SELECT trace_id, pos, event_type AS name, CAST(num AS INTEGER) AS token FROM tok LEFT JOIN kn ON kn.name = event_type", "tok")
+@query("src_05_read_mixed_traces", KINDS + "SELECT trace_id, row_number() OVER (PARTITION BY trace_id ORDER BY pos) - 1 AS pos, event_type AS name, CAST(num AS INTEGER) AS token FROM tok JOIN kn ON kn.name = event_type WHERE num IS NOT NULL", "tok")
 def _(s, d):
     path = _write_traces(s, d, "name", per_line=1, tail="(0x1, NULL) = 3")
     t = files.read_mixed_traces(s, path, _kinds(s, d), "x86_64", 340)
@@ -103,13 +103,20 @@ def _(s, d):
     return s.read.parquet(path).select("split", "trace_id", "w", F.array_join("win", ",").alias("win"))
 
 
-@query("snk_02_score_records", f"SELECT trace_id AS file, count(*) AS n_windows, sum(prob) AS total, count(CASE WHEN prob >= {TAU} THEN 1 END) AS positive FROM pool GROUP BY trace_id", "pool", rounds="total")
+@query(
+    "snk_02_score_records",
+    f"""SELECT trace_id AS file, count(prob) AS n_windows, CASE WHEN count(prob) = 0 THEN 'too_short_for_window_20' ELSE 'ok' END AS status, coalesce(sum(prob), 0.0) AS total,
+    count(CASE WHEN prob >= {TAU} THEN 1 END) AS positive FROM (SELECT trace_id FROM meta UNION ALL SELECT 'c' || c_custkey FROM customer) LEFT JOIN pool USING (trace_id) GROUP BY trace_id""",
+    "pool", rounds="total",
+)
 def _(s, d):
     path = scratch(s)
-    sinks.write_scores(sinks.score_records(pool(s, d), tau=TAU), path)
+    # The customers stand for traces of up to 19 tokens.
+    short = table(s, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("trace_id"), (F.col("c_custkey") % 20).alias("length"))
+    sinks.write_scores(sinks.score_records(pool(s, d), traces=meta(s, d).select("trace_id", "length").unionByName(short), tau=TAU), path)
     r = files.read_scores(s, path)
     total = F.aggregate("phase5_probs", F.lit(0.0), lambda a, x: a + x)
-    return r.select("file", "n_windows", total.alias("total"), F.size(F.filter("phase5_positive", lambda p: p)).cast("bigint").alias("positive"))
+    return r.select("file", "n_windows", "status", total.alias("total"), F.size(F.filter("phase5_positive", lambda p: p)).cast("bigint").alias("positive"))
 
 
 @query("snk_03_episodes", "SELECT episode_id, intended_label, n_windows, attack_start, attack_end FROM att", "att")

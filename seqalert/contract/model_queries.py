@@ -32,23 +32,23 @@ def _tfidf_sql(gram_rows: str, m: int) -> str:
 
 @query(
     "fea_01_word_tfidf",
-    _tfidf_sql(""", gr AS (SELECT trace_id, w, unnest(list_concat(list_transform(win, lambda t: t::BIGINT), list_transform(range(1, 20), lambda i: (win[i] + 1)::BIGINT * 4294967296 + win[i + 1]))) AS gram FROM win)""", 400),
+    _tfidf_sql(""", gr AS (SELECT trace_id, w, unnest(list_concat(list_transform(win, lambda t: t::BIGINT), list_transform(range(1, 20), lambda i: (win[i] + 1)::BIGINT * 4294967296 + win[i + 1]))) AS gram FROM win)""", 1000),
     "win", rounds="weight",
 )
 def _(s, d):
     w = ordering.cut(ev_windows(s, d))
-    return features.WordTfidf(400).fit(w).weights(w)
+    return features.WordTfidf(1000).fit(w).weights(w)
 
 
 @query(
     "fea_02_char_tfidf",
     _tfidf_sql(""", pd AS (SELECT trace_id, w, ' ' || unnest(win) || ' ' AS p FROM win), gr AS (SELECT trace_id, w, substr(p, i, 3) AS gram FROM (SELECT *, unnest(range(1, greatest(1, length(p) - 2) + 1)) AS i FROM pd)
-    UNION ALL SELECT trace_id, w, substr(p, i, 4) FROM (SELECT *, unnest(range(1, length(p) - 3 + 1)) AS i FROM pd WHERE length(p) >= 4) UNION ALL SELECT trace_id, w, substr(p, i, 5) FROM (SELECT *, unnest(range(1, length(p) - 4 + 1)) AS i FROM pd WHERE length(p) >= 5))""", 150),
+    UNION ALL SELECT trace_id, w, substr(p, i, 4) FROM (SELECT *, unnest(range(1, length(p) - 3 + 1)) AS i FROM pd WHERE length(p) >= 4) UNION ALL SELECT trace_id, w, substr(p, i, 5) FROM (SELECT *, unnest(range(1, length(p) - 4 + 1)) AS i FROM pd WHERE length(p) >= 5))""", 2000),
     "win", rounds="weight",
 )
 def _(s, d):
     w = ordering.cut(ev_windows(s, d))
-    return features.CharTfidf(150).fit(w).weights(w)
+    return features.CharTfidf(2000).fit(w).weights(w)
 
 
 @query("fea_03_pca", rounds="p0 p1 p2")
@@ -94,14 +94,14 @@ def _(s, d):
 
 @query(
     "jn_12_knn",
-    f""", v AS ({VEC}), d AS (SELECT a.vec_id, b.vec_id AS other, sqrt(sum((a.x - b.x) * (a.x - b.x))) AS distance FROM v a JOIN v b USING (dim) WHERE b.vec_id IN (SELECT vec_id FROM embeddings ORDER BY md5(concat_ws(':', vec_id, 42)) LIMIT 300) GROUP BY ALL)
+    f""", v AS ({VEC}), d AS (SELECT a.vec_id, b.vec_id AS other, sqrt(sum((a.x - b.x) * (a.x - b.x))) AS distance FROM v a JOIN v b USING (dim) WHERE b.vec_id IN (SELECT vec_id FROM embeddings ORDER BY md5(concat_ws(':', vec_id, 42)) LIMIT 1000) GROUP BY ALL)
     SELECT vec_id, place, other, distance FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, other) - 1 AS place FROM d) WHERE place < 5""",
     rounds="distance", places=5,
 )
 def _(s, d):
     v = vectors(s, d)
     # The training side is a seeded sample of model size.
-    train = frequency.hash_sample(v, 300, 42, ["vec_id"]).collect()
+    train = frequency.hash_sample(v, 1000, 42, ["vec_id"]).collect()
     near = frequency.knn(v, np.array([r["vec"] for r in train]), 5)
     rows = near.select("vec_id", F.posexplode(F.arrays_zip("knn.distances", "knn.indices")).alias("place", "_n"))
     names = s.createDataFrame([(i, r["vec_id"]) for i, r in enumerate(train)], "i int, other bigint")
@@ -149,28 +149,28 @@ def _(s, d):
 @query("scr_01_one_class_svm", rounds="score")
 def _(s, d):
     v = vectors(s, d)
-    return frequency.OneClassSvm(0.1, 8).fit(v.where(F.col("y") == 0)).score(v).select("vec_id", "score")
+    return frequency.OneClassSvm(0.1).fit(v.where(F.col("y") == 0)).score(v).select("vec_id", "score")
 
 
 @query("scr_02_isolation_forest", rounds="score")
 def _(s, d):
     v = vectors(s, d)
-    return frequency.IsolationForest(50, 256, keys=["vec_id"]).fit(v).score(v).select("vec_id", "score")
+    return frequency.IsolationForest(keys=["vec_id"]).fit(v).score(v).select("vec_id", "score")
 
 
 @query(
     "scr_03_lof",
-    f""", v AS ({VEC}), tr AS (SELECT vec_id FROM embeddings ORDER BY md5(concat_ws(':', vec_id, 42)) LIMIT 300),
+    f""", v AS ({VEC}), tr AS (SELECT vec_id FROM embeddings ORDER BY md5(concat_ws(':', vec_id, 42)) LIMIT 1000),
     d AS (SELECT a.vec_id AS a, b.vec_id AS b, sqrt(sum((a.x - b.x) * (a.x - b.x))) AS d FROM v a JOIN v b USING (dim) WHERE b.vec_id IN (SELECT vec_id FROM tr) GROUP BY ALL),
-    nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS r FROM d WHERE a <> b AND a IN (SELECT vec_id FROM tr)) WHERE r <= 20), kd AS (SELECT a, max(d) AS kd FROM nn GROUP BY a),
+    nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS r FROM d WHERE a <> b AND a IN (SELECT vec_id FROM tr)) WHERE r <= 50), kd AS (SELECT a, max(d) AS kd FROM nn GROUP BY a),
     lr AS (SELECT nn.a, 1 / (avg(greatest(d, kd)) + 1e-10) AS lrd FROM nn JOIN kd ON kd.a = nn.b GROUP BY nn.a),
-    qn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS r FROM d) WHERE r <= 20)
+    qn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS r FROM d) WHERE r <= 50)
     SELECT qn.a AS vec_id, avg(lrd) * (avg(greatest(d, kd)) + 1e-10) AS score FROM qn JOIN kd ON kd.a = qn.b JOIN lr ON lr.a = qn.b GROUP BY qn.a""",
     rounds="score", places=5,
 )
 def _(s, d):
     v = vectors(s, d)
-    return frequency.Lof(20, 300, keys=["vec_id"]).fit(v).score(v).select("vec_id", "score")
+    return frequency.Lof(50, 1000, keys=["vec_id"]).fit(v).score(v).select("vec_id", "score")
 
 
 @query("scr_04_pca_error", rounds="score")
@@ -181,18 +181,18 @@ def _(s, d):
 
 @query(
     "scr_05_hbos",
-    f""", v AS ({VEC}), b AS (SELECT dim, min(x) AS lo, (max(x) - min(x)) / 20 AS width FROM v GROUP BY dim), p AS (SELECT vec_id, dim, least(19, floor((x - lo) / width)) AS bin, width FROM v JOIN b USING (dim)),
+    f""", v AS ({VEC}), b AS (SELECT dim, min(x) AS lo, (max(x) - min(x)) / 80 AS width FROM v GROUP BY dim), p AS (SELECT vec_id, dim, least(79, floor((x - lo) / width)) AS bin, width FROM v JOIN b USING (dim)),
     h AS (SELECT dim, bin, count(*) / ((SELECT count(*) FROM embeddings) * any_value(width)) AS density FROM p GROUP BY dim, bin) SELECT vec_id, -sum(log2(density + 0.1)) AS score FROM p JOIN h USING (dim, bin) GROUP BY vec_id""",
     rounds="score",
 )
 def _(s, d):
     v = vectors(s, d)
-    return frequency.Hbos(20).fit(v).score(v).select("vec_id", "score")
+    return frequency.Hbos(80).fit(v).score(v).select("vec_id", "score")
 
 
 @query("scr_07_hmm", rounds="score")
 def _(s, d):
-    return chronology.Hmm(4, 3).fit(train_windows(s, d)).score(ev_windows(s, d)).select("trace_id", "w", "score")
+    return chronology.Hmm(4).fit(train_windows(s, d)).score(ev_windows(s, d)).select("trace_id", "w", "score")
 
 
 @query(
@@ -214,13 +214,13 @@ def _(s, d):
 
 @query(
     "scr_10_centre_distance",
-    f""", v AS ({VEC}), h AS (SELECT vec_id FROM embeddings ORDER BY md5(concat_ws(':', vec_id, 42)) LIMIT 200), c AS (SELECT dim, avg(x) AS m FROM v WHERE vec_id IN (SELECT vec_id FROM h) GROUP BY dim)
+    f""", v AS ({VEC}), h AS (SELECT vec_id FROM embeddings ORDER BY md5(concat_ws(':', vec_id, 42)) LIMIT 1000), c AS (SELECT dim, avg(x) AS m FROM v WHERE vec_id IN (SELECT vec_id FROM h) GROUP BY dim)
     SELECT vec_id, sum((x - m) * (x - m)) AS score FROM v JOIN c USING (dim) GROUP BY vec_id""",
     rounds="score",
 )
 def _(s, d):
     v = vectors(s, d)
-    return frequency.CentreDistance(200, keys=["vec_id"]).fit(v).score(v).select("vec_id", "score")
+    return frequency.CentreDistance(1000, keys=["vec_id"]).fit(v).score(v).select("vec_id", "score")
 
 
 def _mean_jump():
@@ -260,8 +260,8 @@ def _fused(make):
 
 
 query("fus_03_logistic", rounds="prob")(_fused(fusion.fuse_logistic))
-query("fus_04_forest", rounds="prob")(_fused(lambda p: fusion.fuse_forest(p, trees=20)))
-query("fus_05_boosted", rounds="prob")(_fused(lambda p: fusion.fuse_boosted(p, rounds=5)))
+query("fus_04_forest", rounds="prob")(_fused(lambda p: fusion.fuse_forest(p)))
+query("fus_05_boosted", rounds="prob")(_fused(lambda p: fusion.fuse_boosted(p)))
 query("fus_06_svm", rounds="prob")(_fused(fusion.fuse_svm))
 query("fus_07_mlp", rounds="prob")(_fused(fusion.fuse_mlp))
 
@@ -300,13 +300,13 @@ def _(s, d):
 @query("fus_11_score_forest", rounds="score")
 def _(s, d):
     p = labelled_pool(s, d)
-    forest = fusion.score_forest(p.where(F.col("y") == 0), 50)
+    forest = fusion.score_forest(p.where(F.col("y") == 0))
     return forest.score(p.withColumn("vec", F.array("path_a", "path_b", "path_c"))).select("trace_id", "w", "score")
 
 
 @query("cur_17_leave_family_out", rounds="auc ap best_f1 best_tau fpr95 tpr_fpr1 tpr_fpr01")
 def _(s, d):
-    return protocols.leave_family_out(labelled_pool(s, d), lambda t: fusion.fuse_forest(t, trees=5))
+    return protocols.leave_family_out(labelled_pool(s, d), lambda t: fusion.fuse_forest(t))
 
 
 @query("cur_18_abi_impact", rounds="auc degradation")
@@ -315,7 +315,7 @@ def _(s, d):
     tokens = ordering.cut(li_tokens(s, d))
     benign = ordering.cut(win.sliding_windows(tokens).join(labels.where(F.col("y") == 0), "trace_id", "left_semi"))
     markov = chronology.Markov(1).fit(benign)
-    centre = frequency.CentreDistance(500).fit(benign.withColumn("vec", F.transform("win", lambda t: t.cast("double"))))
+    centre = frequency.CentreDistance(1000).fit(benign.withColumn("vec", F.transform("win", lambda t: t.cast("double"))))
     scorers = {
         "markov": markov.score,
         "centre": lambda w: centre.score(w.withColumn("vec", F.transform("win", lambda t: t.cast("double")))),
@@ -328,10 +328,10 @@ def _(s, d):
     from seqalert.functions import sql
 
     sql.register(s)
-    # Traces of the events as arrays, one per stream chunk that fits a row.
-    packed = win.pack(ev_tokens(s, d))
+    # Traces of the events as arrays of 64 tokens, each with the tokens that complete its last windows.
+    packed = win.pack(ev_tokens(s, d), size=64, ahead=19)
     packed.createOrReplaceTempView("packed_traces")
-    out = s.sql("SELECT p.trace_id, s.w, s.win FROM packed_traces p, LATERAL sliding_windows(p.seq, 20, 2) s")
+    out = s.sql("SELECT p.trace_id, s.w, s.win FROM packed_traces p, LATERAL sliding_windows(p.seq, 20, 2, p.chunk * 64, 64) s")
     return out.select("trace_id", "w", F.array_join("win", ",").alias("win"))
 
 
@@ -346,7 +346,8 @@ def _(s, d):
 
     y = F.get_json_object("props", "$.k").cast("int") % 2
     rows = table(s, d, "events").select("event_type", y.alias("y"), F.col("value").alias("score"))
-    return rows.groupBy("event_type").agg(sql.roc_auc("y", "score").alias("auc"), sql.average_precision("y", "score").alias("ap"))
+    sql.curve_view(rows, ["event_type"], "grouped_curves")
+    return s.sql("SELECT event_type, auc, ap FROM grouped_curves")
 
 
 @query("udx_05_sql_helpers", "SELECT page_id, lower(url) AS path FROM pages")

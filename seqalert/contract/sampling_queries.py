@@ -105,11 +105,11 @@ def _(s, d):
 
 
 # Nested folds for two variants, three outer and two inner folds.
-_FOLD = """, of AS (SELECT trace_id, CAST(ntile(3) OVER (ORDER BY md5(concat_ws(':', trace_id, 42))) AS INTEGER) AS fold FROM nw),
-    tr AS (SELECT trace_id, o AS outr FROM of, (SELECT CAST(unnest(range(1, 4)) AS INTEGER) AS o) WHERE o <> fold),
-    inn AS (SELECT outr, trace_id, CAST(ntile(2) OVER (PARTITION BY outr ORDER BY md5(concat_ws(':', trace_id, 43))) AS INTEGER) AS inr FROM tr),
+_FOLD = """, of AS (SELECT trace_id, CAST(ntile(5) OVER (ORDER BY md5(concat_ws(':', trace_id, 42))) AS INTEGER) AS fold FROM nw),
+    tr AS (SELECT trace_id, o AS outr FROM of, (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS o) WHERE o <> fold),
+    inn AS (SELECT outr, trace_id, CAST(ntile(3) OVER (PARTITION BY outr ORDER BY md5(concat_ws(':', trace_id, 43))) AS INTEGER) AS inr FROM tr),
     lg AS (SELECT trace_id, y, unnest(['path_a', 'prob']) AS variant, unnest([path_a, prob]) AS score FROM pool),
-    fit AS (SELECT outr, i AS inr, variant, score, y FROM lg JOIN inn USING (trace_id), (SELECT CAST(unnest(range(1, 3)) AS INTEGER) AS i) WHERE i <> inn.inr),
+    fit AS (SELECT outr, i AS inr, variant, score, y FROM lg JOIN inn USING (trace_id), (SELECT CAST(unnest(range(1, 4)) AS INTEGER) AS i) WHERE i <> inn.inr),
     jud AS (SELECT outr, inr, variant, score, y FROM lg JOIN inn USING (trace_id))"""
 
 
@@ -135,7 +135,7 @@ _NESTED = (
     "pool", "nw", rounds="tau auc f1",
 )
 def _(s, d):
-    return sampling.nested_cv(ordering.cut(pool(s, d)), ["path_a", "prob"], 3, 2)
+    return sampling.nested_cv(ordering.cut(pool(s, d)), ["path_a", "prob"])
 
 
 @query(

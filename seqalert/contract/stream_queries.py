@@ -45,7 +45,8 @@ def _(s, d):
     model = Markov(1).fit(train_windows(s, d))
     src = _source(s, ev_windows(s, d), order="w")
     stream = S.token_stream(s, src, "trace_id string, w bigint, win array<int>", max_files=1)
-    return _run(s, S.score_stream(stream, S.markov_lookup(model))).select("trace_id", "w", "score")
+    path = scratch(s)
+    return S.score_batches(stream, model, f"{path}/out", f"{path}/state").select("trace_id", "w", "score")
 
 
 def _scores(s, d):

@@ -2,52 +2,35 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf, udtf
+from pyspark.sql.functions import udtf
+
+from seqalert.operators import curves
 
 
 @udtf(returnType=T.StructType([T.StructField("w", T.LongType()), T.StructField("win", T.ArrayType(T.IntegerType()))]))
 class SlidingWindows:
-    """``SELECT * FROM traces, LATERAL sliding_windows(seq, 20, 2)``."""
-
-    def eval(self, seq: list, size: int, stride: int):
-        for w, start in enumerate(range(0, len(seq) - size + 1, stride)):
-            yield w, seq[start : start + size]
-
-
-def _curve(y: pd.Series, score: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    t = pd.DataFrame({"y": y.to_numpy(int), "s": score.to_numpy(float)}).groupby("s")["y"].agg(["sum", "count"]).sort_index(ascending=False)
-    pos = t["sum"].to_numpy(float)
-    return pos, t["count"].to_numpy(float) - pos
+    """``SELECT * FROM traces, LATERAL sliding_windows(seq, 20, 2)``.
 
+    A chunk of a longer trace gives ``lead``, its first position in the trace, and ``own``, the number of positions whose windows
+    are its own; what follows those is there to complete them. ``w`` counts over the whole trace."""
 
-@pandas_udf(T.DoubleType())
-def roc_auc(y: pd.Series, score: pd.Series) -> float:
-    """Grouped aggregate for groups that fit one task; larger ones use the score table."""
-    pos, neg = _curve(y, score)
-    p, n = pos.sum(), neg.sum()
-    return None if p == 0 or n == 0 else float((pos * (n - np.cumsum(neg) + neg / 2)).sum() / (p * n))
+    def eval(self, seq: list, size: int, stride: int, lead: int = 0, own: int = 1 << 62):
+        for start in range(-lead % stride, min(len(seq) - size + 1, own), stride):
+            yield (lead + start) // stride, seq[start : start + size]
 
 
-@pandas_udf(T.DoubleType())
-def average_precision(y: pd.Series, score: pd.Series) -> float:
-    pos, neg = _curve(y, score)
-    if pos.sum() == 0:
-        return None
-    cp, cn = np.cumsum(pos), np.cumsum(neg)
-    return float((pos / pos.sum() * cp / (cp + cn)).sum())
+def curve_view(df: DataFrame, by: list[str], name: str, y: str = "y", score: str = "score") -> None:
+    """Make the ranking-curve metrics of every group callable from SQL as the view ``name``. They come from the score table,
+    so a group of any size is split over tasks."""
+    curves.all_metrics(curves.score_table(df, score, y, by=by), by=by).createOrReplaceTempView(name)
 
 
 def register(spark: SparkSession, abi_map: DataFrame | None = None) -> None:
-    """Make the helpers callable from SQL: ``sliding_windows``, ``roc_auc``, ``average_precision``, ``canonical_path`` and,
-    with an ABI map, the view ``abi_map`` behind ``abi_number(abi, name)``."""
+    """Make the helpers callable from SQL: ``sliding_windows``, ``canonical_path`` and, with an ABI map, the view ``abi_map`` behind ``abi_number(abi, name)``."""
     spark.udtf.register("sliding_windows", SlidingWindows)
-    spark.udf.register("roc_auc", roc_auc)
-    spark.udf.register("average_precision", average_precision)
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION canonical_path(p STRING) RETURNS STRING RETURN lower(replace(p, '\\\\', '/'))")
     if abi_map is not None:
         one = abi_map.groupBy("abi", "name").agg(F.min_by("number", "ord").alias("number"))

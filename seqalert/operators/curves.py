@@ -6,6 +6,8 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,9 +19,10 @@ EPS = 1e-8
 def score_table(
     df: DataFrame, score: str = "score", y: str = "y", by: Sequence[str] = (), task_rows: int | None = None
 ) -> DataFrame:
-    """``(by, score, pos, neg, cum_pos, cum_neg, P, N)``, cumulated from the highest score down."""
+    """``(by, score, pos, neg, cum_pos, cum_neg, P, N)``, cumulated from the highest score down. Rows without a score or a
+    label are no rows of the curve."""
     by = list(by)
-    counts = df.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("score")).agg(
+    counts = df.where(F.col(score).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(score).alias("score")).agg(
         F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(y) == 1, 0).otherwise(1)).alias("neg")
     )
     return ordering.prefix_sum(
@@ -238,47 +241,39 @@ def _two_sided(df: DataFrame, half: int, size: int = ordering.CHUNK) -> DataFram
     return df.withColumn("_chunk", F.explode(F.sequence(lo, hi))).withColumn("_own", F.col("_chunk") == F.expr(f"_i div {size}"))
 
 
-def bootstrap_ci(tbl: DataFrame, rounds: int = 200, level: float = 0.95, seed: int = 42, groups: int = 1 << 14) -> DataFrame:
+def bootstrap_ci(tbl: DataFrame, rounds: int = 200, level: float = 0.95, seed: int = 42, groups: int | None = None, task_rows: int | None = None) -> DataFrame:
     """Percentile interval of AUC, average precision and best F1 under resampling.
 
-    Each replicate draws the positive and negative counts of every score group anew (a Poisson draw with the
-    group's count as its mean, the large-sample form of resampling rows). A curve of more than ``groups`` distinct
-    scores is first merged into that many neighbouring groups, so a replicate is never larger than that."""
-    merged = ordering.cut(
-        tbl.withColumn("_g", F.floor((F.col("cum_pos") + F.col("cum_neg") - 1) / F.greatest(F.lit(1.0), (F.col("P") + F.col("N")) / groups)))
-        .groupBy("_g")
-        .agg(F.max("score").alias("score"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    )
-
-    def replicate(pdf):
-        pdf = pdf.sort_values("score", ascending=False)
-        r = int(pdf["replicate"].iloc[0])
-        rng = np.random.default_rng([seed, r])
-        pos, neg = rng.poisson(pdf["pos"].to_numpy()), rng.poisson(pdf["neg"].to_numpy())
-        return pdf[["replicate"]].head(1).assign(**_metrics(pos, neg))
-
-    long = merged.select("score", "pos", "neg", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("replicate"))
-    rows = long.groupBy("replicate").applyInPandas(replicate, "replicate int, auc double, ap double, f1 double")
+    Each replicate draws the positive and negative counts of every distinct score anew (a Poisson draw with the count
+    as its mean, the large-sample form of resampling rows), and the curves of all replicates come from one running sum
+    by replicate. ``groups`` merges neighbouring scores into about that many groups first, for a caller who wants an
+    approximation."""
+    rows = tbl.select("score", "pos", "neg", "cum_pos", "cum_neg", "P", "N")
+    if groups:
+        at = F.floor((F.col("cum_pos") + F.col("cum_neg") - 1) / F.greatest(F.lit(1.0), (F.col("P") + F.col("N")) / groups))
+        rows = rows.groupBy(at.alias("_g")).agg(F.max("score").alias("score"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    rows = ordering.cut(rows.select("score", "pos", "neg"))
+
+    def draw(batches):
+        # A stored partition keeps its number and its rows, so a repeated task draws the same counts.
+        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
+        for pdf in batches:
+            for at in range(0, len(pdf), 1000):
+                part = pdf.iloc[at : at + 1000]
+                pos, neg = (rng.poisson(part[c].to_numpy()[:, None], (len(part), rounds)).ravel() for c in ("pos", "neg"))
+                out = pd.DataFrame({"replicate": np.tile(np.arange(rounds, dtype="int32"), len(part)), "score": np.repeat(part["score"].to_numpy(), rounds), "pos": pos, "neg": neg})
+                yield out[(out["pos"] > 0) | (out["neg"] > 0)]
+
+    drawn = ordering.cut(rows.mapInPandas(draw, "replicate int, score double, pos bigint, neg bigint"))
+    by = ["replicate"]
+    curve = ordering.prefix_sum(drawn, ["score"], {"cum_pos": "pos", "cum_neg": "neg"}, by=by, descending=True, totals={"P": "pos", "N": "neg"}, task_rows=task_rows)
+    each = all_metrics(curve, by=by).select("auc", "ap", F.col("best_f1").alias("f1"))
     # One row per replicate.
     lo, hi = (1 - level) / 2, 1 - (1 - level) / 2
     aggs = []
     for m in ("auc", "ap", "f1"):
         aggs += [F.percentile(m, F.lit(lo)).alias(f"{m}_lo"), F.percentile(m, F.lit(hi)).alias(f"{m}_hi")]
-    return rows.agg(*aggs)
-
-
-def _metrics(pos: np.ndarray, neg: np.ndarray) -> dict[str, float]:
-    p, n = pos.sum(), neg.sum()
-    if p == 0 or n == 0:
-        return {"auc": math.nan, "ap": math.nan, "f1": math.nan}
-    cp, cn = np.cumsum(pos), np.cumsum(neg)
-    prec = np.where(cp + cn > 0, cp / np.maximum(cp + cn, 1), 0.0)
-    rec = cp / p
-    return {
-        "auc": float((pos * (n - cn + neg / 2)).sum() / (p * n)),
-        "ap": float((pos / p * prec).sum()),
-        "f1": float((2 * prec * rec / (prec + rec + EPS)).max()),
-    }
+    return each.agg(*aggs)
 
 
 def delong(df: DataFrame, s1: str, s2: str, y: str = "y") -> DataFrame:
@@ -345,35 +340,32 @@ def significance(df: DataFrame, fused: str, paths: Sequence[str], y: str = "y",
     return out.mapInPandas(add_p, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out.schema) + ", p double, neg_log10_p double")
 
 
-def family_tables(df: DataFrame, score: str = "score", y: str = "y", family: str = "family", limits: dict[str, int] | None = None) -> DataFrame:
-    """Score tables of every attack family against the shared benign rows, as one table with a ``family`` column.
-
-    Benign rows are counted once per score and shared, not copied per family: the families become columns of one
-    aggregation and one prefix sum, and turn into rows again only afterwards. ``limits`` keeps, per family, the
-    rows whose ``rank`` is within the limit."""
-    # The number of families is that of capture kinds; a table of thousands would not be one.
-    names = [r[0] for r in df.where(F.col(y) == 1).select(family).distinct().orderBy(family).limit(1001).collect()]
-    if len(names) > 1000:
-        raise ValueError("the family column holds more than 1000 values")
-    cols = []
-    for i, f in enumerate(names):
-        within = F.lit(True) if limits is None else F.col("rank") <= limits[f]
-        cols.append(F.sum(F.when((F.col(y) == 1) & (F.col(family) == f) & within, 1).otherwise(0)).alias(f"p{i}"))
-        cols.append(F.sum(F.when((F.col(y) == 0) & within, 1).otherwise(0)).alias(f"n{i}"))
-    counts = ordering.cut(df.groupBy(F.col(score).alias("score")).agg(*cols))
-    used = [c for i in range(len(names)) for c in (f"p{i}", f"n{i}")]
-    run = ordering.prefix_sum(
-        counts, ["score"], {f"c{c}": c for c in used}, descending=True, totals={f"t{c}": c for c in used}
-    )
-    parts = [
-        F.struct(
-            F.lit(f).alias(family), F.col(f"p{i}").alias("pos"), F.col(f"n{i}").alias("neg"), F.col(f"cp{i}").alias("cum_pos"),
-            F.col(f"cn{i}").alias("cum_neg"), F.col(f"tp{i}").alias("P"), F.col(f"tn{i}").alias("N"),
-        )
-        for i, f in enumerate(names)
-    ]
-    long = run.select("score", F.explode(F.array(*parts)).alias("_r")).select("score", "_r.*")
-    return long.where((F.col("cum_pos") + F.col("cum_neg")) > 0)
+def family_tables(df: DataFrame, score: str = "score", y: str = "y", family: str = "family", limits: DataFrame | None = None) -> DataFrame:
+    """Score tables of every attack family against the shared benign rows, as one table with a ``family`` column and a row
+    for each score that some attack row of the family has: the metrics change nowhere else.
+
+    One running sum over the benign scores serves all families. ``limits`` (``family``, ``limit``) keeps, per family, the
+    rows whose ``rank`` is within the limit; a family then has at most as many benign rows as its limit."""
+    rows = df.where(F.col(score).isNotNull())
+    attack, benign = rows.where(F.col(y) == 1), rows.where(F.col(y) == 0)
+    value = F.col(score).alias("score")
+    by: list[str] = []
+    if limits is None:
+        below = benign.select(value)
+    else:
+        by = [family]
+        attack = attack.join(limits, family).where(F.col("rank") <= F.col("limit"))
+        each = limits.agg(F.array_agg(F.struct(family, "limit"))).scalar()  # one entry per family
+        within = F.filter("_all", lambda e: e["limit"] >= F.col("rank"))
+        below = benign.withColumn("_all", each).select(value, F.explode(within).alias("_e"))
+        below = below.select("score", F.col(f"_e.{family}").alias(family))
+    pos = ordering.cut(attack.groupBy(family, value).agg(F.count(F.lit(1)).alias("pos")))
+    run = ordering.prefix_sum(pos, ["score"], {"cum_pos": "pos"}, by=[family], descending=True, totals={"P": "pos"})
+    zero = F.lit(0).cast("bigint").alias("neg")
+    at = below.groupBy(*by, "score").agg(F.count(F.lit(1)).alias("neg")).unionByName(pos.select(*by, "score", zero).distinct())
+    counts = ordering.cut(at.groupBy(*by, "score").agg(F.sum("neg").alias("neg")))
+    benign_run = ordering.prefix_sum(counts, ["score"], {"cum_neg": "neg"}, by=by, descending=True, totals={"N": "neg"})
+    return run.join(benign_run, [*by, "score"]).select(family, "score", "pos", "neg", "cum_pos", "cum_neg", "P", "N")
 
 
 def per_family(
@@ -384,9 +376,9 @@ def per_family(
     curve = all_metrics(family_tables(df, score, y, family), by=[family])
     attack, benign = df.where(F.col(y) == 1), df.where(F.col(y) == 0)
     ranked = ordering.hash_rank(attack, seed, list(keys), by=[family]).unionByName(ordering.hash_rank(benign, seed, list(keys)))
-    sizes = {r[0]: r[1] for r in attack.groupBy(family).count().limit(1001).collect()}
-    n_benign = benign.count()
-    even = family_tables(ordering.cut(ranked), score, y, family, {f: min(n, n_benign) for f, n in sizes.items()})
+    n_benign = benign.agg(F.count(F.lit(1))).scalar()
+    sizes = ordering.cut(attack.groupBy(family).agg(F.count(F.lit(1)).alias("limit")).withColumn("limit", F.least("limit", n_benign)))
+    even = family_tables(ordering.cut(ranked), score, y, family, sizes)
     ap1 = average_precision(even, by=[family]).withColumnRenamed("ap", "ap_1to1")
     over = F.col(score) > tau
     hits = attack.groupBy(family).agg(F.sum(F.when(over, 1).otherwise(0)).alias("_tp"))

@@ -25,8 +25,8 @@ MAX_RANGES = 100_000
 CHUNK = 1 << 20
 #: Most rows of a model table that is sent whole to every executor.
 SHARED_ROWS = 1_000_000
-#: First hex digits of an md5 key that form its range: 16 ** 3 ranges.
-HASH_DIGITS = 3
+#: First hex digits of an md5 key that form its range: 16 ** 5 ranges, so that even 1e12 rows leave a million per range.
+HASH_DIGITS = 5
 
 
 def share(df: DataFrame, rows: int = SHARED_ROWS) -> DataFrame:
@@ -102,12 +102,12 @@ def hash_key(seed: int, *keys: str | Column) -> Column:
 
 
 def hash_rank(
-    df: DataFrame, seed: int, keys: Sequence[str], by: Sequence[str] = (), name: str = "rank", total: str | None = None
+    df: DataFrame, seed: int, keys: Sequence[str], by: Sequence[str] = (), name: str = "rank", total: str | None = None, at_most: int | Column | None = None
 ) -> DataFrame:
     """1-based rank of a row in the seeded order of its ``keys`` inside ``by`` (and the group's size).
 
     md5 values are uniform, so their first digits cut any group evenly and no pass over the data is needed to
-    find the ranges."""
+    find the ranges. ``at_most`` keeps the first rows only, and then no row of a range behind them is sorted."""
     by = list(by)
     keyed = df.withColumn("_key", hash_key(seed, *keys)).withColumn("_range", F.substring("_key", 1, HASH_DIGITS))
     per_range = keyed.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
@@ -120,12 +120,16 @@ def hash_rank(
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
         F.sum("_n").over(group).alias("_total"),
     )
-    inner = Window.partitionBy(*by, "_range").orderBy("_key", *keys)
-    local = keyed.withColumn("_in", F.row_number().over(inner))
     cond = F.col("_range") == F.col("_b_range")
     for b in by:
         cond = cond & F.col(b).eqNullSafe(F.col(f"_b_{b}"))
-    out = local.join(per_range, cond).withColumn(name, (F.col("_in") + F.col("_before")).cast("bigint"))
+    joined = keyed.join(per_range, cond)
+    if at_most is not None:
+        joined = joined.where(F.col("_before") < at_most)
+    inner = Window.partitionBy(*by, "_range").orderBy("_key", *keys)
+    out = joined.withColumn(name, (F.row_number().over(inner) + F.col("_before")).cast("bigint"))
+    if at_most is not None:
+        out = out.where(F.col(name) <= at_most)
     if total:
         out = out.withColumn(total, F.col("_total").cast("bigint"))
     return out.select(*df.columns, name, *([total] if total else []))

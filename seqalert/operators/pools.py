@@ -38,14 +38,18 @@ def detection_rates(scores: DataFrame, tau: float | Column, score: str = "prob",
     out = per_trace.rollup("family").agg(
         F.count(F.lit(1)).alias("n_traces"), _count(F.col("flagged") > 0).alias("detected_traces"),
         F.sum("n").alias("total_windows"), F.sum("flagged").alias("flagged_windows"),
-    ).withColumn("family", F.coalesce("family", F.lit("TOTAL")))
+        F.grouping_id().alias("_g"),
+    ).withColumn("family", F.when(F.col("_g") > 0, F.lit("TOTAL")).otherwise(F.col("family")))
     asked = {"median_per_trace": 0.5, "p10_per_trace": 0.1, "p90_per_trace": 0.9}
     spread = ordering.quantiles(per_trace, "share", asked, by=["family"])
-    every = ordering.quantiles(per_trace, "share", asked).select(F.lit("TOTAL").alias("family"), *asked)
+    spread = spread.withColumn("_g", F.lit(0))
+    every = ordering.quantiles(per_trace, "share", asked).select(F.lit("TOTAL").alias("family"), *asked, F.lit(1).alias("_g"))
     rates = out.withColumns(
         {"trace_dr": F.col("detected_traces") / F.col("n_traces"), "window_dr": F.col("flagged_windows") / F.col("total_windows")}
     )
-    return rates.join(spread.unionByName(every), "family")
+    spread = spread.unionByName(every).withColumnsRenamed({"family": "_f", "_g": "_h"})
+    # Rows without a family are a row of their own.
+    return rates.join(spread, rates["family"].eqNullSafe(spread["_f"]) & (rates["_g"] == spread["_h"])).drop("_f", "_g", "_h")
 
 
 def decision_rules(scores: DataFrame, tau: float, score: str = "prob") -> DataFrame:
@@ -54,6 +58,7 @@ def decision_rules(scores: DataFrame, tau: float, score: str = "prob") -> DataFr
         _count(F.col(score) >= tau).alias("n_pos"), F.avg((F.col(score) >= tau).cast("int")).alias("rate"),
         F.avg(score).alias("mean"), (F.avg("y") >= 0.5).cast("int").alias("y"),
     )
+    # Names and limits of the rules.
     rules = {
         "single_threshold_any": F.col("n_pos") >= 1,
         "count_2_positive": F.col("n_pos") >= 2,
@@ -122,7 +127,7 @@ def pattern_summary(df: DataFrame, flags: Sequence[str] = ("fa", "fb", "fc")) ->
         F.avg(a).alias("p_a"), F.avg(b).alias("p_b"), F.avg(c).alias("p_c"),
     )
     pa, pb, pc = F.col("p_a"), F.col("p_b"), F.col("p_c")
-    exp = (pa * pb * (1 - pc) + pa * (1 - pb) * pc + (1 - pa) * pb * pc + pa * pb * pc) * F.col("n_total")
+    exp = (pa * pb + pa * pc + pb * pc - 2 * pa * pb * pc) * F.col("n_total")
     return out.withColumn("expected_at_least_two", exp).withColumn("observed_vs_expected", F.col("at_least_two") / F.greatest(exp, F.lit(1.0)))
 
 

@@ -18,7 +18,7 @@ def sample_by_length(windows: DataFrame, n_strata: int, m: int, seed: int = 42)
     """Up to ``m`` windows from each trace-length stratum."""
     strata = win.length_strata(windows, n_strata).select("trace_id", "stratum")
     rows = windows.join(strata, "trace_id")
-    return ordering.hash_rank(rows, seed, ["trace_id", "w"], by=["stratum"]).where(F.col("rank") <= m).drop("rank")
+    return ordering.hash_rank(rows, seed, ["trace_id", "w"], by=["stratum"], at_most=m).drop("rank")
 
 
 def transition_weights(windows: DataFrame) -> DataFrame:
@@ -61,7 +61,7 @@ def split_rows(df: DataFrame, fraction: float, seed: int = 42, keys: Sequence[st
 
 def eval_pool(scores: DataFrame, n: int, seed: int = 42, keys: Sequence[str] = ("trace_id", "w"), y: str = "y") -> DataFrame:
     """``n`` benign and ``n`` attack rows."""
-    return ordering.hash_rank(scores, seed, list(keys), by=[y]).where(F.col("rank") <= n).drop("rank")
+    return ordering.hash_rank(scores, seed, list(keys), by=[y], at_most=n).drop("rank")
 
 
 def pool_thresholds(pool: DataFrame, cols: Sequence[str], q: float = 0.95, y: str = "y") -> DataFrame:

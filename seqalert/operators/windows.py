@@ -90,8 +90,8 @@ def cap_windows(windows: DataFrame, n: int = 100_000, seed: int = 42) -> DataFra
     """At most ``n`` windows per trace: the ``n`` smallest seeded keys of a longer trace, all of the others."""
     sizes = windows.groupBy("trace_id").agg(F.count(F.lit(1)).alias("_n"))
     over = sizes.where(F.col("_n") > n).select("trace_id")
-    kept = ordering.hash_rank(windows.join(over, "trace_id", "left_semi"), seed, ["trace_id", "w"], by=["trace_id"])
-    kept = kept.where(F.col("rank") <= n).drop("rank")
+    kept = ordering.hash_rank(windows.join(over, "trace_id", "left_semi"), seed, ["trace_id", "w"], by=["trace_id"], at_most=n)
+    kept = kept.drop("rank")
     return windows.join(over, "trace_id", "left_anti").unionByName(kept)
 
 
@@ -137,9 +137,9 @@ def census(windows: DataFrame) -> DataFrame:
 def attrition(traces: DataFrame, w: int = 20) -> DataFrame:
     """Traces too short for one window, per split and overall. ``traces`` has one row ``(split, length)`` each."""
     short = F.sum(F.when(F.col("length") < w, 1).otherwise(0))
-    out = traces.rollup("split").agg(F.count(F.lit(1)).alias("traces"), short.alias("too_short"))
+    out = traces.rollup("split").agg(F.count(F.lit(1)).alias("traces"), short.alias("too_short"), F.grouping_id().alias("_g"))
     return out.select(
-        F.coalesce("split", F.lit("ALL")).alias("split"),
+        F.when(F.col("_g") > 0, F.lit("ALL")).otherwise(F.col("split")).alias("split"),
         "traces",
         "too_short",
         (F.col("too_short") / F.col("traces")).alias("attrition"),

@@ -12,30 +12,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from seqalert.operators import features
+from seqalert.operators import features, ordering
 
 
 class EmbeddingError:
-    """Residual of a window, written as the row of its tokens' learned vectors, outside its first components."""
+    """Residual of a window, written as the row of its tokens' learned vectors, outside its first components. The vectors are
+    trained over ``partitions`` parts of the windows at once; there is one per distinct call of the ABI."""
 
-    def __init__(self, dim: int = 8, n: int = 12, seed: int = 42) -> None:
-        self.dim, self.n, self.seed = dim, n, seed
+    def __init__(self, dim: int = 8, n: int = 12, seed: int = 42, partitions: int = 8) -> None:
+        self.dim, self.n, self.seed, self.partitions = dim, n, seed, partitions
 
     def fit(self, train: DataFrame) -> "EmbeddingError":
-        words = train.select(F.transform("win", lambda t: t.cast("string")).alias("words"))
-        model = Word2Vec(vectorSize=self.dim, minCount=1, seed=self.seed, maxIter=2, inputCol="words", outputCol="v").fit(words)
-        # One vector per vocabulary entry.
-        self.vectors = {r["word"]: np.array(r["vector"].toArray()) for r in model.getVectors().collect()}
+        words = ordering.cut(train.select(F.transform("win", lambda t: t.cast("string")).alias("words")))
+        parts = {"numPartitions": self.partitions, "maxIter": 2}
+        model = Word2Vec(vectorSize=self.dim, minCount=1, seed=self.seed, inputCol="words", outputCol="v", **parts).fit(words)
+        table = sorted((int(r["word"]), r["vector"].toArray()) for r in model.getVectors().collect())
+        # Tokens without a vector stand at zero, behind the last row.
+        self.tokens = np.array([t for t, _ in table], dtype=int)
+        self.vectors = np.vstack([*[v for _, v in table], np.zeros(self.dim)])
         self.projection = features.pca(self._embed(train), self.n, "_e")
         return self
 
     def _embed(self, windows: DataFrame) -> DataFrame:
-        shared = windows.sparkSession.sparkContext.broadcast((self.vectors, np.zeros(self.dim)))
+        shared = windows.sparkSession.sparkContext.broadcast((self.tokens, self.vectors))
 
         @F.pandas_udf("array<double>")
         def embed(col: pd.Series) -> pd.Series:
-            table, none = shared.value
-            return pd.Series([np.concatenate([table.get(str(t), none) for t in v]) for v in col], index=col.index)
+            tokens, vectors = shared.value
+            if not len(col):
+                return pd.Series([], dtype=object)
+            x = np.array(col.tolist(), dtype=int)
+            at = np.minimum(np.searchsorted(tokens, x), len(tokens) - 1)
+            at = np.where(tokens[at] == x, at, len(tokens))
+            return pd.Series(list(vectors[at].reshape(len(x), -1)), index=col.index)
 
         return windows.withColumn("_e", embed("win"))
 
@@ -43,9 +52,8 @@ class EmbeddingError:
         return features.with_residual(self._embed(windows), self.projection, "_e").drop("_e")
 
 
-def batch_score(df: DataFrame, make_predict_fn: Callable, batch: int = 1024, col: str = "win", name: str = "score") -> DataFrame:
-    """Score with an outside model: ``make_predict_fn`` loads it once per Python worker and returns a function from a
-    batch matrix to one value per row."""
-    length = df.select(F.size(col)).head()[0]
-    udf = predict_batch_udf(make_predict_fn, return_type=DoubleType(), batch_size=batch, input_tensor_shapes=[[int(length)]])
+def batch_score(df: DataFrame, make_predict_fn: Callable, w: int = 20, batch: int = 1024, col: str = "win", name: str = "score") -> DataFrame:
+    """Score windows of ``w`` tokens with an outside model: ``make_predict_fn`` loads it once per Python worker and returns a
+    function from a batch matrix to one value per row."""
+    udf = predict_batch_udf(make_predict_fn, return_type=DoubleType(), batch_size=batch, input_tensor_shapes=[[w]])
     return df.withColumn(name, udf(F.col(col).cast("array<double>")))

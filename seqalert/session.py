@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Checkpoints go when nothing refers to them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -23,13 +25,20 @@ def build(master: str | None = None, name: str = "seqalert", **conf: str) -> Spa
     return builder.getOrCreate()
 
 
+def checkpoint_folder(shared: str | None, master: str) -> str:
+    """The shared folder ``shared``; a private one where none is named and all work is done by this one machine."""
+    if shared:
+        return shared
+    if master.split("[")[0] == "local":
+        return tempfile.mkdtemp(prefix="seqalert-checkpoint-")
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; a private one only where none is named."""
+    """Use the cluster's shared checkpoint folder."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="seqalert-checkpoint-"))
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(checkpoint_folder(spark.conf.get("spark.checkpoint.dir", None), sc.master))
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -72,8 +72,20 @@ def read_named_logs(spark: SparkSession, path: str, abi_map: DataFrame, abi: str
 
 
 def read_mixed_traces(spark: SparkSession, path: str, abi_map: DataFrame, abi: str, max_id: int, glob: str = "*") -> DataFrame:
-    """Traces that are all numbers, or one number, name or ``name(args)`` per line. ``token`` is NULL for an unknown
-    name, which ``name`` keeps."""
+    """Traces that are all numbers, or one number, name or ``name(args)`` per line. Names that the ABI does not know are left
+    out of a trace and of its positions; ``unknown_names`` has them."""
+    out = _mixed(spark, path, abi_map, abi, max_id, glob).where(F.col("token").isNotNull())
+    numbered = ordering.number_rows(ordering.cut(out.withColumnRenamed("pos", "_at")), ["_at"], by=["trace_id"])
+    return numbered.select("trace_id", "stem", "pos", "token", "name")
+
+
+def unknown_names(spark: SparkSession, path: str, abi_map: DataFrame, abi: str, max_id: int, glob: str = "*") -> DataFrame:
+    """Words of mixed traces that the ABI does not know, with their number per trace."""
+    out = _mixed(spark, path, abi_map, abi, max_id, glob).where(F.col("token").isNull())
+    return out.groupBy("trace_id", "name").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _mixed(spark: SparkSession, path: str, abi_map: DataFrame, abi: str, max_id: int, glob: str) -> DataFrame:
     lines = ordering.cut(_lines(spark, path, glob))
     plain = lines.groupBy("path").agg(F.every(F.col("value").rlike(r"^[\s0-9]*$")).alias("_plain"))
     lines = lines.join(plain, "path")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqalert.functions.columns import with_status
 from seqalert.operators import windows as win
 
 #: Windows per score record; a longer trace is written as several records.
@@ -16,9 +17,10 @@ def write_windows(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("split").parquet(path)
 
 
-def score_records(scores: DataFrame, stats: DataFrame | None = None, w: int = 20, stride: int = 2, tau: float | None = None, size: int = RECORD_WINDOWS) -> DataFrame:
+def score_records(scores: DataFrame, stats: DataFrame | None = None, traces: DataFrame | None = None, w: int = 20, stride: int = 2, tau: float | None = None, size: int = RECORD_WINDOWS) -> DataFrame:
     """Scored windows as records with array columns: one per trace, or one per ``size`` windows of a long trace, with
-    ``first_window`` and the counters of ``stats``."""
+    ``first_window`` and the counters of ``stats``. Traces of ``traces`` (``trace_id``, ``length``) that are too short for a window get a
+    record without scores whose status says so."""
     rows = scores.withColumn("_part", F.expr(f"w div {size}"))
     item = F.struct("w", "path_a", "path_b", "path_c", "prob")
     packed = rows.groupBy("trace_id", "_part").agg(F.sort_array(F.collect_list(item)).alias("_r"))
@@ -28,6 +30,11 @@ def score_records(scores: DataFrame, stats: DataFrame | None = None, w: int = 20
         F.col("_r.path_a").alias("path_a_scores"), F.col("_r.path_b").alias("path_b_scores"), F.col("_r.path_c").alias("path_c_scores"),
         F.col("_r.prob").alias("phase5_probs"), F.transform("_r.prob", lambda p: p >= F.lit(tau if tau is not None else 0.5)).alias("phase5_positive"),
     )
+    if traces is not None:
+        short = with_status(traces, w, stride).where(F.col("n_windows") == 0)
+        none = {f.name: F.lit([]).cast(f.dataType) for f in out.schema if f.dataType.typeName() == "array"}
+        one = {"file": F.col("trace_id"), "first_window": F.lit(0), "n_windows": F.lit(0), "window_size": F.lit(w), "stride": F.lit(stride), "phase5_tau": F.lit(tau), "status": F.col("status"), **none}
+        out = out.unionByName(short.select(*[one[f.name].cast(f.dataType).alias(f.name) for f in out.schema]))
     return out if stats is None else out.join(stats.withColumnRenamed("trace_id", "file"), "file", "left")
 
 

@@ -86,31 +86,16 @@ def window_stream(stream: DataFrame, w: int = 20, stride: int = 2, size: int = P
     )
 
 
-def markov_lookup(model: Markov, limit: int = 2_000_000):
-    """Column function that scores windows with a transition table of at most ``limit`` rows, without a join: the form a
-    stream needs. Larger tables are scored by ``Markov.score``."""
-    rows = model.model.select("state", "nxt", F.log("p").alias("lp")).limit(limit + 1).toPandas()
-    if len(rows) > limit:
-        raise ValueError("the transition table is too large to share; score with Markov.score")
-    table = {(*map(int, s), int(n)): float(lp) for s, n, lp in zip(rows["state"], rows["nxt"], rows["lp"])}
-    k = model.order
-    shared = model.model.sparkSession.sparkContext.broadcast(table)
-
-    @F.pandas_udf("double")
-    def scored(col: pd.Series) -> pd.Series:
-        known = shared.value
-        out = []
-        for v in col:
-            grams = zip(*[v[i : len(v) - k + i] for i in range(k + 1)])
-            out.append(-sum(known.get(tuple(map(int, g)), UNSEEN) for g in grams) / max(len(v) - k, 1))
-        return pd.Series(out, index=col.index, dtype="float64")
-
-    return scored
-
-
-def score_stream(stream: DataFrame, scorer, col: str = "win", name: str = "score") -> DataFrame:
-    """Score windows of a stream with a column function; nothing is kept between batches."""
-    return stream.withColumn(name, scorer(F.col(col)))
+def score_batches(stream: DataFrame, model: Markov, path: str, checkpoint: str) -> DataFrame:
+    """Score a stream of windows with a fitted chain, batch by batch: the model joins each batch as it joins a table, whatever
+    its size, and nothing is kept between batches. A batch that runs again overwrites its own folder."""
+
+    def one(batch: DataFrame, number: int) -> None:
+        model.score(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    q = stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.sparkSession.read.parquet(path).drop("batch")
 
 
 class _Alerts:

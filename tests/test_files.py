@@ -50,7 +50,7 @@ def test_named_and_mixed_traces(spark, tmp_path):
     put(tmp_path, "mix/plain.txt", "1 2\n3")
     put(tmp_path, "mix/calls.txt", "open(\"/x\", 0) = 3\n7\n\nmystery(1)\nnewcall\n??\n4 5\n")
     mixed = files.read_mixed_traces(spark, str(tmp_path / "mix"), m, "i386", 340)
-    assert seqs(mixed) == {"plain": [1, 2, 3], "calls": [5, 7, None, 12]}
+    assert seqs(mixed) == {"plain": [1, 2, 3], "calls": [5, 7, 12]}
     repaired = abi.repair_ids(spark.createDataFrame([("t", 0, 500), ("t", 1, 999), ("t", 2, 7)], "trace_id string, pos bigint, token int"), m, "i386", 340)
     assert [(r["token"], r["mapped"]) for r in repaired.orderBy("pos").collect()] == [(12, "renamed"), (0, "zeroed"), (7, "kept")]
 

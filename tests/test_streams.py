@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from seqalert.operators import alerts, windows as win
+from seqalert.operators import alerts, ordering, windows as win
 from seqalert.operators.alerts import Policy
 from seqalert.scorers.chronology import Markov
 from seqalert.streaming import streams as S
@@ -74,11 +74,11 @@ def test_ordering_marks_late_rows(spark, tmp_path):
     assert sorted((r["id"], r["pos"]) for r in out.where("late").collect()) == [(2, None), (9, None)]
 
 
-def test_lookup_scores_equal_the_join(spark, tokens):
-    w = win.sliding_windows(spark.createDataFrame(tokens, "trace_id string, pos bigint, token int")).cache()
+def test_scored_batches_equal_the_table(spark, tokens, tmp_path):
+    w = ordering.cut(win.sliding_windows(spark.createDataFrame(tokens, "trace_id string, pos bigint, token int")))
+    w.repartition(3).write.parquet(str(tmp_path / "src"))
     model = Markov(2).fit(w.where("trace_id = 'a'"))
+    stream = S.token_stream(spark, str(tmp_path / "src"), "trace_id string, w bigint, win array<int>", max_files=1)
     a = model.score(w).select("trace_id", "w", F.round("score", 9).alias("s"))
-    b = S.score_stream(w, S.markov_lookup(model)).select("trace_id", "w", F.round("score", 9).alias("s"))
-    assert a.exceptAll(b).count() == 0
-    with pytest.raises(ValueError):
-        S.markov_lookup(model, 3)
+    b = S.score_batches(stream, model, str(tmp_path / "out"), str(tmp_path / "state")).select("trace_id", "w", F.round("score", 9).alias("s"))
+    assert a.count() == b.count() > 0 and a.exceptAll(b).count() == 0
