@@ -211,3 +211,13 @@ def _(s, d):
     resolved = ordering.cut(abi.resolve_abi(files, tokens, m))
     converted = ordering.cut(abi.convert(resolved, tokens, m))
     return abi.validate_conversion(abi.conversion_report(resolved, converted), converted, m)
+
+
+@query(
+    "fn_03_abi_hint",
+    """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'i386' WHEN 1 THEN 'x86_64' WHEN 2 THEN 'arm64_asm_generic' WHEN 3 THEN 'x86_64' END AS abi FROM part""",
+)
+def _(s, d):
+    folders = F.array(*[F.lit(x) for x in ("i386", "run/x86_64", "arm64/x", "X86_64/i386", "none")])
+    path = F.concat(F.lit("in/"), F.element_at(folders, (F.col("p_partkey") % 5 + 1).cast("int")), F.lit("/"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(".txt"))
+    return table(s, d, "part").select("p_partkey", abi.hint_from_path(path, "in/").alias("abi"))

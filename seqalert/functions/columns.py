@@ -65,6 +65,11 @@ def with_status(traces: DataFrame, w: int, stride: int = 1, length: str = "lengt
     return out.withColumn("status", F.when(F.col("n_windows") == 0, f"too_short_for_window_{w}").otherwise("ok"))
 
 
+def utc_stamp() -> Column:
+    """Time of the run in UTC, for reports; never part of a compared result."""
+    return F.concat(F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC"))
+
+
 def safe_cast(col: Column, to: str, default: float | int | str | None = None) -> Column:
     return F.coalesce(col.try_cast(to), F.lit(default).cast(to))
 

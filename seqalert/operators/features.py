@@ -56,15 +56,20 @@ class _Tfidf:
         return self
 
     def weights(self, windows: DataFrame) -> DataFrame:
-        """Non-zero weights ``(trace_id, w, idx, weight)``."""
-        grams = windows.select("trace_id", "w", F.explode(self.grams()).alias("gram"))
-        # The vocabulary has max_features rows at most.
-        known = grams.join(F.broadcast(self.table.select("gram", "idx", "idf")), "gram")
-        # One shuffle by window serves both the counts and the row length.
-        tf = known.repartition("trace_id", "w").groupBy("trace_id", "w", "idx", "idf").agg(F.count(F.lit(1)).alias("_tf"))
-        v = (1 + F.log("_tf")) * F.col("idf")
-        norm = F.sqrt(F.sum(v * v).over(Window.partitionBy("trace_id", "w")))
-        return tf.select("trace_id", "w", "idx", (v / norm).alias("weight"))
+        """Non-zero weights ``(trace_id, w, idx, weight)``. A window is one row, so its n-grams are counted and weighted inside a
+        task and nothing is shuffled."""
+        tfidf = self._slim()
+
+        def rows(batches):
+            at = np.array([e[1] for e in tfidf.entries], dtype="int32")
+            for pdf in batches:
+                for start in range(0, len(pdf), 1000):
+                    part = pdf.iloc[start : start + 1000]
+                    x = tfidf.matrix(part["win"].tolist())
+                    r, c = np.nonzero(x)
+                    yield pd.DataFrame({"trace_id": part["trace_id"].to_numpy()[r], "w": part["w"].to_numpy()[r], "idx": at[c], "weight": x[r, c]})
+
+        return windows.select("trace_id", "w", "win").mapInPandas(rows, "trace_id string, w bigint, idx int, weight double")
 
     def matrix(self, wins: Sequence) -> np.ndarray:
         raise NotImplementedError

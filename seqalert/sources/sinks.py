@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqalert.functions.columns import with_status
+from seqalert.functions.columns import utc_stamp, with_status
 from seqalert.operators import windows as win
 
 #: Windows per score record; a longer trace is written as several records.
@@ -84,8 +84,8 @@ def report_lines(summary: DataFrame, families: DataFrame, failures: DataFrame) -
 
 
 def write_report(summary: DataFrame, families: DataFrame, failures: DataFrame, path: str) -> None:
-    """The report as JSON rows and as one Markdown file; both are report-sized."""
-    for name, df in (("summary", summary), ("families", families), ("failures", failures)):
+    """The report as JSON rows and as one Markdown file; both are report-sized. The JSON summary says when it was made."""
+    for name, df in (("summary", summary.withColumn("generated_at", utc_stamp())), ("families", families), ("failures", failures)):
         df.coalesce(1).write.mode("overwrite").json(f"{path}/json/{name}")
     lines = report_lines(summary, families, failures).orderBy("section", "row").select("line")
     lines.coalesce(1).write.mode("overwrite").text(f"{path}/markdown")

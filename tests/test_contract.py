@@ -14,8 +14,8 @@ sys.path.insert(0, str(ROOT))
 
 import __spark_entry__ as contract  # noqa: E402
 
-# Rows of the inventory that are checked by tests alone: they work on a fixed table, a folder name or a clock.
-TESTED_ONLY = {"src_09", "fn_03", "fn_09"}
+# Rows of the inventory that are checked by tests alone: they work on file names or a clock.
+TESTED_ONLY = {"src_09", "fn_09"}
 KEY = [
     "win_01_sliding_windows", "win_06_alert_timeline", "win_06_alert_timeline_with_hold", "win_11_episode_results", "agg_10_family_realtime", "agg_11_realtime_summary",
     "cur_02_roc_auc_by_group", "cur_12_delong", "cur_15_per_family", "cur_19_calibrated_rules", "smp_11_nested_cv", "smp_12_sample_manifest", "abi_02_resolved",

@@ -132,3 +132,9 @@ def test_no_private_folder_on_a_cluster():
 def test_everything_else_works_without_the_corpus_operators():
     code = "import sys; sys.modules['seqalert.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert len(q) > 150 and 'pipeline' not in q and not any(n.startswith('op1_') for n in q)"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
+
+
+def test_report_stamp(spark):
+    from seqalert.functions.columns import utc_stamp
+
+    assert spark.range(1).select(utc_stamp().rlike(r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d UTC$")).head()[0]
