@@ -74,15 +74,16 @@ def language_model(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Cost of a letter (or word end) after two others, counted over all texts. The alphabet is fixed, so the model is an
     array of bounded size, whatever the number of texts."""
     counted = docs.select(F.col(text).alias("text")).mapInArrow(_count_trigrams, "code bigint, n bigint")
-    got = counted.groupBy("code").agg(F.sum("n").alias("n")).collect()
-    n = np.zeros(SYMBOLS**3)
-    n[[r["code"] for r in got]] = [r["n"] for r in got]
+    got = counted.groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # as arrays: rows would take many times the memory
+    n = np.zeros(SYMBOLS**3, np.float32)
+    n[got["code"].to_numpy()] = got["n"].to_numpy()
     three = n.reshape(SYMBOLS, SYMBOLS, SYMBOLS)
     two, one = three.sum(0), three.sum((0, 1))
-    p = (one + 1) / (one.sum() + SYMBOLS)
+    p = ((one + 1) / (one.sum() + SYMBOLS)).astype(np.float32)
     p = (two + 5 * p) / (two.sum(1, keepdims=True) + 5)
-    p = (three + 5 * p) / (three.sum(2, keepdims=True) + 5)
-    return -np.log(p).astype(np.float32)
+    three += 5 * p
+    three /= three.sum(2, keepdims=True)
+    return -np.log(three, out=three)
 
 
 def readings(mark: str, again: bool) -> list[tuple[str, float]]:
@@ -240,7 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed: int
 
     count = taught.where("label = 1").select("text").mapInArrow(counted, "feature bigint, n bigint")
     count = count.groupBy("feature").agg(F.sum("n").alias("n")).where("n >= 3").orderBy(F.desc("n"), "feature").limit(CANDIDATES)
-    names = [r["feature"] % (1 << 64) for r in count.collect()]
+    names = count.toArrow()["feature"].to_numpy().view(np.uint64).tolist()
     narrow = share_parts(sc, cost, {f: i for i, f in enumerate(names)})
     row = pa.schema([("label", pa.int32()), ("found", pa.binary())])
 
@@ -249,12 +250,13 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed: int
         for y, body in rows(batches):
             yield int(y), np.array(sorted(reader.features(body)), np.int32).tobytes()
 
-    got = taught.mapInArrow(lambda b: emitted(vectors(b), row), "label int, found binary").collect()
+    got = taught.mapInArrow(lambda b: emitted(vectors(b), row), "label int, found binary").toArrow()
     plain.destroy()
     narrow.destroy()
-    got.sort(key=lambda r: (r["label"], bytes(r["found"])))  # the fit does not depend on the order of the tasks
-    y = np.array([r["label"] for r in got], float)
-    found = [np.frombuffer(r["found"], np.int32) for r in got]
+    rows_of = sorted(zip(got["label"].to_pylist(), got["found"].to_pylist()))  # the fit does not depend on the order of the tasks
+    y = np.array([label for label, _ in rows_of], float)
+    found = [np.frombuffer(f, np.int32) for _, f in rows_of]
+    del got, rows_of
     ones, zeros = y.sum(), len(y) - y.sum()
     if not ones or not zeros:
         return Model(Reader(cost, {}), np.zeros(1), float(np.log((ones + 1) / (zeros + 99))))
