@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from seqalert.operators.ordering import share
 from seqalert.session import cut
 
+#: Columns that a mix adds.
+ADDED = ["size", "source_size", "target", "rate", "copies"]
+
 
 def word_count(text: str | Column) -> Column:
     """Number of words ``[^\\x20\\x09-\\x0D]+``; 0 for null."""
@@ -48,8 +51,7 @@ def mixed(
     its id and text, so a rerun on any partitioning takes the same copies. A null source is a source of its own; a null
     or blank text has size 0; rows that repeat an id and text share their draw; an empty table gives no rows. Columns that
     have one of the added names are replaced."""
-    added = ["size", "source_size", "target", "rate", "copies"]
-    kept = [c for c in docs.columns if c not in added]
+    kept = [c for c in docs.columns if c not in ADDED]
     sized = docs.select(*kept, word_count(text).alias("size"))
     plan = share(cut(recipe(sized, source, "size", weights, share_of_all, most)))
     rows = sized.join(plan, sized[source].eqNullSafe(plan["_source"]))
@@ -57,10 +59,12 @@ def mixed(
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id, text), 12) / float(1 << 52)
     copies = F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("bigint")
     rows = rows.withColumn("copies", F.least(copies, F.lit(int(-(-most // 1))))).drop("_source")
-    return rows.select(*kept, *added)
+    return rows.select(*kept, *ADDED)
 
 
 def taken(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as ``mixed`` takes it, with the columns of ``docs``."""
-    rows = mixed(docs, **how)
-    return rows.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+    own = {c: f"_own_{c}" for c in docs.columns if c in ADDED}
+    rows = mixed(docs.withColumnsRenamed(own), **how).where("copies > 0")
+    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return rows.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])

@@ -87,7 +87,7 @@ def test_mixing(spark):
     again = mixing.mixed(docs.coalesce(1)).collect()
     assert Counter((x["doc_id"], x["text"], x["copies"]) for x in again) == Counter((x["doc_id"], x["text"], x["copies"]) for x in got)
     emitted = mixing.taken(docs)
-    assert emitted.columns == docs.columns and emitted.count() == sum(x["copies"] for x in got)
+    assert emitted.columns == docs.columns and emitted.select("size", "rate").distinct().collect() == [("s", 1)] and emitted.count() == sum(x["copies"] for x in got)
     assert mixing.mixed(docs.where("false")).collect() == []
     assert [x["copies"] for x in mixing.mixed(docs.where("text = ''")).collect()] == [0] * docs.where("text = ''").count()
 
