@@ -6,7 +6,9 @@ Two steps, both exact up to collisions of 64-bit hashes:
    parts, some part is equal in both. Each set emits one signature per part; sets that share a signature fall into one
    block (a connected component of the table of signatures). A signature covers several shingles, so that texts that only
    share a common passage seldom meet. The map side keeps one document per signature and task and turns the others into
-   edges, so a group of copies of any size reaches the shuffle as one row per task.
+   edges, so a group of copies of any size reaches the shuffle as one row per task. A part made of very common shingles
+   alone (or of none) would join texts that share a common line, so a few parts more than needed are dealt and each
+   set leaves out that many such parts; a linked pair still has an equal part that both emit.
 2. T-occurrence search inside a block. Distinct sets are held in an inverted index. For a query set of ``n`` shingles the
    ``L`` longest lists are set aside, with L by the cost of either side, the short ones are merged by a heap, candidates need ``T - L`` occurrences there, and
    the long lists are probed by binary search (DivideSkip). Found documents leave the index and become queries themselves,
@@ -38,6 +40,9 @@ HELD = 2_000_000
 HEAP = 2_000
 #: Cost of merging a posting, in steps of a vectorised binary search.
 MERGE = 0.5
+#: Shingles found so often among HELD ones are common; the most frequent COMMON of them are told to all tasks. Any such set
+#: gives the same result, as it only decides which parts are left out.
+OFTEN, COMMON = 4, 500_000
 #: Most sets that one task searches at once.
 TASK_DOCS = 20_000
 
@@ -57,41 +62,60 @@ def size_ranges(percent: int, upto: int) -> list[tuple[int, int]]:
     return out
 
 
-def signatures(found: np.ndarray, percent: int, ranges: list[tuple[int, int]], starts: list[int]) -> np.ndarray:
+def signatures(found: np.ndarray, percent: int, ranges: list[tuple[int, int]], starts: list[int], common: np.ndarray) -> np.ndarray:
     """Part signatures of a sorted set of shingles, for every size range that holds its size.
 
-    With ``spare`` parts more than needed, a linked pair has at least ``spare + 1`` equal parts, so up to ``spare``
-    empty parts of a set can be left out."""
+    With ``spare`` parts more than needed, a linked pair has at least ``spare + 1`` equal parts. Parts without a shingle that
+    is not ``common`` (sorted) are weak; whether a part is weak follows from its content, so a set of at most ``spare`` weak
+    parts can leave them out: one of the equal parts is not weak, and both sets emit it."""
     n, out = len(found), []
     at = bisect_right(starts, n) - 1
+    place = np.minimum(np.searchsorted(common, found), max(0, len(common) - 1))
+    rare = common[place] != found if len(common) else np.ones(n, bool)
     while at >= 0 and ranges[at][1] >= n:
         differ = (100 - percent) * 2 * ranges[at][1] // (100 + percent)
-        spare = 1 + differ * 3 // 100
+        spare = 1 + differ * 12 // 100
         k = differ + 1 + spare
         part = ((found >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)  # rises with the shingle
         first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-        total = np.add.reduceat(mix(found), first)
         seed = np.uint64(at * 0x10001 + 7)
-        out.append(mix(total + mix(part[first] + seed)))
-        if k - len(first) > spare:
+        sig = mix(np.add.reduceat(mix(found), first) + mix(part[first] + seed))
+        strong = np.logical_or.reduceat(rare, first)
+        if k - strong.sum() <= spare:
+            out.append(sig[strong])
+        else:
             empty = np.setdiff1d(np.arange(k, dtype=np.uint64), part[first])
-            out.append(mix(mix(empty + seed)))
+            out += [sig, mix(mix(empty + seed))]
         at -= 1
     return np.concatenate(out)
 
 
-def _base(k: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary())])
+def _base(k: int, held: int):
+    """Per row its set's size and key; besides, rows of shingles that many of a task's sets hold (without a size)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("shingle", pa.int64()), ("n", pa.int64())])
+
+    def often(sets):
+        value, n = np.unique(np.concatenate(sets), return_counts=True)
+        often = n >= OFTEN
+        yield from ((None, None, None, v, c) for v, c in zip(value[often].view(np.int64).tolist(), n[often].tolist()))
 
     def make(batches):
+        sets, total = [], 0
         for doc, text in rows(batches):
             found = shingles(text, k)
-            yield doc, len(found), hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+            yield doc, len(found), hashlib.blake2b(found.tobytes(), digest_size=16).digest(), None, None
+            sets.append(found)
+            total += len(found)
+            if total >= held:
+                yield from often(sets)
+                sets, total = [], 0
+        if sets:
+            yield from often(sets)
 
     return lambda batches: emitted(make(batches), schema)
 
 
-def _signed(k: int, percent: int, held: int):
+def _signed(k: int, percent: int, held: int, told):
     """(signature, a, b): ``a = b`` is a document with this signature, ``a <> b`` an edge found inside the task."""
     names = ["sig", "a", "b"]
 
@@ -113,13 +137,14 @@ def _signed(k: int, percent: int, held: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs, docs, total = [], [], 0
         ranges = size_ranges(percent, 1 << 12)
+        common = told.value
         for doc, text in rows(batches):
             found = shingles(text, k)
             if doc is None or not len(found):
                 continue
             if len(found) > ranges[-1][1] * percent // 100:
                 ranges = size_ranges(percent, 2 * len(found))
-            sigs.append(signatures(found, percent, ranges, [r[0] for r in ranges]))
+            sigs.append(signatures(found, percent, ranges, [r[0] for r in ranges], common))
             docs.append(doc)
             total += len(sigs[-1])
             if total >= held:
@@ -259,9 +284,13 @@ def near_groups(
     share a component. A row without ``doc_id`` takes no part: its ``component_id`` is null. Other columns are ignored; an
     empty table gives an empty result."""
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    base = cut(docs.mapInArrow(_base(k), "doc_id bigint, n_shingles bigint, key binary"))
+    both = cut(docs.mapInArrow(_base(k, held), "doc_id bigint, n_shingles bigint, key binary, shingle bigint, n bigint"))
+    base = both.where("n_shingles is not null").select("doc_id", "n_shingles", "key")
+    seen = both.where("n_shingles is null").groupBy("shingle").agg(F.sum("n").alias("n"))
+    common = seen.orderBy(F.desc("n"), "shingle").limit(COMMON).select("shingle").toArrow()["shingle"].to_numpy()
+    told = docs.sparkSession.sparkContext.broadcast(np.sort(common.view(np.uint64)))
 
-    signed = docs.mapInArrow(_signed(k, percent, held), "sig bigint, a bigint, b bigint")
+    signed = docs.mapInArrow(_signed(k, percent, held, told), "sig bigint, a bigint, b bigint")
     least = signed.selectExpr("sig", "a", "b", "min(b) over (partition by sig) as least")
     near = least.where("b <> least or a <> b").select("a", F.when(F.col("a") == F.col("b"), F.col("least")).otherwise(F.col("b")).alias("b"))
     block = cut(components(near.distinct()).select(F.col("node").alias("doc_id"), F.col("component").alias("block")))
@@ -303,6 +332,8 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The documents of ``docs`` (``doc_id``, ``text``, ...) with one left of each near-copy group: the one with the smallest
     ``doc_id``. Rows that repeat a ``doc_id`` are one document, of which one row stays; rows without ``doc_id`` stay."""
     groups = near_groups(docs, k, percent)
-    stays = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    stays = cut(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
+    kept = docs.where("doc_id is not null").join(share(stays.select("doc_id")), "doc_id", "left_semi")
+    if not stays.where("n > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id"])
     return kept.select(docs.columns).union(docs.where("doc_id is null"))

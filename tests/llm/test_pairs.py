@@ -104,7 +104,9 @@ def test_linked_sets_share_a_signature():
                 if r.random() < 0.02:
                     break
             y = np.array(sorted(y), np.uint64)
-            assert set(jaccard.signatures(x, percent, ranges, starts)) & set(jaccard.signatures(y, percent, ranges, starts))
+            for share in (0, 0.3, 1):
+                common = np.array(sorted(v for v in {*x.tolist(), *y.tolist()} if r.random() < share), np.uint64)
+                assert set(jaccard.signatures(x, percent, ranges, starts, common)) & set(jaccard.signatures(y, percent, ranges, starts, common))
 
 
 def test_shingles_of_short_and_long_texts():
