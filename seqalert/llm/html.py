@@ -19,9 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqalert.llm.text import emitted, made, rows, share_parts
+from seqalert.llm.text import emitted, made, rows, sampled, share_parts
 
-#: Most pages of the table that the potentials are learned from: those with the smallest seeded hash of their id.
+#: Pages of the table, about, that the potentials are learned from, chosen by a seeded hash. Pages over 200 000 characters
+#: teach nothing.
 FIT_ROWS = 400
 
 #: Elements inside a line of text; they are no nodes.
@@ -336,7 +337,7 @@ def extracted(pages: DataFrame, fit_rows: int = FIT_ROWS, seed: int = 3, page_id
     A null or empty page, and one without content, has an empty text. Pages are read whole. Rows that repeat an id are rows of
     the result; other columns are ignored; an empty table gives no rows."""
     picked = pages.select(F.col(page_id).cast("bigint").alias("page_id"), F.col(url).alias("url"), F.col(page).alias("html"))
-    sample = picked.where("length(html) between 1 and 200000").orderBy(F.xxhash64(F.lit(seed), "page_id"), "page_id").limit(fit_rows).select("html").collect()
+    sample = sampled(picked, ["page_id", "url"], fit_rows, seed).where("length(html) between 1 and 200000").select("html").collect()
     model = fit([*skeletons(), *sorted(r["html"] for r in sample)])
     told = share_parts(pages.sparkSession.sparkContext, model.weights, model.bias, model.evidence)
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])

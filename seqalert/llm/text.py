@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -86,6 +88,16 @@ def _batch(held: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
 
+def sampled(df: DataFrame, keys: list[str], rows: int, seed: int) -> DataFrame:
+    """About ``rows`` rows of ``df`` (all of a smaller table), chosen by a seeded hash of their ``keys``. Equal rows are chosen
+    together, so no more than twice that many are given; every task decides alone, and nothing else leaves it."""
+    n = df.count()
+    if n <= rows:
+        return df
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 12) / float(1 << 52)
+    return df.where(draw < rows / n).limit(2 * rows)
+
+
 def share_parts(sc, *parts):
     """Broadcast of plain values from which ``made`` builds an object on the executors."""
     return sc.broadcast({"parts": parts})
