@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqalert.llm.text import made, share_parts
+from seqalert.llm.text import made, sampled, share_parts
 from seqalert.session import cut
 
-#: Vectors of the sample that mean, rotation and radius are learned from: those with the smallest seeded hash.
+#: Vectors, about, that mean, rotation and radius are learned from, chosen by a seeded hash.
 FIT_ROWS = 4096
 #: Vectors that one task indexes, and queries that it answers, at once.
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 2048
@@ -109,7 +109,7 @@ def nearest(
     smallest vector; other columns are ignored; empty tables give an empty result.
 
     A block of vectors and a block of queries meet in one task, which sends the best ``k`` of each query on; every vector is
-    indexed. The fit reads ``fit_rows`` vectors. A block with fewer than ``k`` vectors inside the radius for a query looks
+    indexed. The fit reads about ``fit_rows`` vectors. A block with fewer than ``k`` vectors inside the radius for a query looks
     at all of its own for it, so that no query is left short."""
     spark = vectors.sparkSession
 
@@ -119,7 +119,7 @@ def nearest(
 
     held = cut(clean(vectors))
     order = F.xxhash64(F.lit(seed), "id")
-    sample = held.orderBy(order, "id").limit(fit_rows).collect()
+    sample = sorted(sampled(held, ["id"], fit_rows, seed).collect(), key=lambda r: r["id"])
     if not sample:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     lengths = [len(r["v"]) for r in sample]
