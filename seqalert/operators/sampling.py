@@ -23,8 +23,10 @@ def sample_by_length(windows: DataFrame, n_strata: int, m: int, seed: int = 42)
 
 def transition_weights(windows: DataFrame) -> DataFrame:
     """Weight of a window: histogram intersection of its bigram shares and the corpus bigram shares."""
-    corpus = win.bigram_counts(windows)
-    share = corpus.select("a", "b", (F.col("n") / corpus.agg(F.sum("n")).scalar()).alias("_corpus"))
+    windows = ordering.cut(windows.select("trace_id", "w", "win"))
+    corpus = ordering.cut(win.bigram_counts(windows))
+    # A common bigram is a hot key; up to the limit of shared tables nothing is shuffled for it.
+    share = ordering.share(corpus.select("a", "b", (F.col("n") / corpus.agg(F.sum("n")).scalar()).alias("_corpus")))
     pairs = win.ngrams(windows, 2).select("trace_id", "w", F.element_at("state", 1).alias("a"), F.col("nxt").alias("b"))
     own = pairs.groupBy("trace_id", "w", "a", "b").agg(_one().alias("_n"))
     size = windows.select("trace_id", "w", (F.size("win") - 1).alias("_all"))
