@@ -99,14 +99,7 @@ def _(s, d):
     rounds="distance", places=5,
 )
 def _(s, d):
-    v = vectors(s, d)
-    # The training side is a seeded sample of model size.
-    train = frequency.hash_sample(v, 1000, 42, ["vec_id"]).collect()
-    near = frequency.knn(v, np.array([r["vec"] for r in train]), 5)
-    rows = near.select("vec_id", F.posexplode(F.arrays_zip("knn.distances", "knn.indices")).alias("place", "_n"))
-    names = s.createDataFrame([(i, r["vec_id"]) for i, r in enumerate(train)], "i int, other bigint")
-    out = rows.join(names, F.col("_n.indices") == F.col("i"))
-    return out.select("vec_id", F.col("place").cast("bigint").alias("place"), "other", F.col("_n.distances").alias("distance"))
+    return frequency.nearest_rows(vectors(s, d), 5)
 
 
 MARKOV = """, bg AS (SELECT trace_id, w, win[i] AS a, win[i + 1] AS b FROM (SELECT *, unnest(range(1, 20)) AS i FROM win)),

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from seqalert.functions import sql
 from seqalert.operators import curves, features, ordering, pools, windows as win
 from seqalert.plans import protocols
-from seqalert.scorers import chronology, topology
+from seqalert.contract.base import QUERIES
+from seqalert.scorers import chronology, frequency, topology
 from seqalert.session import checkpoint_folder
 from seqalert.sources import sinks
 
@@ -138,3 +139,35 @@ def test_report_stamp(spark):
     from seqalert.functions.columns import utc_stamp
 
     assert spark.range(1).select(utc_stamp().rlike(r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d UTC$")).head()[0]
+
+
+def brute_nearest(ids, x, k):
+    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1))
+    return {(int(ids[a]), p): (int(ids[b]), d[a, b]) for a in range(len(ids)) for p, b in enumerate(np.lexsort((ids, d[a]))[:k])}
+
+
+@pytest.mark.parametrize("block", [40, 8192])
+def test_nearest_rows_are_those_of_the_whole_table(spark, block):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 6)).astype("float32").astype(float)
+    x[50:120] = x[7]  # one vector many times over
+    ids = rng.permutation(1000)[:300]
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id bigint, vec array<double>")
+    got = {(r["vec_id"], r["place"]): (r["other"], r["distance"]) for r in frequency.nearest_rows(df, 5, block=block).collect()}
+    want = brute_nearest(ids, x, 5)
+    assert got.keys() == want.keys()
+    assert all(got[key][0] == want[key][0] and got[key][1] == pytest.approx(want[key][1]) for key in want)
+
+
+def test_knn_reads_tables_above_1000_vectors(spark):
+    d = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], dtype=float)
+    size = (x**2).sum(1)
+    got = QUERIES["jn_12_knn"](spark, d).collect()
+    assert len(rows) == 2000 and len(got) == 5 * len(rows)
+    at = {int(v): i for i, v in enumerate(ids)}
+    furthest = {r["vec_id"]: r["distance"] for r in got if r["place"] == 4}
+    for v in ids[:200].tolist():
+        d2 = np.sort(np.maximum(size[at[v]] - 2 * x @ x[at[v]] + size, 0))
+        assert furthest[v] == pytest.approx(np.sqrt(d2[4]), abs=1e-4)
