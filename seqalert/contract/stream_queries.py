@@ -64,26 +64,19 @@ def _(s, d):
     "SELECT episode_id AS trace_id, n_windows, first_alert, first_inside, before, inside_n AS inside, after, total, n_segs AS segments FROM res", "res",
 )
 def _(s, d):
-    truth = ordering.cut(E.attack_ranges(episodes(s, d)).select(F.col("episode_id").alias("trace_id"), "attack_start", "attack_end"))
+    known = ordering.cut(episodes(s, d))
+    truth = ordering.cut(E.attack_ranges(known).select(F.col("episode_id").alias("trace_id"), "attack_start", "attack_end", F.col("n_windows").alias("expected")))
     stream = _scores(s, d).join(truth, "trace_id", "left")
     path = scratch(s)
-    q = S.episode_stream(stream, POLICY, idle_ms=1000)
-    q = q.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(processingTime="500 milliseconds").start()
-    # The stream ends when every episode went idle and was closed.
-    want = truth.count()
+    closed = S.episode_stream(stream, POLICY, idle_ms=1000)
+    q = closed.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(processingTime="500 milliseconds").start()
+    # The stream ends when every episode has all its windows, went idle and was closed.
+    want = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n_windows"), F.lit(0)).alias("windows")).head()
     try:
-        for _ in range(240):
-            q.awaitTermination(0.5)
-            if q.exception():
-                raise q.exception()
-            try:
-                if s.read.parquet(f"{path}/out").count() >= want:
-                    break
-            except Exception:  # nothing written yet
-                continue
+        out = S.await_episodes(q, s, f"{path}/out", closed.schema, want["n"], want["windows"])
     finally:
         q.stop()
-    return s.read.parquet(f"{path}/out").drop("attack_start", "attack_end")
+    return out.drop("attack_start", "attack_end")
 
 
 @query(

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -174,23 +175,34 @@ def alert_stream(stream: DataFrame, policy: Policy) -> DataFrame:
 
 def episode_stream(stream: DataFrame, policy: Policy, idle_ms: int = 60_000) -> DataFrame:
     """Close an episode when its stream ``(trace_id, w, prob, attack_start, attack_end)`` stays idle for ``idle_ms``, and
-    emit its counters. ``attack_start`` and ``attack_end`` come from a join with the ground truth and may be NULL."""
+    emit its counters. ``attack_start`` and ``attack_end`` come from a join with the ground truth and may be NULL. Where the
+    stream has a column ``expected`` (the number of windows of the episode, NULL if unknown), an episode stays open until so
+    many have had their turn, however long it is idle."""
     counters = ["n_windows", "first_alert", "first_inside", "before", "inside", "after", "total", "segments", "attack_start", "attack_end"]
 
     def episode(key, batches: Iterator[pd.DataFrame], state: GroupState):
         names = ["trace_id", *counters]
         if state.hasTimedOut:
             stored = state.get
+            expected = stored[-1]
+            if expected is not None and stored[6] < expected:
+                state.update(stored)
+                state.setTimeoutDuration(idle_ms)
+                yield pd.DataFrame(columns=names).astype({"trace_id": str, **{c: "Int64" for c in counters}})
+                return
             state.remove()
-            row = [key[0], *stored[6:]]
+            row = [key[0], *stored[6:-1]]
             yield pd.DataFrame([row], columns=names).astype({c: "Int64" for c in counters})
             return
         stored = state.get if state.exists else None
         run = _Alerts(policy, stored[:6] if stored else None)
-        count = dict(zip(counters, stored[6:])) if stored else {c: (None if c in ("first_alert", "first_inside", "attack_start", "attack_end") else 0) for c in counters}
+        count = dict(zip(counters, stored[6:-1])) if stored else {c: (None if c in ("first_alert", "first_inside", "attack_start", "attack_end") else 0) for c in counters}
+        expected = stored[-1] if stored else None
         rows = pd.concat(list(batches))
         if len(rows):
             s, e = rows["attack_start"].iloc[0], rows["attack_end"].iloc[0]
+            if not pd.isna(rows["expected"].iloc[0]):
+                expected = int(rows["expected"].iloc[0])
             if not pd.isna(s):
                 count["attack_start"], count["attack_end"] = int(s), int(e)
         start, end = count["attack_start"], count["attack_end"]
@@ -206,13 +218,37 @@ def episode_stream(stream: DataFrame, policy: Policy, idle_ms: int = 60_000) ->
                 count[where] += 1
                 if where == "inside" and count["first_inside"] is None:
                     count["first_inside"] = w
-        state.update((*run.stored(), *[None if count[c] is None else int(count[c]) for c in counters]))
+        state.update((*run.stored(), *[None if count[c] is None else int(count[c]) for c in counters], expected))
         state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(columns=names).astype({"trace_id": str, **{c: "Int64" for c in counters}})
 
     fields = ", ".join(f"{c} bigint" for c in counters)
-    slim = stream.select("trace_id", "w", "prob", F.col("attack_start").cast("bigint").alias("attack_start"), F.col("attack_end").cast("bigint").alias("attack_end"))
-    return slim.groupBy("trace_id").applyInPandasWithState(episode, f"trace_id string, {fields}", f"{STATE}, {fields}", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    known = F.col("expected") if "expected" in stream.columns else F.lit(None)
+    slim = stream.select(
+        "trace_id", "w", "prob", F.col("attack_start").cast("bigint").alias("attack_start"), F.col("attack_end").cast("bigint").alias("attack_end"), known.cast("bigint").alias("expected")
+    )
+    return slim.groupBy("trace_id").applyInPandasWithState(episode, f"trace_id string, {fields}", f"{STATE}, {fields}, expected bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def await_episodes(q, spark: SparkSession, path: str, schema, episodes: int, windows: int, every: float = 0.5) -> DataFrame:
+    """The table that the query ``q`` of an ``episode_stream`` writes below ``path``, once it holds ``episodes`` episodes with
+    ``windows`` windows in all, however long that takes. A query that fails raises its own error; one that ends before, or that
+    closes an episode more than once, is an error as well, so a part is never returned."""
+    while True:
+        ended = q.awaitTermination(every)
+        try:
+            table = spark.read.schema(schema).parquet(path)
+            got = table.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("trace_id").alias("episodes"), F.coalesce(F.sum("n_windows"), F.lit(0)).alias("windows")).head()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":  # else nothing written yet
+                raise
+            got = {"n": 0, "episodes": 0, "windows": 0}
+        if got["n"] > got["episodes"]:
+            raise RuntimeError(f"{got['n'] - got['episodes']} episodes were closed before all their windows had arrived")
+        if got["episodes"] >= episodes and got["windows"] >= windows:
+            return table
+        if ended:
+            raise RuntimeError(f"the stream ended after {got['episodes']} of {episodes} episodes and {got['windows']} of {windows} windows")
 
 
 def metrics_sink(stream: DataFrame, path: str, checkpoint: str, by: str = "trace_id"):

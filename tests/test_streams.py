@@ -82,3 +82,68 @@ def test_scored_batches_equal_the_table(spark, tokens, tmp_path):
     a = model.score(w).select("trace_id", "w", F.round("score", 9).alias("s"))
     b = S.score_batches(stream, model, str(tmp_path / "out"), str(tmp_path / "state")).select("trace_id", "w", F.round("score", 9).alias("s"))
     assert a.count() == b.count() > 0 and a.exceptAll(b).count() == 0
+
+
+class Query:
+    """A query that writes one table after the other, one for each time it is waited for, and then runs on or ends."""
+
+    def __init__(self, spark, path, tables, ends):
+        self.spark, self.path, self.tables, self.ends = spark, path, list(tables), ends
+
+    def awaitTermination(self, every):
+        if self.tables and (rows := self.tables.pop(0)):
+            self.spark.createDataFrame(rows, "trace_id string, n_windows bigint").write.mode("append").parquet(self.path)
+        return self.ends and not self.tables
+
+
+@pytest.mark.parametrize(
+    "tables, ends, why", [([[], [], [("a", 3)], [], [("b", 4)]], False, None), ([[("a", 3)], []], True, "ended after 1 of 2"), ([[], []], True, "ended after 0 of 2"), ([[("a", 1)], [("a", 2)]], False, "closed before")]
+)
+def test_episodes_are_whole_or_an_error(spark, tmp_path, tables, ends, why):
+    path = str(tmp_path / "out")
+    run = lambda: S.await_episodes(Query(spark, path, tables, ends), spark, path, "trace_id string, n_windows bigint", 2, 7)
+    if why is None:
+        assert sorted(map(tuple, run().collect())) == [("a", 3), ("b", 4)]
+    else:
+        with pytest.raises(RuntimeError, match=why):
+            run()
+
+
+@pytest.mark.parametrize("tau", [0.5, "no number"])
+def test_episode_query_returns_no_part(spark, sf, monkeypatch, tau):
+    """A stream that loses an episode, and one that fails: both were returned or read as they stood."""
+    from seqalert.contract import stream_queries
+    from seqalert.contract.base import QUERIES
+
+    whole, start = S.episode_stream, S.await_episodes
+    lost = lambda stream, policy, idle_ms: whole(stream.where("trace_id not like '%1'") if tau == 0.5 else stream.withColumn("prob", F.raise_error(F.lit("broken")).cast("double")), policy, idle_ms)
+    monkeypatch.setattr(stream_queries.S, "episode_stream", lost)
+
+    def ending(q, s, path, schema, episodes, windows):
+        for _ in range(120):
+            time.sleep(0.5)
+            if not q.isActive or (q.lastProgress and q.lastProgress["batchId"] >= 5):
+                break
+        if tau == 0.5:
+            q.stop()
+        return start(q, s, path, schema, episodes, windows)
+
+    monkeypatch.setattr(stream_queries.S, "await_episodes", ending)
+    with pytest.raises(Exception, match="the stream ended after" if tau == 0.5 else "broken"):
+        QUERIES["str_05_episode_stream"](spark, sf)
+
+
+def test_idle_episodes_wait_for_their_windows(spark, tmp_path):
+    """Windows 4 to 7 of the first trace come two batches after the others, long after it went idle."""
+    src, schema = str(tmp_path / "src"), "trace_id string, w bigint, prob double"
+    for rows in ([("a", w, 0.9) for w in range(4)], [("b", w, 0.9) for w in range(3)], [("c", w, 0.9) for w in range(2)], [("a", w, 0.9) for w in range(4, 8)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)
+    known = spark.createDataFrame([("a", 1, 5, 8), ("b", None, None, 3), ("c", None, None, 2)], "trace_id string, attack_start bigint, attack_end bigint, expected bigint")
+    closed = S.episode_stream(S.token_stream(spark, src, schema, max_files=1).join(known, "trace_id"), POLICY, idle_ms=1)
+    q = closed.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="500 milliseconds").start()
+    try:
+        out = S.await_episodes(q, spark, str(tmp_path / "out"), closed.schema, 3, 13)
+    finally:
+        q.stop()
+    assert sorted((r["trace_id"], r["n_windows"], r["segments"]) for r in out.collect()) == [("a", 8, 1), ("b", 3, 1), ("c", 2, 1)]
