@@ -26,6 +26,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Letters and numbers below U+0250, where the faster standard module can split as well.
 LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
 LATIN = PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"[^\s{LETTERS}{NUMBERS}]").replace(r"\p{L}", f"[{LETTERS}]").replace(r"\p{N}", f"[{NUMBERS}]")
+#: Texts with one of these need the full pattern: letters from U+0250 on, and U+001C to U+001F, which are blanks to ``re`` alone.
+BEYOND = "[\x1c-\x1f\u0250-\U0010ffff]"
 #: Longest word whose ids are kept, and number of words kept, per task.
 KEPT_LENGTH, KEPT_WORDS = 40, 400_000
 
@@ -96,7 +98,7 @@ class Encoder(dict):
     def __init__(self, vocab: Vocabulary):
         super().__init__()
         self.vocab = vocab
-        self.every, self.latin, self.beyond = regex.compile(PATTERN).findall, re.compile(LATIN).findall, re.compile("[ɐ-\U0010ffff]").search
+        self.every, self.latin, self.beyond = regex.compile(PATTERN).findall, re.compile(LATIN).findall, re.compile(BEYOND).search
         special = sorted((t["content"] for t in vocab.added if t["content"]), key=len, reverse=True)
         self.special = {t["content"]: t["id"].to_bytes(4, "little") for t in vocab.added}
         self.cut = re.compile("(" + "|".join(map(re.escape, special)) + ")").split if special else None

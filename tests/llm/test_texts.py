@@ -43,6 +43,14 @@ def test_encoding_equals_the_library(spark):
     assert bpe.encoded(docs.where("false"), PATH).collect() == []
 
 
+def test_control_characters_are_no_blanks():
+    e, own = bpe.Encoder(bpe.Vocabulary.parse(open(PATH, encoding="utf-8").read())), own_tokenizer()
+    r = random.Random(11)
+    texts = ["a\n\n\x1cb", "a \x1f\x1d b", *("".join(r.choice("a \n\x1c\x1d\x1e\x1fé\x85\xa0.7") for _ in range(30)) for _ in range(300))]
+    for t in texts:
+        assert list(memoryview(e.encode(t)).cast("I")) == own.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_cut_bytes_decode_to_the_replacement_sign():
     e = bpe.Encoder(bpe.Vocabulary.parse(open(PATH, encoding="utf-8").read()))
     packed = e.encode("é😀")
