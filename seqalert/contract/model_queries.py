@@ -69,7 +69,7 @@ def _(s, d):
 def _(s, d):
     train = ordering.cut(train_windows(s, d))
     test = ordering.cut(ev_windows(s, d).join(meta(s, d).select("trace_id", "y"), "trace_id"))
-    return features.sweep_features(train, test, [(100, 10), (200, 20)])
+    return features.sweep_features(train, test)
 
 
 @query("smp_02_coreset")

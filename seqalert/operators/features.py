@@ -30,14 +30,15 @@ def sum_stats(df: DataFrame, partial: Callable[[Iterable[pd.DataFrame]], Iterabl
     summed per key in the JVM."""
     parts = df.mapInPandas(partial, "key int, vals array<double>")
     total = parts.groupBy("key").agg(Summarizer.sum(array_to_vector("vals")).alias("v")).select("key", vector_to_array("v").alias("v"))
-    return {r["key"]: np.array(r["v"]) for r in total.collect()}
+    told = total.toArrow()  # without a Python number per value
+    return {k: v.values.to_numpy() for k, v in zip(told["key"].to_pylist(), told["v"])}
 
 
 class _Tfidf:
-    """Sublinear TF-IDF with smoothed idf ``ln((1 + n) / (1 + df)) + 1`` and rows of length one."""
+    """Sublinear TF-IDF (or with plain counts) with smoothed idf ``ln((1 + n) / (1 + df)) + 1`` and rows of length one."""
 
-    def __init__(self, max_features: int) -> None:
-        self.max_features = max_features
+    def __init__(self, max_features: int, sublinear: bool = True) -> None:
+        self.max_features, self.sublinear = max_features, sublinear
 
     def grams(self) -> Column:
         raise NotImplementedError
@@ -76,7 +77,7 @@ class _Tfidf:
 
     def _finish(self, counts: np.ndarray) -> np.ndarray:
         idf = np.array([e[4] for e in self.entries])
-        x = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0.0) * idf
+        x = (np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0.0) if self.sublinear else counts) * idf
         norm = np.linalg.norm(x, axis=1, keepdims=True)
         return x / np.where(norm == 0, 1, norm)
 
@@ -100,8 +101,8 @@ class _Tfidf:
 class WordTfidf(_Tfidf):
     """Unigrams and bigrams of token numbers."""
 
-    def __init__(self, max_features: int = 1000, bigrams: bool = True) -> None:
-        super().__init__(max_features)
+    def __init__(self, max_features: int = 1000, bigrams: bool = True, sublinear: bool = True) -> None:
+        super().__init__(max_features, sublinear)
         self.bigrams = bigrams
 
     def grams(self) -> Column:
@@ -134,11 +135,36 @@ class WordTfidf(_Tfidf):
         return self._finish(out)
 
 
+class PhraseTfidf(_Tfidf):
+    """Runs of 1 to ``longest`` token numbers, written as decimals between spaces."""
+
+    def __init__(self, max_features: int = 2000, longest: int = 3, sublinear: bool = True) -> None:
+        super().__init__(max_features, sublinear)
+        self.longest = longest
+
+    def grams(self) -> Column:
+        return F.expr(
+            f"""flatten(transform(sequence(1, {self.longest}), n -> transform(
+                filter(sequence(1, greatest(1, size(win))), i -> i + n - 1 <= size(win)), i -> array_join(transform(slice(win, i, n), t -> cast(t as string)), ' '))))"""
+        )
+
+    def matrix(self, wins: Sequence) -> np.ndarray:
+        index = {e[0]: e[1] for e in self.entries}
+        out = np.zeros((len(wins), len(self.entries)))
+        for r, v in enumerate(wins):
+            told = [str(int(t)) for t in v]
+            for n in range(1, self.longest + 1):
+                for i in range(len(told) - n + 1):
+                    if (at := index.get(" ".join(told[i : i + n]))) is not None:
+                        out[r, at] += 1
+        return self._finish(out)
+
+
 class CharTfidf(_Tfidf):
     """Character n-grams of each token written as a decimal between two spaces."""
 
-    def __init__(self, max_features: int = 2000, lo: int = 3, hi: int = 5) -> None:
-        super().__init__(max_features)
+    def __init__(self, max_features: int = 2000, lo: int = 3, hi: int = 5, sublinear: bool = True) -> None:
+        super().__init__(max_features, sublinear)
         self.lo, self.hi = lo, hi
 
     def grams(self) -> Column:
@@ -189,17 +215,18 @@ class Projection:
         return df.withColumn(name, project(vec))
 
 
-def _gram(df: DataFrame, vec: str) -> tuple[int, np.ndarray, np.ndarray]:
-    """Row count, column sums and ``X'X`` of a vector column, from one partial matrix per task."""
+def _gram(df: DataFrame, vec: str, matrices: Callable[[pd.Series], Iterable[np.ndarray]] | None = None) -> tuple[int, np.ndarray, np.ndarray]:
+    """Row count, column sums and ``X'X`` of a vector column, from one partial matrix per task. ``matrices`` makes the rows of
+    ``X`` from a column that holds no vectors."""
 
     def partial(batches):
         total = None
         for pdf in batches:
-            x = stack(pdf[vec])
-            if not x.size:
-                continue
-            x = np.hstack([x, np.ones((len(x), 1))])
-            total = x.T @ x if total is None else total + x.T @ x
+            for x in [stack(pdf[vec])] if matrices is None else matrices(pdf[vec]):
+                if not x.size:
+                    continue
+                x = np.hstack([x, np.ones((len(x), 1))])
+                total = x.T @ x if total is None else total + x.T @ x
         if total is not None:
             yield pd.DataFrame({"key": np.arange(len(total)), "vals": list(total)})
 
@@ -215,42 +242,78 @@ def _fix_sign(v: np.ndarray) -> np.ndarray:
 
 def pca(df: DataFrame, n: int, vec: str = "vec") -> Projection:
     """Principal components of a vector column of at most a few thousand dimensions."""
-    rows, sums, gram = _gram(df, vec)
-    mean = sums / rows
-    values, vectors = np.linalg.eigh(gram / rows - np.outer(mean, mean))
-    n = min(n, len(mean))
-    return Projection(mean, _fix_sign(vectors[:, ::-1][:, :n]), values[::-1][:n])
+    return _projections(*_gram(df, vec), "pca", [n])[0]
 
 
 def svd(df: DataFrame, n: int, vec: str = "vec") -> Projection:
     """Truncated singular vectors, not centred; ``values`` are the singular values."""
-    _, sums, gram = _gram(df, vec)
-    values, vectors = np.linalg.eigh(gram)
-    n = min(n, len(sums))
-    return Projection(np.zeros(len(sums)), _fix_sign(vectors[:, ::-1][:, :n]), np.sqrt(np.maximum(values[::-1][:n], 0)))
+    return _projections(*_gram(df, vec), "svd", [n])[0]
+
+
+def _projections(rows: int, sums: np.ndarray, gram: np.ndarray, method: str, sizes: Sequence[int]) -> list[Projection]:
+    """Projections of several sizes from one decomposition; no size is above the number of columns."""
+    mean = sums / rows if method == "pca" else np.zeros(len(sums))
+    values, vectors = np.linalg.eigh(gram / rows - np.outer(mean, mean) if method == "pca" else gram)
+    values = values[::-1] if method == "pca" else np.sqrt(np.maximum(values[::-1], 0))
+    return [Projection(mean, _fix_sign(vectors[:, ::-1][:, : min(n, len(sums))]), values[: min(n, len(sums))]) for n in sizes]
+
+
+#: Name -> features, as the grid of the reference has them.
+FEATURES: dict[str, Callable[[], _Tfidf]] = {
+    "word(1,2)_1k": lambda: WordTfidf(1000, sublinear=False),
+    "word(1,2)_1k_sub": lambda: WordTfidf(1000),
+    "word(1,2)_2k_sub": lambda: WordTfidf(2000),
+    "word(1,2)_3k_sub": lambda: WordTfidf(3000),
+    "word(1,3)_2k_sub": lambda: PhraseTfidf(2000, 3),
+    "charwb(3,3)_2k_sub": lambda: CharTfidf(2000, 3, 3),
+    "charwb(3,5)_2k_sub": lambda: CharTfidf(2000, 3, 5),
+}
+REDUCTIONS = [("pca", 50), ("pca", 100), ("svd", 50), ("svd", 100)]
 
 
 def sweep_features(
-    train: DataFrame, test: DataFrame, configs: Sequence[tuple[int, int]], done: DataFrame | None = None
+    train: DataFrame, test: DataFrame, features: dict[str, Callable[[], _Tfidf]] = FEATURES, reductions: Sequence[tuple[str, int]] = REDUCTIONS, done: DataFrame | None = None
 ) -> DataFrame:
-    """AUC, AP and best F1 of the reconstruction error for each ``(max_features, components)``, on ``test`` with a
-    label ``y``. Configurations already in ``done`` are not run again."""
-    spark = train.sparkSession
-    plan = spark.createDataFrame([tuple(c) for c in configs], "max_features int, components int")
-    if done is not None:
-        plan = plan.join(done.select("max_features", "components"), ["max_features", "components"], "left_anti")
+    """AUC, AP and best F1 of the reconstruction error for each of ``features`` with each ``(method, components)`` of
+    ``reductions``, on ``test`` with a label ``y``. Configurations already in ``done`` are not run again. Features are
+    fitted, and the training windows summed, once for all reductions."""
+    known = set() if done is None else {tuple(r) for r in done.select("features", "method", "components").collect()}
     out = done
-    for m, n in sorted((r[0], r[1]) for r in plan.collect()):
-        tfidf = WordTfidf(m).fit(train)
-        model = pca(tfidf.with_vectors(train), n)
-        scored = with_residual(tfidf.with_vectors(test), model)
-        row = curves.all_metrics(curves.score_table(scored.select("score", "y"))).select(
-            F.lit(m).alias("max_features"), F.lit(n).alias("components"), "auc", "ap", "best_f1"
+    for name, make in features.items():
+        todo = [(m, n) for m, n in reductions if (name, m, n) not in known]
+        if not todo:
+            continue
+        tfidf = make().fit(train)._slim()
+        sums = _gram(train, "win", lambda wins: (tfidf.matrix(wins.iloc[i : i + 1000].tolist()) for i in range(0, len(wins), 1000)))
+        models = []
+        for method in dict.fromkeys(m for m, _ in todo):
+            sizes = [n for m, n in todo if m == method]
+            models += zip([(method, n) for n in sizes], _projections(*sums, method, sizes))
+        errors = _residuals(test, tfidf, [p for _, p in models])
+        each = F.explode(F.arrays_zip(F.array(*[F.struct(F.lit(m).alias("method"), F.lit(n).alias("components")) for (m, n), _ in models]).alias("config"), F.col("_errors").alias("score")))
+        scored = errors.select("y", each.alias("_e")).select("y", "_e.config.method", "_e.config.components", "_e.score")
+        rows = curves.all_metrics(curves.score_table(scored, by=["method", "components"]), ["method", "components"]).select(
+            F.lit(name).alias("features"), "method", "components", "auc", "ap", "best_f1"
         )
-        out = row if out is None else out.unionByName(row)
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 
+def _residuals(windows: DataFrame, tfidf: _Tfidf, models: list[Projection]) -> DataFrame:
+    """Add ``_errors``, the reconstruction error of each window under each of ``models``; vectors stay inside the task."""
+    shared = windows.sparkSession.sparkContext.broadcast(models)
+
+    @F.pandas_udf("array<double>")
+    def errors(col: pd.Series) -> pd.Series:
+        parts = []
+        for i in range(0, len(col), 1000):
+            x = tfidf.matrix(col.iloc[i : i + 1000].tolist())
+            parts += list(np.stack([m.residual(x) for m in shared.value], axis=1))
+        return pd.Series(parts, index=col.index, dtype=object)
+
+    return windows.withColumn("_errors", errors("win"))
+
+
 def with_residual(df: DataFrame, model: Projection, vec: str = "vec", name: str = "score") -> DataFrame:
     @F.pandas_udf("double")
     def residual(col: pd.Series) -> pd.Series:

@@ -171,3 +171,31 @@ def test_knn_reads_tables_above_1000_vectors(spark):
     for v in ids[:200].tolist():
         d2 = np.sort(np.maximum(size[at[v]] - 2 * x @ x[at[v]] + size, 0))
         assert furthest[v] == pytest.approx(np.sqrt(d2[4]), abs=1e-4)
+
+
+def test_the_sweep_runs_the_whole_grid(spark):
+    rng = np.random.default_rng(4)
+    rows = [("t", w, rng.integers(0, 9 + 3 * (w % 4 == 0), 12).tolist(), int(w % 4 == 0)) for w in range(200)]
+    test = spark.createDataFrame(rows, "trace_id string, w bigint, win array<int>, y int")
+    train = test.where("y = 0")
+    got = {(r["features"], r["method"], r["components"]): r for r in features.sweep_features(train, test).collect()}
+    assert got.keys() == {(f, m, n) for f in features.FEATURES for m in ("pca", "svd") for n in (50, 100)} and len(got) == 28
+    for name, make, method in (("word(1,2)_2k_sub", lambda: features.WordTfidf(2000), features.pca), ("word(1,3)_2k_sub", lambda: features.PhraseTfidf(2000, 3), features.svd)):
+        one = make().fit(train)
+        scored = features.with_residual(one.with_vectors(test), method(one.with_vectors(train), 50))
+        want = curves.all_metrics(curves.score_table(scored.select("score", "y"))).head()
+        assert got[name, method.__name__, 50]["auc"] == pytest.approx(want["auc"], abs=1e-3)
+    part = features.sweep_features(train, test, {"word(1,2)_1k": features.FEATURES["word(1,2)_1k"]}, [("svd", 50)])
+    assert sorted(r["components"] for r in features.sweep_features(train, test, {"word(1,2)_1k": features.FEATURES["word(1,2)_1k"]}, [("svd", 50), ("svd", 60)], part).collect()) == [50, 60]
+
+
+def test_phrases_are_counted_as_scikit_learn_does(spark):
+    from collections import Counter
+
+    wins = [[1, 2, 1, 2, 3], [7], [5, 5, 5]]
+    df = spark.createDataFrame([("t", i, w) for i, w in enumerate(wins)], "trace_id string, w bigint, win array<int>")
+    model = features.PhraseTfidf(100, 3, sublinear=False).fit(df)
+    want = Counter(" ".join(map(str, w[i : i + n])) for w in wins for n in (1, 2, 3) for i in range(len(w) - n + 1))
+    assert {e[0]: e[2] for e in model.entries} == want
+    x = model.matrix(wins)
+    assert np.allclose(np.linalg.norm(x, axis=1), 1) and x[2, next(e[1] for e in model.entries if e[0] == "5 5 5")] > 0
