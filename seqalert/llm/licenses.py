@@ -16,9 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqalert.llm.license_texts import TEXTS
 from seqalert.llm.text import emitted, rows
 
-#: Statements to look for: identifier -> text. Public license notices.
+#: Statements to look for: identifier -> text. Short notices and two long ones are written here; the standard headers and
+#: texts of the common licenses are in ``license_texts``.
 STATEMENTS = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0 notice": (
@@ -37,6 +39,7 @@ STATEMENTS = {
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "All rights reserved": "All rights reserved.",
+    **TEXTS,
 }
 #: Least coverage of a statement that is reported.
 COVERAGE = 0.8
@@ -133,21 +136,24 @@ class Scanner:
     def scan(self, text: str | None) -> Iterator[tuple]:
         """(statement, coverage, first word, last word + 1) of the best stretch of every statement found."""
         words = plain(text)
-        at: dict[str, list[int]] = {}
-        for i, w in enumerate(words):
+        # Only statements of which enough words stand in the text, in any order, are looked for.
+        held: dict[str, int] = {}
+        for w, n in Counter(words).items():
             for name in self.where.get(w, ()):
-                at.setdefault(name, []).append(i)
-        for name, places in at.items():
-            told = self.words[name]
-            if sum(min(n, told.count(w)) for w, n in Counter(words[i] for i in places).items()) < self.least * len(told):
-                continue
+                held[name] = held.get(name, 0) + min(n, self.count[name][w])
+        for name in [n for n in self.words if held.get(n, 0) and held[n] >= self.least * len(self.words[n])]:
+            told, own = self.words[name], self.count[name]
+            places = [i for i, w in enumerate(words) if w in own]
             best = (0.0, 0, 0)
             for start, stop in self.stretches(name, places, words):
-                part = words[start:stop]
-                found = patience(told, part)
-                cover = len(found) / len(told)
-                if found and cover > best[0]:
-                    best = (cover, start + found[0][1], start + found[-1][1] + 1)
+                # Words before the copy may have been counted for it, so that the stretch ends early; then a longer one is aligned.
+                for end in (stop, stop + len(told) // 4):
+                    found = patience(told, words[start:end])
+                    cover = len(found) / len(told)
+                    if found and cover > best[0]:
+                        best = (cover, start + found[0][1], start + found[-1][1] + 1)
+                    if cover == 1:
+                        break
             if best[0] >= self.least:
                 yield name, *best
 

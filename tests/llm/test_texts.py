@@ -248,3 +248,18 @@ def test_licenses(spark):
     assert got[8]["licenses"] == ["All rights reserved", "MIT"] and got[None]["coverage"] == 1.0 and 0.9 < got[7]["coverage"] < 1
     assert got[4]["first_word"] == 12000 and got[4]["last_word"] == 12007
     assert licenses.scanned(docs.where("false")).collect() == []
+
+
+def test_standard_licenses_are_found():
+    from seqalert.llm.license_texts import TEXTS
+
+    scanner, filler = licenses.Scanner(licenses.STATEMENTS, licenses.COVERAGE), "ordinary words of a story " * 50
+    assert scanner.scan(filler) is not None and list(scanner.scan(filler)) == []
+    for name, text in TEXTS.items():
+        found = {f[0]: f[1] for f in scanner.scan(filler + text + " " + filler)}
+        assert found.get(name) == max(found.values()) and found[name] > 0.97, name
+        if len(text.split()) < 300:
+            best = max(found, key=lambda n: (found[n], len(scanner.words[n])))
+            assert found[name] == 1.0 and best == name, (name, best)
+    for start in ("BSD-2", "BSD-3", "ISC", "MPL-2", "LGPL-2.1", "LGPL-3", "AGPL-3", "Unlicense", "CC-BY-SA", "CC0", "GPL-2", "GPL-3.0 header"):
+        assert any(n.startswith(start) for n in TEXTS), start
