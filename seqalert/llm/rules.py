@@ -73,7 +73,7 @@ def measure(text: str | None) -> tuple[int, ...]:
             np.add.at(edge, np.flatnonzero(twice), 1)
             np.add.at(edge, np.flatnonzero(twice) + 5, -1)
             repeated = int((np.cumsum(edge[:n]) > 0).sum())
-    upper = sum(map(str.isupper, text.split()))
+    upper = sum(w.decode("utf-8", "surrogatepass").isupper() for w in found)
     return n, chars, symbols, len(lines) - len(set(lines)), repeated, len(lines), upper, len(_LETTERS.findall(text))
 
 

@@ -228,6 +228,12 @@ def test_rules(spark):
     assert rules.ledger(docs.where("false")).collect() == [] and rules.kept_rows(docs.where("false")).collect() == []
 
 
+@pytest.mark.parametrize("blank", ["\xa0", "\u3000", "\x85", "\x1c", "\x1f", "\u2003"])
+def test_upper_words_are_those_counted(blank):
+    told = dict(zip(rules.MEASURES, rules.measure(" ".join([f"AAA{blank}bbb"] * 10 + ["OF", "É!"]))))
+    assert (told["n_words"], told["n_upper_words"]) == (12, 2)
+
+
 def test_patience_is_an_alignment():
     r = random.Random(5)
     for _ in range(200):
