@@ -93,8 +93,10 @@ def ledger(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     return out.withColumn("failed", failed_bits())
 
 
-def failed_bits() -> Column:
-    bits = [F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)) for i, (_, rule) in enumerate(RULES)]
+def failed_bits(prefix: str = "") -> Column:
+    """One bit per failed rule, from the measurements in columns whose names start with ``prefix``."""
+    named = lambda rule: re.sub(r"[a-z_]+", lambda m: prefix + m[0] if m[0] in MEASURES else m[0], rule)
+    bits = [F.when(F.expr(named(rule)), F.lit(1 << i)).otherwise(F.lit(0)) for i, (_, rule) in enumerate(RULES)]
     out = bits[0]
     for b in bits[1:]:
         out = out.bitwiseOR(b)
@@ -128,9 +130,9 @@ def ablation(book: DataFrame, policies: Mapping[str, list[str]] = POLICIES) -> D
 
 
 def kept_rows(docs: DataFrame, policy: str = CURRENT, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the policy keeps, with all their columns and nothing else: each row is measured where it
-    lies, so ids may be null or repeated."""
-    rejecting = [rule for name, rule in RULES if name in set(POLICIES[policy]) | set(POLICIES["base"])]
+    """The rows of ``docs`` that the policy keeps, with all their columns and nothing else: each row gets its failed bits where it
+    lies and is kept by the policy's mask, so ids may be null or repeated."""
+    counted = mask([*POLICIES[policy], *POLICIES["base"]])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,5 +143,5 @@ def kept_rows(docs: DataFrame, policy: str = CURRENT, text: str = "text") -> Dat
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, pa.int64()) for c in told)], names=[*part.schema.names, *[f"_m_{m}" for m in MEASURES]])
 
     schema = StructType([*docs.schema, *[StructField(f"_m_{m}", LongType()) for m in MEASURES]])
-    fails = " or ".join(f"({re.sub(r'[a-z_]+', lambda m: '_m_' + m[0] if m[0] in MEASURES else m[0], rule)})" for rule in rejecting)
-    return docs.mapInArrow(add, schema).where(f"not ({fails})").select(docs.columns)
+    failed = failed_bits("_m_")
+    return docs.mapInArrow(add, schema).where(failed.bitwiseAND(F.lit(counted)) == 0).select(docs.columns)

@@ -269,3 +269,10 @@ def test_standard_licenses_are_found():
             assert found[name] == 1.0 and best == name, (name, best)
     for start in ("BSD-2", "BSD-3", "ISC", "MPL-2", "LGPL-2.1", "LGPL-3", "AGPL-3", "Unlicense", "CC-BY-SA", "CC0", "GPL-2", "GPL-3.0 header"):
         assert any(n.startswith(start) for n in TEXTS), start
+
+
+def test_kept_rows_follow_the_bits(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "some plain words " * 1 + "here and there that nobody minds at all today"), (2, "few")], "doc_id bigint, text string")
+    assert [x["doc_id"] for x in rules.kept_rows(docs).collect()] == [1]
+    monkeypatch.setattr(rules, "failed_bits", lambda *prefix: F.lit(rules.mask(["shouting"])).cast("bigint"))
+    assert rules.kept_rows(docs).collect() == []
