@@ -330,10 +330,12 @@ def near_groups(
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The documents of ``docs`` (``doc_id``, ``text``, ...) with one left of each near-copy group: the one with the smallest
-    ``doc_id``. Rows that repeat a ``doc_id`` are one document, of which one row stays; rows without ``doc_id`` stay."""
+    ``doc_id``. Rows that repeat a ``doc_id`` are one document, of which one row stays: the one with the smallest SHA-256 of
+    its text, then of the whole row, however the rows are dealt. Rows without ``doc_id`` stay."""
     groups = near_groups(docs, k, percent)
     stays = cut(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
     kept = docs.where("doc_id is not null").join(share(stays.select("doc_id")), "doc_id", "left_semi")
     if not stays.where("n > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
+        digest = F.struct(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256), F.sha2(F.to_json(F.struct(*docs.columns)).cast("binary"), 256))
+        kept = kept.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), digest).alias("_row")).select("_row.*")
     return kept.select(docs.columns).union(docs.where("doc_id is null"))

@@ -1,5 +1,6 @@
 """Near-copy groups, neighbours and shards against brute force."""
 
+import hashlib
 import random
 from collections import Counter
 
@@ -74,6 +75,15 @@ def test_keep_one(spark):
     assert Counter(r[0] for r in kept.collect()) == Counter([*want, None])
 
 
+def test_kept_row_of_an_id_does_not_depend_on_the_parts(spark):
+    texts = [f"text number {i} tells of things that no other text has told {i * i}" for i in range(12)]
+    docs = spark.createDataFrame([(1, t) for t in texts] + [(2, "quite another text under an id of its own")], "doc_id bigint, text string")
+    want = {1: min(texts, key=lambda t: hashlib.sha256(t.encode()).hexdigest()), 2: "quite another text under an id of its own"}
+    for order in ("text", "reverse(text)", "hash(text)"):
+        got = jaccard.keep_one(docs.orderBy(F.expr(order)).coalesce(1)).collect()
+        assert {r["doc_id"]: r["text"] for r in got} == want and len(got) == 2
+
+
 def test_search_equals_brute_force():
     r = random.Random(3)
     sets = [np.unique(np.array(r.sample(range(60), r.randint(1, 40)), np.uint64)) for _ in range(150)]
