@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqalert.llm import bpe, html, jaccard, licenses, mixing, neighbours, rules, shards, toxicity, urls
+from seqalert.llm import bpe, collocations, html, jaccard, licenses, mixing, neighbours, periods, projections, rules, shards, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -109,3 +109,37 @@ def op9_rules(spark, d):
 @query()
 def op10_licenses(spark, d):
     return licenses.scanned(table(spark, d, "documents"))
+
+
+@query()
+def op11_projections(spark, d):
+    return projections.near_groups(table(spark, d, "embeddings"), least=0.95)
+
+
+@query()
+def op12_periods(spark, d):
+    return periods.digests(periods.periodic(table(spark, d, "documents"), prepare=periods.planted))
+
+
+_COLLOCATIONS_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM d),
+s AS (SELECT lang, unnest(list_concat(list_transform(range(1, len(w) + 1), lambda i: w[i:i]), list_transform(range(1, len(w)), lambda i: w[i:i + 1]),
+    list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2]))) AS g FROM p),
+f AS (SELECT lang, g, count(*) AS f FROM s GROUP BY lang, g),
+t AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE len(g) = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE len(g) > 1 AND f >= 10),
+x AS (SELECT c.lang, c.g, c.f AS a, k, one.f AS l, two.f AS r, (1000000::HUGEINT * c.f * c.f) // (one.f::HUGEINT * two.f) AS score
+    FROM (SELECT *, unnest(range(1, len(g))) AS k FROM c) c
+    JOIN f one ON one.lang = c.lang AND one.g = c.g[1:k] JOIN f two ON two.lang = c.lang AND two.g = c.g[k + 1:]),
+b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+h AS (SELECT lang, g, max(f) AS over FROM (SELECT lang, f, unnest([g[1:2], g[2:3]]) AS g FROM c WHERE len(g) = 3) GROUP BY lang, g),
+o AS (SELECT b.lang, array_to_string(b.g, ' ') AS phrase, a, l, r, score FROM b LEFT JOIN h ON h.lang = b.lang AND h.g = b.g WHERE over IS NULL OR 100 * over < 50 * a)
+SELECT o.lang, rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o) o JOIN t ON t.lang = o.lang WHERE rank <= 2000"""
+
+
+@query(_COLLOCATIONS_SQL)
+def op13_collocations(spark, d):
+    return collocations.collocations(table(spark, d, "documents"), most=3, least=10, inside=50, k=2000)

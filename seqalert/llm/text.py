@@ -110,3 +110,16 @@ def made(told, make):
     if "made" not in held:
         held["made"] = make(*held["parts"])
     return held["made"]
+
+
+def emitted_texts(make: Iterator[tuple], schema: pa.Schema, at: int, chars: int = 1 << 22, size: int = 5000) -> Iterator[pa.RecordBatch]:
+    """Like ``emitted``, for tuples whose entry ``at`` is a text: a batch ends after about ``chars`` characters."""
+    held, total = [], 0
+    for row in make:
+        held.append(row)
+        total += len(row[at] or "")
+        if len(held) >= size or total >= chars:
+            yield _batch(held, schema)
+            held, total = [], 0
+    if held:
+        yield _batch(held, schema)
