@@ -29,16 +29,20 @@ from seqalert.session import cut
 #: Words of a block, and different words that a task holds at once. Neither changes a result.
 BLOCK_WORDS, HELD_WORDS = 2_000_000, 400_000
 #: Bytes of a text that are split into words at once.
-SLICE = 1 << 22
+SLICE = 1 << 20
 #: Candidates of one language that one task ranks.
 TASK_ROWS = 200_000
 #: Most phrases of a level that are sent whole to every executor; more are joined by shuffle.
 SHARED = 300_000
+#: Parts into which the phrases that begin alike are dealt.
+SALT = 4
 
 #: Characters that end a piece, all turned into a byte that no UTF-8 text holds.
 _END = b"\xff"
 _ENDS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", _END * 10)
 _PACK = "zstd"
+#: Bits of a place in a block, and of a block's number inside its task.
+_PLACE, _BLOCK = 22, 20
 
 
 class Numbers(dict):
@@ -63,12 +67,13 @@ def slices(text: str | None, size: int = SLICE) -> Iterator[list[bytes]]:
         at = end
 
 
-def _packed(values: np.ndarray) -> bytes:
-    return pa.compress(values.tobytes(), _PACK, asbytes=True)
+def _packed(codes: np.ndarray) -> bytes:
+    """Compressed 32-bit numbers, low bytes first, so that the bytes that are mostly zero lie together."""
+    return pa.compress(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), _PACK, asbytes=True)
 
 
-def _unpacked(data: bytes, n: int, kind=np.uint32) -> np.ndarray:
-    return np.frombuffer(pa.decompress(data, n * np.dtype(kind).itemsize, _PACK), kind)
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, 4 * n, _PACK), np.uint8).reshape(4, n).T.copy().view("<u4").reshape(n)
 
 
 def _blocks(most: int, block_words: int, held_words: int):
@@ -81,12 +86,14 @@ def _blocks(most: int, block_words: int, held_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[Numbers, list[np.ndarray]]] = {}
         size: dict[str, int] = {}
-        part, number = TaskContext.get().partitionId() << 32, 0
+        part, number = TaskContext.get().partitionId() << _BLOCK, 0
 
         def flush(lang: str, ahead: int) -> pa.RecordBatch:
             nonlocal number
             known, parts = held.pop(lang)
             codes = np.concatenate(parts)
+            if len(codes) >> _PLACE or number >> _BLOCK:
+                raise ValueError("smaller blocks, or more tasks, are needed")
             counted = len(codes) - min(ahead, len(codes))
             letters = b" ".join(list(known)[1:])
             row = (part + number, lang, counted, int(np.count_nonzero(codes[:counted])), len(codes), _packed(codes), len(letters), pa.compress(letters, _PACK, asbytes=True))
@@ -144,23 +151,26 @@ def joined(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 
 def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(first, last, block, code, n)``: the phrases of a relation's block that are a word longer, and how often the block counts them."""
-    for block, counted, size, codes, number in rows(batches):
+    """``(first, block, n, code, last)``: the phrases of a relation's block that are a word longer, and how often the block counts them."""
+    for block, _, counted, size, codes, number, _ in rows(batches):
         at, longer, first, last = joined(_unpacked(codes, size))
         n = np.bincount(longer[at < counted], minlength=len(first))
         number = np.array(number, np.int64)
         for a in range(0, len(first), 50_000):
             part = slice(a, a + 50_000)
-            columns = [number[first[part] - 1], number[last[part] - 1], np.full(len(first[part]), block), np.arange(a, a + len(first[part])), n[part]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["first", "last", "block", "code", "n"])
+            columns = [number[first[part] - 1], np.full(len(first[part]), block), n[part], np.arange(a, a + len(first[part])), number[last[part] - 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["first", "block", "n", "code", "last"])
 
 
 def _kept(grow: bool):
-    """The relation of the next level: ``(block, counted, size, codes, number)``, with the frequent phrases alone."""
-    schema = pa.schema([("block", pa.int64()), ("counted", pa.int64()), ("size", pa.int64()), ("codes", pa.binary()), ("number", pa.list_(pa.int64()))])
+    """The relation of the next level: the blocks with the frequent phrases alone, and the phrases that a block owns."""
+    own = pa.struct([("number", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("word", pa.string()), ("a", pa.int64())])
+    schema = pa.schema(
+        [("block", pa.int64()), ("lang", pa.string()), ("counted", pa.int64()), ("size", pa.int64()), ("codes", pa.binary()), ("number", pa.list_(pa.int64())), ("own", pa.list_(own))]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, counted, size, codes, kept in rows(batches):
+        for block, lang, counted, size, codes, kept in rows(batches):
             codes = _unpacked(codes, size)
             old = np.array([k["code"] for k in kept], np.int64)
             if grow:
@@ -173,31 +183,38 @@ def _kept(grow: bool):
                 renamed = np.zeros(max(int(codes.max()), int(old.max())) + 1, np.uint32)
                 renamed[old] = np.arange(1, len(old) + 1)
                 codes = renamed[codes]
-            row = (block, counted, size, _packed(codes), [k["number"] for k in kept])
+            row = (block, lang, counted, size, _packed(codes), [k["number"] for k in kept], [k for k in kept if k["number"] == block << _PLACE | k["code"]])
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
 
     return run
 
 
-_RELATION = "block bigint, counted bigint, size bigint, codes binary, number array<bigint>"
-
-
-def _relation(blocks: DataFrame, kept: DataFrame, grow: bool) -> DataFrame:
-    """Semi-join: ``blocks`` with only the phrases in ``kept`` (``block``, ``code``, ``number``). Blocks without any fall out."""
-    told = kept.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("code", "number"))).alias("kept"))
-    both = blocks.join(told, "block").select("block", "counted", "size", "codes", "kept")
+_RELATION = (
+    "block bigint, lang string, counted bigint, size bigint, codes binary, number array<bigint>, own array<struct<number bigint, first bigint, last bigint, word string, a bigint>>"
+)
+
+
+def _relation(blocks: DataFrame, found: DataFrame, key: list[str], least: int, grow: bool) -> DataFrame:
+    """Group-count and semi-join: ``blocks`` with only those phrases of ``found`` whose ``key`` is counted ``least`` times or more. A phrase's
+    number is its place in the first block that holds it; that block owns it and keeps its ``key`` and count. Blocks without any fall out."""
+    place = F.shiftleft("block", _PLACE).bitwiseOR(F.col("code"))
+    if "first" in key:
+        # Rows of one first part lie together, which makes less of what is shuffled; the salt splits a common one.
+        key = ["first", "salt", "last"]
+        found = found.withColumn("salt", F.pmod(F.xxhash64("last"), F.lit(SALT))).repartition("first", "salt")
+    group = Window.partitionBy(*key)
+    sums = found.withColumns({"a": F.sum("n").over(group), "number": F.min(place).over(group)}).where(F.col("a") >= least)
+    owned = {c: F.when(F.col("number") == place, F.col(c)) for c in ("first", "last", "word", "a") if c in sums.columns}
+    types = {"first": "bigint", "last": "bigint", "word": "string", "a": "bigint"}
+    each = F.struct("code", "number", *[owned.get(c, F.lit(None).cast(t)).alias(c) for c, t in types.items()])
+    told = sums.select("block", each.alias("k")).groupBy("block").agg(F.sort_array(F.collect_list("k")).alias("kept"))
+    both = blocks.join(told, "block").select("block", "lang", "counted", "size", "codes", "kept")
     return cut(both.mapInArrow(_kept(grow), _RELATION))
 
 
-def _frequent(found: DataFrame, key: list[str], least: int) -> DataFrame:
-    """Rows of ``found`` whose ``key`` is counted ``least`` times or more, with that count as ``a`` and a number of the key."""
-    sums = found.withColumn("a", F.sum("n").over(Window.partitionBy(*key))).where(F.col("a") >= least)
-    return cut(sums.drop("n"))
-
-
-def _numbered(frequent: DataFrame, key: list[str]) -> DataFrame:
-    """One row per key, numbered; stored, so that the numbers stay."""
-    return cut(frequent.select(*key, "a").distinct().withColumn("number", F.monotonically_increasing_id()))
+def _phrases(relation: DataFrame) -> DataFrame:
+    """The phrases of a relation, once each: ``lang``, ``number``, ``first``, ``last``, ``word``, ``a``."""
+    return relation.select("lang", F.explode("own").alias("o")).select("lang", "o.*")
 
 
 def score(a: Column, left: Column, right: Column) -> Column:
@@ -239,23 +256,18 @@ def collocations(
     totals = cut(stored.groupBy("lang").agg(F.sum("n").alias("n")))
 
     found = stored.mapInArrow(_word_counts, "block bigint, lang string, code bigint, word string, n bigint")
-    frequent = _frequent(found, ["lang", "word"], least)
-    words = _numbered(frequent, ["lang", "word"])
-    kept = frequent.drop("a").join(share(words.drop("a"), SHARED), ["lang", "word"]).select("block", "code", "number")
-    relation = _relation(stored, kept, grow=False)
+    relation = _relation(stored, found, ["lang", "word"], least, grow=False)
     # Per phrase: counts of its beginnings and of its endings, by their number of words, itself last.
+    words = _phrases(relation)
     level = words.select("number", "lang", F.col("word").alias("phrase"), F.col("word").alias("last_word"), "a", F.array("a").alias("starts"), F.array("a").alias("ends"))
     levels = []
     for length in range(2, most + 1):
-        found = relation.mapInArrow(_extended, "first bigint, last bigint, block bigint, code bigint, n bigint")
+        found = relation.mapInArrow(_extended, "first bigint, block bigint, n bigint, code bigint, last bigint")
         if length < most:
-            frequent = _frequent(found, ["first", "last"], least)
-            phrases = _numbered(frequent, ["first", "last"])
-            kept = frequent.drop("a").join(share(phrases.drop("a"), SHARED), ["first", "last"]).select("block", "code", "number")
-            relation = _relation(relation, kept, grow=True)
+            relation = _relation(relation, found, ["first", "last"], least, grow=True)
+            phrases = _phrases(relation).select("first", "last", "a", "number")
         else:
-            sums = found.groupBy("first", "last").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-            phrases = cut(sums.withColumn("number", F.monotonically_increasing_id()))
+            phrases = found.groupBy("first", "last").agg(F.sum("n").alias("a")).where(F.col("a") >= least).withColumn("number", F.lit(None).cast("bigint"))
         one = share(level.select(F.col("number").alias("first"), "lang", F.col("phrase").alias("begun"), "starts"), SHARED)
         other = share(level.select(F.col("number").alias("last"), "last_word", "ends"), SHARED)
         grown = phrases.join(one, "first").join(other, "last")
