@@ -150,12 +150,18 @@ def joined(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return at, longer, (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
+def _each(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """``block``, ``counted``, ``size``, ``codes``, ``number`` of the rows of a relation."""
+    for i in range(batch.num_rows):
+        row = batch.slice(i, 1)
+        yield *(row.column(row.schema.get_field_index(c))[0].as_py() for c in ("block", "counted", "size", "codes")), row.column(row.schema.get_field_index("number")).flatten().to_numpy()
+
+
 def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``(first, block, n, code, last)``: the phrases of a relation's block that are a word longer, and how often the block counts them."""
-    for block, _, counted, size, codes, number, _ in rows(batches):
+    for block, counted, size, codes, number in (row for batch in batches for row in _each(batch)):
         at, longer, first, last = joined(_unpacked(codes, size))
         n = np.bincount(longer[at < counted], minlength=len(first))
-        number = np.array(number, np.int64)
         for a in range(0, len(first), 50_000):
             part = slice(a, a + 50_000)
             columns = [number[first[part] - 1], np.full(len(first[part]), block), n[part], np.arange(a, a + len(first[part])), number[last[part] - 1]]
@@ -164,27 +170,34 @@ def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _kept(grow: bool):
     """The relation of the next level: the blocks with the frequent phrases alone, and the phrases that a block owns."""
-    own = pa.struct([("number", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("word", pa.string()), ("a", pa.int64())])
+    own_type = pa.struct([("number", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("word", pa.string()), ("a", pa.int64())])
     schema = pa.schema(
-        [("block", pa.int64()), ("lang", pa.string()), ("counted", pa.int64()), ("size", pa.int64()), ("codes", pa.binary()), ("number", pa.list_(pa.int64())), ("own", pa.list_(own))]
+        [("block", pa.int64()), ("lang", pa.string()), ("counted", pa.int64()), ("size", pa.int64()), ("codes", pa.binary()), ("number", pa.list_(pa.int64())), ("own", pa.list_(own_type))]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, lang, counted, size, codes, kept in rows(batches):
-            codes = _unpacked(codes, size)
-            old = np.array([k["code"] for k in kept], np.int64)
-            if grow:
-                at, longer, first, _ = joined(codes)
-                renamed = np.zeros(len(first), np.uint32)
-                renamed[old] = np.arange(1, len(old) + 1)
-                codes = np.zeros(size, np.uint32)
-                codes[at] = renamed[longer]
-            else:
-                renamed = np.zeros(max(int(codes.max()), int(old.max())) + 1, np.uint32)
-                renamed[old] = np.arange(1, len(old) + 1)
-                codes = renamed[codes]
-            row = (block, lang, counted, size, _packed(codes), [k["number"] for k in kept], [k for k in kept if k["number"] == block << _PLACE | k["code"]])
-            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                block, lang, counted, size, codes = (row.column(c)[0].as_py() for c in range(5))
+                kept = row.column(5).flatten()
+                old, number = (kept.field(c).to_numpy() for c in ("code", "number"))
+                mine = kept.filter(pa.array(number == (block << _PLACE | old)))
+                codes = _unpacked(codes, size)
+                if grow:
+                    at, longer, first, _ = joined(codes)
+                    renamed = np.zeros(len(first), np.uint32)
+                    renamed[old] = np.arange(1, len(old) + 1)
+                    codes = np.zeros(size, np.uint32)
+                    codes[at] = renamed[longer]
+                else:
+                    renamed = np.zeros(max(int(codes.max()), int(old.max())) + 1, np.uint32)
+                    renamed[old] = np.arange(1, len(old) + 1)
+                    codes = renamed[codes]
+                own = pa.StructArray.from_arrays([mine.field(f.name).cast(f.type) for f in own_type], fields=list(own_type))
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(one)], pa.int32()), one) for one in (pa.array(number), own)]
+                plain = [pa.array([v], f.type) for v, f in zip((block, lang, counted, size, _packed(codes)), schema)]
+                yield pa.RecordBatch.from_arrays([*plain, *lists], schema=schema)
 
     return run
 
@@ -262,7 +275,7 @@ def collocations(
     level = words.select("number", "lang", F.col("word").alias("phrase"), F.col("word").alias("last_word"), "a", F.array("a").alias("starts"), F.array("a").alias("ends"))
     levels = []
     for length in range(2, most + 1):
-        found = relation.mapInArrow(_extended, "first bigint, block bigint, n bigint, code bigint, last bigint")
+        found = relation.select("block", "counted", "size", "codes", "number").mapInArrow(_extended, "first bigint, block bigint, n bigint, code bigint, last bigint")
         if length < most:
             relation = _relation(relation, found, ["first", "last"], least, grow=True)
             phrases = _phrases(relation).select("first", "last", "a", "number")
