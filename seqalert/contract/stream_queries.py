@@ -12,16 +12,21 @@ from seqalert.streaming import streams as S
 
 
 
-def _source(s, df, parts=3, order="pos"):
-    """A table as a folder of files that arrive one after the other, in ``order``."""
+#: Second of the replay's first position; the test events have no time per window, so a position is a second.
+START = 946_684_800
+
+
+def _source(s, df, schema, parts=3, order="pos"):
+    """A table as a folder of files that arrive one after the other, in ``order``, and a row that ends the stream."""
     path = scratch(s)
-    df.repartitionByRange(parts, order).write.parquet(path)
-    return path
+    df.select(*[f.strip().split(" ")[0] for f in schema.split(",")]).repartitionByRange(parts, order).write.parquet(path)
+    S.write_end(s, path, schema)
+    return S.token_stream(s, path, schema, max_files=1)
 
 
 def _tokens(s, d):
-    src = _source(s, ev_tokens(s, d))
-    return S.token_stream(s, src, "trace_id string, pos bigint, token int", max_files=1)
+    clocked = ev_tokens(s, d).withColumn("ts", F.timestamp_seconds(F.col("pos") + START))
+    return _source(s, clocked, "trace_id string, pos bigint, token int, ts timestamp")
 
 
 def _run(s, stream):
@@ -31,7 +36,7 @@ def _run(s, stream):
 
 @query("str_01_token_stream", "SELECT trace_id, pos, token FROM tok", "tok")
 def _(s, d):
-    return _run(s, _tokens(s, d))
+    return _run(s, _tokens(s, d)).where("trace_id is not null").select("trace_id", "pos", "token")
 
 
 @query("str_02_window_stream", "SELECT trace_id, w, array_to_string(win, ',') AS win FROM win", "win")
@@ -43,15 +48,16 @@ def _(s, d):
 @query("str_03_scored_stream", MARKOV + "SELECT trace_id, w, -sum(coalesce(lp, -10)) / 19 AS score FROM bg LEFT JOIN md ON md.a = bg.a AND md.b = bg.b GROUP BY trace_id, w", "win", "meta", rounds="score")
 def _(s, d):
     model = Markov(1).fit(train_windows(s, d))
-    src = _source(s, ev_windows(s, d), order="w")
+    src = scratch(s)
+    ev_windows(s, d).select("trace_id", "w", "win").repartitionByRange(3, "w").write.parquet(src)
     stream = S.token_stream(s, src, "trace_id string, w bigint, win array<int>", max_files=1)
     path = scratch(s)
     return S.score_batches(stream, model, f"{path}/out", f"{path}/state").select("trace_id", "w", "score")
 
 
 def _scores(s, d):
-    src = _source(s, pool(s, d).select("trace_id", "w", "prob"), order="w")
-    return S.token_stream(s, src, "trace_id string, w bigint, prob double", max_files=1)
+    clocked = pool(s, d).withColumn("ts", F.timestamp_seconds(F.col("w") + START))
+    return _source(s, clocked, "trace_id string, w bigint, prob double, ts timestamp", order="w")
 
 
 @query("str_04_alert_stream", "SELECT trace_id, w, alert FROM alerts", "alerts")
@@ -66,17 +72,8 @@ def _(s, d):
 def _(s, d):
     known = ordering.cut(episodes(s, d))
     truth = ordering.cut(E.attack_ranges(known).select(F.col("episode_id").alias("trace_id"), "attack_start", "attack_end", F.col("n_windows").alias("expected")))
-    stream = _scores(s, d).join(truth, "trace_id", "left")
-    path = scratch(s)
-    closed = S.episode_stream(stream, POLICY, idle_ms=1000)
-    q = closed.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(processingTime="500 milliseconds").start()
-    # The stream ends when every episode has all its windows, went idle and was closed.
-    want = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n_windows"), F.lit(0)).alias("windows")).head()
-    try:
-        out = S.await_episodes(q, s, f"{path}/out", closed.schema, want["n"], want["windows"])
-    finally:
-        q.stop()
-    return out.drop("attack_start", "attack_end")
+    closed = _run(s, S.episode_stream(_scores(s, d).join(truth, "trace_id", "left"), POLICY))
+    return S.whole_episodes(closed, truth).drop("attack_start", "attack_end")
 
 
 @query(
@@ -85,10 +82,10 @@ def _(s, d):
 )
 def _(s, d):
     e = table(s, d, "events").select(F.col("user_id").cast("string").alias("trace_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"), F.get_json_object("props", "$.k").cast("int").alias("token"))
-    src = _source(s, e, order="ts")
-    # All files arrive in one batch, because files written together have no order; tests cover late rows.
-    stream = S.token_stream(s, src, "trace_id string, ts timestamp, id bigint, token int", max_files=100)
-    return _run(s, S.ordered(stream)).select("trace_id", "id", "pos", "late")
+    # A row's file is chosen by a hash, so every file holds rows that belong before those of the files before it.
+    stream = _source(s, e, "trace_id string, ts timestamp, id bigint, token int", order=F.xxhash64("id"))
+    span = e.agg((F.unix_seconds(F.max("ts")) - F.unix_seconds(F.min("ts"))).alias("s")).head()["s"] or 0
+    return _run(s, S.ordered(stream, delay=span + 1)).select("trace_id", "id", "pos", "late")
 
 
 @query(

@@ -1,90 +1,252 @@
 """Structured Streaming forms of windowing, scoring, alerting and episode results.
 
 Every stateful step is one processor and one query; the next step reads the table the step before wrote. State is
-keyed by trace, or by trace and chunk where the result does not depend on one running state."""
+keyed by trace, or by trace and chunk where the result does not depend on one running state.
+
+State ends by event time. A trace that has been silent for ``gap`` of the stream's own clock is over: its state goes, and
+what it still holds comes out. Spark drops rows behind its watermark before a processor sees them, so its watermark is kept
+``KEEP`` behind, and the processors take the rest off: their clock is the largest time seen less ``delay``. No row is lost for being
+late; each step says which rows came too late for it. A stream over files that are all there ends with a row without trace
+and a late time (``write_end``), which moves the clock past everything."""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import StructType
 
 from seqalert.operators.alerts import Policy
 from seqalert.operators.windows import PACK
 from seqalert.scorers.chronology import UNSEEN, Markov
 
+#: How far Spark's watermark stays behind the largest time seen; no row older than that is read.
+KEEP = "3650 days"
+_KEEP_MS = 3650 * 86_400_000
+#: A trace silent for so many seconds of its own clock is over.
+GAP = 86_400
+
+
+@contextmanager
+def state_store(spark: SparkSession):
+    """Queries started inside keep their state in the store that timers need."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
+class Timed(StatefulProcessor):
+    """One record of state per key and one timer; ``delay`` and ``gap`` are seconds. The record starts with the last time seen and
+    the timer's time, both in microseconds of the processor's clock."""
+
+    fields = ""
+
+    def __init__(self, delay: float, gap: float) -> None:
+        self.delay, self.gap = round(delay * 1_000_000), round(gap * 1_000_000)
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", f"seen bigint, timer bigint, {self.fields}")
+
+    def close(self) -> None:
+        pass
+
+    def clock(self, timers) -> int:
+        return (timers.getCurrentWatermarkInMs() + _KEEP_MS) * 1000 - self.delay
+
+    def alarm(self, us: int) -> int:
+        return max(1, -(-(us + self.delay) // 1000) - _KEEP_MS + 1)
+
+    def load(self) -> tuple[int, int | None, tuple | None]:
+        if not self.state.exists():
+            return -(1 << 62), None, None
+        seen, timer, *rest = self.state.get()
+        return seen, timer, tuple(rest)
+
+    def store(self, seen: int, timer: int | None, due: int, rest: tuple) -> None:
+        """Keep ``rest`` and have the timer go off at ``due``."""
+        if timer is None or due < timer:
+            if timer is not None:
+                self.handle.deleteTimer(self.alarm(timer))
+            self.handle.registerTimer(self.alarm(due))
+            timer = due
+        self.state.update((int(seen), int(timer), *rest))
+
+    def handleInputRows(self, key, rows, timerValues):
+        frames = list(rows)
+        if key[0] is None or not frames:
+            return
+        frame = pd.concat(frames)
+        seen, timer, rest = self.load()
+        seen = max(seen, int(frame["us"].max()))
+        yield self.rows(key, frame, seen, timer, rest, self.clock(timerValues))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        seen, timer, rest = self.load()
+        if rest is None:
+            return
+        now = self.clock(timerValues)
+        if timer is not None and timer <= now:
+            timer = None
+        if now >= seen + self.gap:
+            out = self.over(key, rest)
+            self.state.clear()
+            if timer is not None:
+                self.handle.deleteTimer(self.alarm(timer))
+            yield out
+        else:
+            yield self.due(key, seen, timer, rest, now)
+
+    def rows(self, key, frame: pd.DataFrame, seen: int, timer: int | None, rest: tuple | None, now: int) -> pd.DataFrame:
+        """What the rows of a batch bring out; ends with ``store``."""
+        raise NotImplementedError
+
+    def due(self, key, seen: int, timer: int | None, rest: tuple, now: int) -> pd.DataFrame:
+        """What comes out when the timer goes off before the trace is over."""
+        self.store(seen, timer, seen + self.gap, rest)
+        return self.frame([])
+
+    def over(self, key, rest: tuple) -> pd.DataFrame:
+        """What comes out when the trace is over."""
+        return self.frame([])
+
+    def frame(self, rows: list) -> pd.DataFrame:
+        raise NotImplementedError
+
+
+def _apply(stream: DataFrame, keys: list[str], processor: Timed, output: str) -> DataFrame:
+    slim = stream.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    return slim.groupBy(*keys).transformWithStateInPandas(processor, output, "Append", "EventTime")
+
+
+def _clocked(stream: DataFrame) -> DataFrame:
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", KEEP)
+
+
+def write_end(spark: SparkSession, path: str, schema: str, at: str = "2200-01-01 00:00:00") -> None:
+    """End the stream over the folder ``path``: one more file, newer than all others, with a row without trace at the late time ``at``."""
+    time.sleep(1.1)  # some file systems keep whole seconds
+    row = spark.createDataFrame([(0,)], "_at int").select(F.to_timestamp(F.lit(at)).alias("ts"))
+    names = [f.strip().split(" ")[0] for f in schema.split(",")]
+    types = [f.strip().split(" ", 1)[1] for f in schema.split(",")]
+    row.select(*[F.col("ts") if n == "ts" else F.lit(None).cast(t).alias(n) for n, t in zip(names, types)]).write.mode("append").parquet(path)
+
 
 def token_stream(spark: SparkSession, path: str, schema: StructType | str, fmt: str = "parquet", max_files: int = 100) -> DataFrame:
     return spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", max_files).load(path)
 
 
-def ordered(stream: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """Number the rows ``(trace_id, ts, id, token)`` of each trace: a batch is sorted by ``(ts, id)`` and continues the
-    count. Rows behind the last numbered row come out with ``late`` and no position."""
+class _Order(Timed):
+    """Numbers the rows of a trace. Rows wait, sorted, until the clock has passed them."""
+
+    fields = "pos bigint, last_us bigint, last_id bigint, wait_us array<bigint>, wait_id array<bigint>, wait_token array<int>"
 
-    def number(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        rows = pd.concat(list(batches)).sort_values(["ts", "id"])
-        pos, last_ts, last_id = state.get if state.exists else (0, -(1 << 62), -(1 << 62))
-        at = rows["ts"].astype("int64").to_numpy()
-        late = (at < last_ts) | ((at == last_ts) & (rows["id"].to_numpy() <= last_id))
-        n = int((~late).sum())
-        out = pd.Series(pos + np.cumsum(~late) - 1, dtype="Int64").mask(late)
-        if n:
-            last_ts, last_id = int(at[~late][-1]), int(rows["id"].to_numpy()[~late][-1])
-        state.update((pos + n, last_ts, last_id))
-        yield pd.DataFrame({"trace_id": key[0], "ts": rows["ts"].to_numpy(), "id": rows["id"].to_numpy(), "token": rows["token"].to_numpy(), "pos": out, "late": late})
+    def frame(self, rows: list) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["trace_id", "us", "id", "token", "pos", "late"]).astype({"pos": "Int64", "token": "Int64", "late": bool})
 
-    slim = stream.select("trace_id", F.col("ts").cast("timestamp").alias("ts"), F.col("id").cast("bigint").alias("id"), "token")
-    return slim.withWatermark("ts", watermark).groupBy("trace_id").applyInPandasWithState(
-        number, "trace_id string, ts timestamp, id bigint, token int, pos bigint, late boolean", "pos bigint, last_ts bigint, last_id bigint", "append", GroupStateTimeout.NoTimeout
-    )
+    def rows(self, key, frame, seen, timer, rest, now):
+        pos, last_us, last_id, *waiting = rest or (0, -(1 << 62), -(1 << 62), [], [], [])
+        held, out = dict(zip(zip(waiting[0], waiting[1]), waiting[2])), []
+        for us, i, token in zip(frame["us"].tolist(), frame["id"].tolist(), frame["token"].tolist()):
+            token = None if token is None or token != token else int(token)
+            if (us, i) <= (last_us, last_id) or (us, i) in held:
+                out.append((key[0], us, i, token, None, True))
+            else:
+                held[us, i] = token
+        return self.released(key, seen, timer, (pos, last_us, last_id), held, now, out)
 
+    def due(self, key, seen, timer, rest, now):
+        return self.released(key, seen, timer, rest[:3], dict(zip(zip(rest[3], rest[4]), rest[5])), now, [])
 
-def window_stream(stream: DataFrame, w: int = 20, stride: int = 2, size: int = PACK) -> DataFrame:
-    """Sliding windows of a stream ``(trace_id, pos, token)``: a window comes out once, when all its tokens are there.
-    A token that arrives again comes out as a row with ``late``.
+    def released(self, key, seen, timer, last, held, now, out):
+        pos, last_us, last_id = last
+        ready = sorted(k for k in held if k[0] <= now)
+        for us, i in ready:
+            out.append((key[0], us, i, held.pop((us, i)), pos, False))
+            pos, last_us, last_id = pos + 1, us, i
+        wait = sorted(held)
+        rest = (pos, last_us, last_id, [k[0] for k in wait], [k[1] for k in wait], [held[k] for k in wait])
+        self.store(seen, timer, wait[0][0] if wait else seen + self.gap, rest)
+        return self.frame(out)
 
-    State is one small record per trace and chunk of ``size`` window starts: the next expected position, the tokens
-    still needed by an open window, and tokens that arrived ahead of their turn."""
-    size = max(1, size // stride) * stride
+    def over(self, key, rest):
+        pos, _, _, us, ids, tokens = rest
+        return self.frame([(key[0], u, i, t, pos + n, False) for n, (u, i, t) in enumerate(zip(us, ids, tokens))])
+
+
+def ordered(stream: DataFrame, delay: float = 3600, gap: float = 365 * 86_400) -> DataFrame:
+    """Number the rows ``(trace_id, ts, id, token)`` of each trace in the order of ``(ts, id)``, however files overlap: a row waits
+    ``delay`` seconds of the stream's clock for earlier ones. Rows behind the last numbered row, and repeated ``(ts, id)``, come out with ``late`` and no
+    position. A trace silent for ``gap`` seconds is over; if it goes on, its positions begin again."""
+    slim = _clocked(stream.select("trace_id", "ts", F.col("id").cast("bigint").alias("id"), F.col("token").cast("int").alias("token")))
+    out = _apply(slim, ["trace_id"], _Order(delay, gap), "trace_id string, us bigint, id bigint, token int, pos bigint, late boolean")
+    return out.select("trace_id", F.timestamp_micros("us").alias("ts"), "id", "token", "pos", "late")
+
+
+class _Windows(Timed):
+    fields = "nxt bigint, tail array<int>, wait_pos array<bigint>, wait_token array<int>"
+
+    def __init__(self, delay: float, gap: float, w: int, stride: int, size: int) -> None:
+        super().__init__(delay, gap)
+        self.w, self.stride, self.size = w, stride, size
 
-    def windows(key, batches: Iterator[pd.DataFrame], state: GroupState):
+    def frame(self, rows: list) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["trace_id", "w", "win", "pos", "late"]).astype({"w": "Int64", "pos": "Int64", "late": bool})
+
+    def rows(self, key, frame, seen, timer, rest, now):
         trace, chunk = key
-        rows = pd.concat(list(batches)).sort_values("pos")
-        begin, end = chunk * size, chunk * size + size + w - 1
-        nxt, tail, ahead_pos, ahead_tok = state.get if state.exists else (begin, [], [], [])
-        waiting = dict(zip(ahead_pos, ahead_tok))
-        tail, out = list(tail), []
-        for pos, token in zip(rows["pos"], rows["token"]):
-            if pos < nxt or pos in waiting:
-                # A token shared with the neighbouring chunk is reported by its own chunk only.
-                if begin <= pos < begin + size:
-                    out.append((trace, None, None, int(pos), True))
-            else:
-                waiting[int(pos)] = int(token)
-        while nxt in waiting:
-            tail.append(waiting.pop(nxt))
-            nxt += 1
-            start = nxt - w
-            if start >= begin and start % stride == 0 and start < begin + size:
-                out.append((trace, start // stride, tail[-w:], None, False))
-            tail = tail[-(w - 1) :] if w > 1 else []
-        if nxt >= end:
-            tail, waiting = [], {}
-        state.update((nxt, tail, list(waiting), list(waiting.values())))
-        yield pd.DataFrame(out, columns=["trace_id", "w", "win", "pos", "late"]).astype({"w": "Int64", "pos": "Int64", "late": bool})
+        begin, w, stride = int(chunk) * self.size, self.w, self.stride
+        nxt, tail, wait_pos, wait_token = rest or (begin, [], [], [])
+        came = frame["pos"].to_numpy(np.int64)
+        pos = np.concatenate([np.array(wait_pos, np.int64), came])
+        token = np.concatenate([np.array(wait_token, np.int64), frame["token"].to_numpy(np.int64)])
+        # What was waiting comes first, so of equal positions the row seen first stays.
+        first = np.unique(pos, return_index=True)[1]
+        fresh = first[pos[first] >= nxt]
+        again = np.setdiff1d(np.arange(len(wait_pos), len(pos)), fresh)
+        # A token shared with the neighbouring chunk is reported by its own chunk only.
+        out = [(trace, None, None, p, True) for p in pos[again].tolist() if begin <= p < begin + self.size]
+        pos, token = pos[fresh], token[fresh]
+        ready = int((pos == nxt + np.arange(len(pos))).cumprod().sum())
+        row = np.concatenate([np.array(tail, np.int64), token[:ready]])
+        at = nxt - len(tail)  # position of the first token of ``row``
+        nxt += ready
+        if len(row) >= w:
+            start = np.arange(at, at + len(row) - w + 1)
+            start = start[(start % stride == 0) & (start >= begin) & (start < begin + self.size) & (start > nxt - ready - w)]
+            view = np.lib.stride_tricks.sliding_window_view(row, w)
+            out += [(trace, s // stride, view[s - at].tolist(), None, False) for s in start.tolist()]
+        tail = row[len(row) - min(len(row), w - 1) :].tolist()
+        if nxt >= begin + self.size + w - 1:
+            tail, ready = [], len(pos)
+        self.store(seen, timer, seen + self.gap, (int(nxt), tail, pos[ready:].tolist(), token[ready:].tolist()))
+        return self.frame(out)
+
+    def over(self, key, rest):
+        begin = int(key[1]) * self.size
+        return self.frame([(key[0], None, None, p, True) for p in rest[2] if begin <= p < begin + self.size])
+
+
+def window_stream(stream: DataFrame, w: int = 20, stride: int = 2, size: int = PACK, delay: float = 0, gap: float = GAP) -> DataFrame:
+    """Sliding windows of a stream ``(trace_id, pos, token, ts)``: a window comes out once, when all its tokens are there.
+    A token that arrives again, and one still waiting for others when its trace is over, comes out as a row with ``late``.
 
+    State is one small record per trace and chunk of ``size`` window starts: the next expected position, the tokens
+    still needed by an open window, and tokens that arrived ahead of their turn. It goes when the chunk has been silent for ``gap`` seconds."""
+    size = max(1, size // stride) * stride
     first = F.greatest(F.lit(0).cast("bigint"), F.expr(f"(pos - {w - 1}) div {size}"))
-    rows = stream.select("trace_id", F.explode(F.sequence(first, F.expr(f"pos div {size}"))).alias("chunk"), "pos", "token")
-    return rows.groupBy("trace_id", "chunk").applyInPandasWithState(
-        windows, "trace_id string, w bigint, win array<int>, pos bigint, late boolean", "nxt bigint, tail array<int>, ahead_pos array<bigint>, ahead_tok array<int>", "append", GroupStateTimeout.NoTimeout
-    )
+    rows = _clocked(stream).select("trace_id", "ts", F.explode(F.sequence(first, F.expr(f"pos div {size}"))).alias("chunk"), "pos", "token")
+    return _apply(rows, ["trace_id", "chunk"], _Windows(delay, gap, w, stride, size), "trace_id string, w bigint, win array<int>, pos bigint, late boolean")
 
 
 def score_batches(stream: DataFrame, model: Markov, path: str, checkpoint: str) -> DataFrame:
@@ -157,56 +319,55 @@ class _Alerts:
 STATE = "nxt bigint, probs array<double>, alert boolean, hold int, ahead_w array<bigint>, ahead_p array<double>"
 
 
-def alert_stream(stream: DataFrame, policy: Policy) -> DataFrame:
-    """Alert state of a stream ``(trace_id, w, prob)`` with ``open`` and ``close`` events. The state of a trace is its last
-    rolling frame, the alert flag and the held windows left."""
-
-    def alerts(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        run = _Alerts(policy, state.get if state.exists else None)
-        rows = pd.concat(list(batches))
-        out = list(run.push(rows["w"], rows["prob"]))
-        state.update(run.stored())
-        yield pd.DataFrame(out, columns=["w", "prob", "alert", "event"]).assign(trace_id=key[0])[["trace_id", "w", "prob", "alert", "event"]]
-
-    return stream.select("trace_id", "w", "prob").groupBy("trace_id").applyInPandasWithState(
-        alerts, "trace_id string, w bigint, prob double, alert boolean, event string", STATE, "append", GroupStateTimeout.NoTimeout
-    )
-
-
-def episode_stream(stream: DataFrame, policy: Policy, idle_ms: int = 60_000) -> DataFrame:
-    """Close an episode when its stream ``(trace_id, w, prob, attack_start, attack_end)`` stays idle for ``idle_ms``, and
-    emit its counters. ``attack_start`` and ``attack_end`` come from a join with the ground truth and may be NULL. Where the
-    stream has a column ``expected`` (the number of windows of the episode, NULL if unknown), an episode stays open until so
-    many have had their turn, however long it is idle."""
-    counters = ["n_windows", "first_alert", "first_inside", "before", "inside", "after", "total", "segments", "attack_start", "attack_end"]
-
-    def episode(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        names = ["trace_id", *counters]
-        if state.hasTimedOut:
-            stored = state.get
-            expected = stored[-1]
-            if expected is not None and stored[6] < expected:
-                state.update(stored)
-                state.setTimeoutDuration(idle_ms)
-                yield pd.DataFrame(columns=names).astype({"trace_id": str, **{c: "Int64" for c in counters}})
-                return
-            state.remove()
-            row = [key[0], *stored[6:-1]]
-            yield pd.DataFrame([row], columns=names).astype({c: "Int64" for c in counters})
-            return
-        stored = state.get if state.exists else None
-        run = _Alerts(policy, stored[:6] if stored else None)
-        count = dict(zip(counters, stored[6:-1])) if stored else {c: (None if c in ("first_alert", "first_inside", "attack_start", "attack_end") else 0) for c in counters}
-        expected = stored[-1] if stored else None
-        rows = pd.concat(list(batches))
-        if len(rows):
-            s, e = rows["attack_start"].iloc[0], rows["attack_end"].iloc[0]
-            if not pd.isna(rows["expected"].iloc[0]):
-                expected = int(rows["expected"].iloc[0])
-            if not pd.isna(s):
-                count["attack_start"], count["attack_end"] = int(s), int(e)
+class _AlertRows(Timed):
+    fields = STATE
+
+    def __init__(self, delay: float, gap: float, policy: Policy) -> None:
+        super().__init__(delay, gap)
+        self.policy = policy
+
+    def frame(self, rows: list) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["trace_id", "w", "prob", "alert", "event"]).astype({"alert": "boolean"})
+
+    def rows(self, key, frame, seen, timer, rest, now):
+        run = _Alerts(self.policy, rest)
+        out = [(key[0], *row) for row in run.push(frame["w"], frame["prob"])]
+        self.store(seen, timer, seen + self.gap, run.stored())
+        return self.frame(out)
+
+    def over(self, key, rest):
+        return self.frame([(key[0], w, p, None, "stranded") for w, p in sorted(zip(rest[4], rest[5]))])
+
+
+def alert_stream(stream: DataFrame, policy: Policy, delay: float = 0, gap: float = GAP) -> DataFrame:
+    """Alert state of a stream ``(trace_id, w, prob, ts)`` with ``open`` and ``close`` events. The state of a trace is its last
+    rolling frame, the alert flag and the held windows left, until the trace has been silent for ``gap`` seconds. Windows behind a
+    missing one come out then, without alert and with the event ``stranded``."""
+    slim = _clocked(stream.select("trace_id", "w", "prob", "ts"))
+    return _apply(slim, ["trace_id"], _AlertRows(delay, gap, policy), "trace_id string, w bigint, prob double, alert boolean, event string")
+
+
+_COUNTERS = ["n_windows", "first_alert", "first_inside", "before", "inside", "after", "total", "segments", "attack_start", "attack_end"]
+_UNSET = ("first_alert", "first_inside", "attack_start", "attack_end")
+
+
+class _Episodes(_AlertRows):
+    fields = f"{STATE}, {', '.join(f'{c} bigint' for c in _COUNTERS)}, expected bigint"
+
+    def frame(self, rows: list) -> pd.DataFrame:
+        names = [*_COUNTERS, "missing"]
+        return pd.DataFrame(rows, columns=["trace_id", *names]).astype({"trace_id": str, **{c: "Int64" for c in names}})
+
+    def rows(self, key, frame, seen, timer, rest, now):
+        run = _Alerts(self.policy, rest[:6] if rest else None)
+        count = dict(zip(_COUNTERS, rest[6:-1])) if rest else {c: None if c in _UNSET else 0 for c in _COUNTERS}
+        told = {c: frame[c].dropna() for c in ("attack_start", "attack_end", "expected")}
+        expected = int(told["expected"].iloc[0]) if len(told["expected"]) else rest[-1] if rest else None
+        for c in ("attack_start", "attack_end"):
+            if len(told[c]):
+                count[c] = int(told[c].iloc[0])
         start, end = count["attack_start"], count["attack_end"]
-        for w, _, alert, event in run.push(rows["w"], rows["prob"]):
+        for w, _, alert, event in run.push(frame["w"], frame["prob"]):
             count["n_windows"] += 1
             if not alert:
                 continue
@@ -218,37 +379,37 @@ def episode_stream(stream: DataFrame, policy: Policy, idle_ms: int = 60_000) ->
                 count[where] += 1
                 if where == "inside" and count["first_inside"] is None:
                     count["first_inside"] = w
-        state.update((*run.stored(), *[None if count[c] is None else int(count[c]) for c in counters], expected))
-        state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(columns=names).astype({"trace_id": str, **{c: "Int64" for c in counters}})
+        kept = [None if count[c] is None else int(count[c]) for c in _COUNTERS]
+        self.store(seen, timer, seen + self.gap, (*run.stored(), *kept, expected))
+        return self.frame([])
+
+    def over(self, key, rest):
+        ahead, n, expected = rest[4], rest[6], rest[-1]
+        known = expected if expected is not None else max(ahead) + 1 if ahead else n
+        return self.frame([(key[0], *rest[6:-1], known - n)])
+
 
-    fields = ", ".join(f"{c} bigint" for c in counters)
+def episode_stream(stream: DataFrame, policy: Policy, delay: float = 0, gap: float = GAP) -> DataFrame:
+    """Close an episode when its stream ``(trace_id, w, prob, ts, attack_start, attack_end)`` has been silent for ``gap`` seconds of event time, and
+    emit its counters. ``attack_start`` and ``attack_end`` come from a join with the ground truth and may be NULL. ``missing`` counts
+    the windows that never had their turn: those short of ``expected`` where the stream has that column, else those up to the last one seen."""
     known = F.col("expected") if "expected" in stream.columns else F.lit(None)
-    slim = stream.select(
-        "trace_id", "w", "prob", F.col("attack_start").cast("bigint").alias("attack_start"), F.col("attack_end").cast("bigint").alias("attack_end"), known.cast("bigint").alias("expected")
-    )
-    return slim.groupBy("trace_id").applyInPandasWithState(episode, f"trace_id string, {fields}", f"{STATE}, {fields}, expected bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
-
-
-def await_episodes(q, spark: SparkSession, path: str, schema, episodes: int, windows: int, every: float = 0.5) -> DataFrame:
-    """The table that the query ``q`` of an ``episode_stream`` writes below ``path``, once it holds ``episodes`` episodes with
-    ``windows`` windows in all, however long that takes. A query that fails raises its own error; one that ends before, or that
-    closes an episode more than once, is an error as well, so a part is never returned."""
-    while True:
-        ended = q.awaitTermination(every)
-        try:
-            table = spark.read.schema(schema).parquet(path)
-            got = table.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("trace_id").alias("episodes"), F.coalesce(F.sum("n_windows"), F.lit(0)).alias("windows")).head()
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":  # else nothing written yet
-                raise
-            got = {"n": 0, "episodes": 0, "windows": 0}
-        if got["n"] > got["episodes"]:
-            raise RuntimeError(f"{got['n'] - got['episodes']} episodes were closed before all their windows had arrived")
-        if got["episodes"] >= episodes and got["windows"] >= windows:
-            return table
-        if ended:
-            raise RuntimeError(f"the stream ended after {got['episodes']} of {episodes} episodes and {got['windows']} of {windows} windows")
+    cast = lambda c, name: c.cast("bigint").alias(name)
+    slim = stream.select("trace_id", "w", "prob", "ts", *[cast(F.col(c), c) for c in ("attack_start", "attack_end")], cast(known, "expected"))
+    fields = ", ".join(f"{c} bigint" for c in _COUNTERS)
+    return _apply(_clocked(slim), ["trace_id"], _Episodes(delay, gap, policy), f"trace_id string, {fields}, missing bigint")
+
+
+def whole_episodes(closed: DataFrame, known: DataFrame) -> DataFrame:
+    """The stored result ``closed`` of an ``episode_stream`` without ``missing``. An error where an episode of ``known`` (``trace_id``) was never
+    closed, was closed twice, or misses windows, so that a part is never taken for the whole."""
+    seen = closed.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n"), F.sum("missing").alias("missing"))
+    odd = known.select("trace_id").join(seen, "trace_id", "full").where("n is null or n > 1 or missing > 0")
+    some = odd.orderBy("trace_id").limit(5).collect()
+    if some:
+        what = ", ".join(f"{r['trace_id']} ({'never closed' if r['n'] is None else 'closed twice' if r['n'] > 1 else str(r['missing']) + ' windows missing'})" for r in some)
+        raise RuntimeError(f"{odd.count()} episodes are not whole: {what}")
+    return closed.drop("missing")
 
 
 def metrics_sink(stream: DataFrame, path: str, checkpoint: str, by: str = "trace_id"):
@@ -261,7 +422,8 @@ def metrics_sink(stream: DataFrame, path: str, checkpoint: str, by: str = "trace
         )
         counts.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    with state_store(stream.sparkSession):
+        return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def read_metrics(spark: SparkSession, path: str, by: str = "trace_id") -> DataFrame:
@@ -271,6 +433,7 @@ def read_metrics(spark: SparkSession, path: str, by: str = "trace_id") -> DataFr
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Run a stream over everything that is there, into a Parquet table."""
-    q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    with state_store(stream.sparkSession):
+        q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)

@@ -2,6 +2,7 @@
 
 import random
 import time
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,11 +15,33 @@ from seqalert.streaming import streams as S
 POLICY = Policy(tau=0.5, rolling=3, warmup=2, trigger_mean=0.6, trigger_rate=0.6, trigger_consecutive=2, clear_mean=0.45, clear_rate=0.34, hold=2)
 
 
-def write_batches(spark, rows, schema, path, n):
-    """``n`` files, one second apart, so that they arrive in order."""
-    for i in range(n):
-        spark.createDataFrame(rows[i::n], schema).coalesce(1).write.mode("append").parquet(path)
+TOKENS, SCORES = "trace_id string, pos bigint, token int, ts timestamp", "trace_id string, w bigint, prob double, ts timestamp"
+
+
+def clock(second):
+    return datetime(2000, 1, 1, tzinfo=timezone.utc) + timedelta(seconds=second)
+
+
+def write_batches(spark, batches, schema, path, end=True):
+    """A file for each batch, one second apart, so that they arrive in order, and the row that ends the stream."""
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
         time.sleep(1.1)
+    if end:
+        S.write_end(spark, path, schema)
+
+
+def dealt(rows, n):
+    return [rows[i::n] for i in range(n)]
+
+
+def run(spark, src, schema, step, tmp_path, name="run"):
+    stream = step(S.token_stream(spark, src, schema, max_files=1))
+    return S.run_to_table(stream, str(tmp_path / name / "out"), str(tmp_path / name / "state")).cache()
+
+
+def states(spark, tmp_path, name="run"):
+    return spark.read.format("statestore").option("path", str(tmp_path / name / "state")).option("stateVarName", "state").load().count()
 
 
 @pytest.fixture(scope="module")
@@ -29,49 +52,66 @@ def tokens():
 
 @pytest.mark.parametrize("size", [16, 4096])
 def test_windows_do_not_depend_on_arrival(spark, tokens, tmp_path, size):
-    rows = list(tokens)
+    rows = [(*r, clock(r[1])) for r in tokens]
     random.Random(1).shuffle(rows)
     src = str(tmp_path / "src")
-    write_batches(spark, rows, "trace_id string, pos bigint, token int", src, 3)
-    # One token arrives a second time.
-    spark.createDataFrame([rows[0]], "trace_id string, pos bigint, token int").coalesce(1).write.mode("append").parquet(src)
-    stream = S.token_stream(spark, src, "trace_id string, pos bigint, token int", max_files=1)
-    out = S.run_to_table(S.window_stream(stream, size=size), str(tmp_path / "out"), str(tmp_path / "state")).cache()
+    # One token arrives a second time; one trace has a gap that nothing fills.
+    write_batches(spark, [*dealt(rows, 3), [rows[0], ("gap", 0, 1, clock(0)), ("gap", 2, 1, clock(2))]], TOKENS, src)
+    out = run(spark, src, TOKENS, lambda stream: S.window_stream(stream, size=size), tmp_path)
     batch = win.sliding_windows(spark.createDataFrame(tokens, "trace_id string, pos bigint, token int"))
     got = out.where(~F.col("late")).select("trace_id", "w", "win")
     assert got.exceptAll(batch).count() == 0 and got.count() == batch.count() > 0
-    late = out.where("late").collect()
-    assert [(r["trace_id"], r["pos"]) for r in late] == [rows[0][:2]]
+    assert sorted((r["trace_id"], r["pos"]) for r in out.where("late").collect()) == sorted([rows[0][:2], ("gap", 2)])
+    assert states(spark, tmp_path) == 0
+
+
+def test_state_stays_while_a_trace_goes_on(spark, tokens, tmp_path):
+    src = str(tmp_path / "src")
+    write_batches(spark, [[(*r, clock(r[1])) for r in tokens]], TOKENS, src, end=False)
+    run(spark, src, TOKENS, S.window_stream, tmp_path)
+    assert states(spark, tmp_path) == 4
 
 
 def test_alerts_and_metrics(spark, tmp_path):
     rng = random.Random(4)
-    rows = [(t, w, rng.random()) for t, n in (("a", 90), ("b", 2), ("c", 40)) for w in range(n)]
+    rows = [(t, w, rng.random(), clock(w)) for t, n in (("a", 90), ("b", 2), ("c", 40)) for w in range(n)]
     arrival = sorted(rows, key=lambda r: (r[1] + rng.random() * 6))
     src = str(tmp_path / "src")
-    write_batches(spark, arrival, "trace_id string, w bigint, prob double", src, 3)
-    stream = S.token_stream(spark, src, "trace_id string, w bigint, prob double", max_files=1)
-    out = S.run_to_table(S.alert_stream(stream, POLICY), str(tmp_path / "out"), str(tmp_path / "state")).cache()
-    batch = alerts.alert_timeline(spark.createDataFrame(rows, "trace_id string, w bigint, prob double"), POLICY).cache()
-    a, b = out.select("trace_id", "w", "alert"), batch.select("trace_id", "w", "alert")
+    write_batches(spark, [*dealt(arrival, 3), [("d", 1, 0.5, clock(1))]], SCORES, src)
+    out = run(spark, src, SCORES, lambda stream: S.alert_stream(stream, POLICY), tmp_path)
+    batch = alerts.alert_timeline(spark.createDataFrame(rows, SCORES).drop("ts"), POLICY).cache()
+    a, b = out.where("trace_id <> 'd'").select("trace_id", "w", "alert"), batch.select("trace_id", "w", "alert")
     assert a.exceptAll(b).count() == 0 and a.count() == b.count()
+    assert [tuple(r) for r in out.where("trace_id = 'd'").collect()] == [("d", 1, 0.5, None, "stranded")]
     opened = batch.where("alert and not was_alert").count()
-    assert out.where("event = 'open'").count() == opened
-    S.metrics_sink(S.alert_stream(stream, POLICY), str(tmp_path / "m"), str(tmp_path / "ms")).awaitTermination()
+    assert out.where("event = 'open'").count() == opened and states(spark, tmp_path) == 0
+    S.metrics_sink(S.alert_stream(S.token_stream(spark, src, SCORES, max_files=1).where("trace_id <> 'd' or trace_id is null"), POLICY), str(tmp_path / "m"), str(tmp_path / "ms")).awaitTermination()
     total = S.read_metrics(spark, str(tmp_path / "m")).agg(F.sum("windows").alias("w"), F.sum("alerts").alias("a")).head()
     assert (total["w"], total["a"]) == (len(rows), opened)
 
 
+ROWS = "trace_id string, ts timestamp, id bigint, token int"
+
+
+def test_overlapping_files_are_ordered(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(t, clock(rng.randrange(500)), i, i % 7) for i, t in enumerate(rng.choices("abc", k=200))]
+    src = str(tmp_path / "src")
+    write_batches(spark, dealt(rows, 3), ROWS, src)
+    got = run(spark, src, ROWS, lambda stream: S.ordered(stream, delay=600), tmp_path)
+    want = sorted((t, n, i) for t in "abc" for n, (_, i) in enumerate(sorted((ts, i) for u, ts, i, _ in rows if u == t)))
+    assert sorted((r["trace_id"], r["pos"], r["id"]) for r in got.collect()) == want
+    assert got.where("late").count() == 0 and states(spark, tmp_path) == 0
+
+
 def test_ordering_marks_late_rows(spark, tmp_path):
-    src, schema = str(tmp_path / "src"), "trace_id string, ts timestamp, id bigint, token int"
-    at = lambda m: spark.sql(f"select timestamp '2024-01-01 00:{m:02d}:00' t").head()["t"]
-    for batch in ([("a", at(5), 2, 7), ("a", at(1), 1, 6)], [("a", at(3), 9, 1), ("a", at(9), 3, 8), ("a", at(5), 2, 7)]):
-        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
-        time.sleep(1.1)
-    out = S.run_to_table(S.ordered(S.token_stream(spark, src, schema, max_files=1)), str(tmp_path / "out"), str(tmp_path / "state"))
-    got = sorted((r["id"], r["pos"], r["late"]) for r in out.collect() if not r["late"])
-    assert got == [(1, 0, False), (2, 1, False), (3, 2, False)]
-    assert sorted((r["id"], r["pos"]) for r in out.where("late").collect()) == [(2, None), (9, None)]
+    src = str(tmp_path / "src")
+    row = lambda minute, i, token: ("a", clock(60 * minute), i, token)
+    # The fourth batch finds minute 5 numbered: 3 is behind it, 8 is not, and 5 comes again.
+    write_batches(spark, [[row(5, 2, 7), row(1, 1, 6)], [row(10, 3, 8)], [row(20, 4, 8)], [row(3, 9, 1), row(8, 5, None), row(5, 2, 7)]], ROWS, src)
+    got = {(r["id"], r["pos"], r["late"]) for r in run(spark, src, ROWS, lambda stream: S.ordered(stream, delay=60), tmp_path).collect()}
+    assert got == {(1, 0, False), (2, 1, False), (2, None, True), (5, 2, False), (3, 3, False), (4, 4, False), (9, None, True)}
+    assert states(spark, tmp_path) == 0
 
 
 def test_scored_batches_equal_the_table(spark, tokens, tmp_path):
@@ -84,66 +124,49 @@ def test_scored_batches_equal_the_table(spark, tokens, tmp_path):
     assert a.count() == b.count() > 0 and a.exceptAll(b).count() == 0
 
 
-class Query:
-    """A query that writes one table after the other, one for each time it is waited for, and then runs on or ends."""
+TRUTH = "trace_id string, attack_start bigint, attack_end bigint, expected bigint"
+
+
+def episodes_of(spark, tmp_path, batches, known, gap=5):
+    src = str(tmp_path / "src")
+    write_batches(spark, batches, SCORES, src)
+    known = spark.createDataFrame(known, TRUTH)
+    return run(spark, src, SCORES, lambda stream: S.episode_stream(stream.join(known, "trace_id", "left"), POLICY, gap=gap), tmp_path), known
+
 
-    def __init__(self, spark, path, tables, ends):
-        self.spark, self.path, self.tables, self.ends = spark, path, list(tables), ends
+def test_episodes_close_by_event_time(spark, tmp_path):
+    """Later windows come in later batches; an episode closes when the stream's clock, not the wall clock, has passed it."""
+    of = lambda t, ws: [(t, w, 0.9, clock(w)) for w in ws]
+    out, known = episodes_of(spark, tmp_path, [of("a", range(4)) + of("b", range(3)), of("c", range(2)), of("a", range(4, 8))], [("a", 1, 5, 8), ("b", None, None, 3), ("c", None, None, 2)])
+    got = S.whole_episodes(out, known)
+    assert sorted((r["trace_id"], r["n_windows"], r["segments"]) for r in got.collect()) == [("a", 8, 1), ("b", 3, 1), ("c", 2, 1)]
+    assert "missing" not in got.columns and states(spark, tmp_path) == 0
 
-    def awaitTermination(self, every):
-        if self.tables and (rows := self.tables.pop(0)):
-            self.spark.createDataFrame(rows, "trace_id string, n_windows bigint").write.mode("append").parquet(self.path)
-        return self.ends and not self.tables
 
+def test_a_part_of_an_episode_is_an_error(spark, tmp_path):
+    rows = [(t, w, 0.9, clock(w)) for t in "ab" for w in range(6) if (t, w) != ("a", 3)]
+    out, known = episodes_of(spark, tmp_path, [rows], [("a", None, None, 6), ("b", None, None, 6), ("c", None, None, 1)])
+    assert sorted((r["trace_id"], r["n_windows"], r["missing"]) for r in out.collect()) == [("a", 3, 3), ("b", 6, 0)]
+    with pytest.raises(RuntimeError, match=r"2 episodes are not whole: a \(3 windows missing\), c \(never closed\)"):
+        S.whole_episodes(out, known)
+    with pytest.raises(RuntimeError, match="closed twice"):
+        S.whole_episodes(out.where("trace_id = 'b'").union(out.where("trace_id = 'b'")), known.where("trace_id = 'b'"))
 
-@pytest.mark.parametrize(
-    "tables, ends, why", [([[], [], [("a", 3)], [], [("b", 4)]], False, None), ([[("a", 3)], []], True, "ended after 1 of 2"), ([[], []], True, "ended after 0 of 2"), ([[("a", 1)], [("a", 2)]], False, "closed before")]
-)
-def test_episodes_are_whole_or_an_error(spark, tmp_path, tables, ends, why):
-    path = str(tmp_path / "out")
-    run = lambda: S.await_episodes(Query(spark, path, tables, ends), spark, path, "trace_id string, n_windows bigint", 2, 7)
-    if why is None:
-        assert sorted(map(tuple, run().collect())) == [("a", 3), ("b", 4)]
-    else:
-        with pytest.raises(RuntimeError, match=why):
-            run()
 
+def test_missing_windows_are_counted_without_a_known_number(spark, tmp_path):
+    out, _ = episodes_of(spark, tmp_path, [[("a", w, 0.1, clock(w)) for w in (0, 1, 4)]], [("x", None, None, None)])
+    assert [(r["trace_id"], r["n_windows"], r["missing"]) for r in out.collect()] == [("a", 2, 3)]
 
-@pytest.mark.parametrize("tau", [0.5, "no number"])
-def test_episode_query_returns_no_part(spark, sf, monkeypatch, tau):
-    """A stream that loses an episode, and one that fails: both were returned or read as they stood."""
+
+def test_episode_query_returns_no_part(spark, sf, monkeypatch):
+    """A stream that loses an episode, and one that fails."""
     from seqalert.contract import stream_queries
     from seqalert.contract.base import QUERIES
 
-    whole, start = S.episode_stream, S.await_episodes
-    lost = lambda stream, policy, idle_ms: whole(stream.where("trace_id not like '%1'") if tau == 0.5 else stream.withColumn("prob", F.raise_error(F.lit("broken")).cast("double")), policy, idle_ms)
-    monkeypatch.setattr(stream_queries.S, "episode_stream", lost)
-
-    def ending(q, s, path, schema, episodes, windows):
-        for _ in range(120):
-            time.sleep(0.5)
-            if not q.isActive or (q.lastProgress and q.lastProgress["batchId"] >= 5):
-                break
-        if tau == 0.5:
-            q.stop()
-        return start(q, s, path, schema, episodes, windows)
-
-    monkeypatch.setattr(stream_queries.S, "await_episodes", ending)
-    with pytest.raises(Exception, match="the stream ended after" if tau == 0.5 else "broken"):
+    whole = S.episode_stream
+    monkeypatch.setattr(stream_queries.S, "episode_stream", lambda stream, policy: whole(stream.where("trace_id is null or trace_id not like '%1'"), policy))
+    with pytest.raises(RuntimeError, match="never closed"):
+        QUERIES["str_05_episode_stream"](spark, sf)
+    monkeypatch.setattr(stream_queries.S, "episode_stream", lambda stream, policy: whole(stream.withColumn("prob", F.raise_error(F.lit("broken")).cast("double")), policy))
+    with pytest.raises(Exception, match="broken"):
         QUERIES["str_05_episode_stream"](spark, sf)
-
-
-def test_idle_episodes_wait_for_their_windows(spark, tmp_path):
-    """Windows 4 to 7 of the first trace come two batches after the others, long after it went idle."""
-    src, schema = str(tmp_path / "src"), "trace_id string, w bigint, prob double"
-    for rows in ([("a", w, 0.9) for w in range(4)], [("b", w, 0.9) for w in range(3)], [("c", w, 0.9) for w in range(2)], [("a", w, 0.9) for w in range(4, 8)]):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
-        time.sleep(1.1)
-    known = spark.createDataFrame([("a", 1, 5, 8), ("b", None, None, 3), ("c", None, None, 2)], "trace_id string, attack_start bigint, attack_end bigint, expected bigint")
-    closed = S.episode_stream(S.token_stream(spark, src, schema, max_files=1).join(known, "trace_id"), POLICY, idle_ms=1)
-    q = closed.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="500 milliseconds").start()
-    try:
-        out = S.await_episodes(q, spark, str(tmp_path / "out"), closed.schema, 3, 13)
-    finally:
-        q.stop()
-    assert sorted((r["trace_id"], r["n_windows"], r["segments"]) for r in out.collect()) == [("a", 8, 1), ("b", 3, 1), ("c", 2, 1)]
