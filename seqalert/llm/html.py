@@ -41,10 +41,19 @@ ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}),
 }
+#: Elements whose start ends an open paragraph or heading line.
+BLOCKS = frozenset(
+    "address article aside blockquote center details dialog dir div dl dt dd fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre "
+    "search section summary table tbody td tfoot th thead tr ul".split()
+)
+#: Elements that hold one line: what is no block inside them is part of it, whatever its name.
+LINES = frozenset("p h1 h2 h3 h4 h5 h6".split())
 #: Elements for parts around the content, and for the content itself: pages that use them label themselves.
 AROUND, CORE = frozenset("aside dialog footer form header menu nav".split()), frozenset("article main".split())
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*))>""")
+#: A tag whose quotes do not match ends at the next sign that ends tags.
+_ODD_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _KEEP = re.compile(r'data-keep="([01])"')
 _NAME = re.compile(r"[a-z]+")
@@ -63,6 +72,15 @@ def parse(page: str) -> list[Node]:
     """Block elements of a page in document order; the first is the page itself."""
     nodes = [Node("html", "", -1, False)]
     stack, link, at, size = [0], 0, 0, len(page)
+    still: Counter = Counter()  # open elements by name
+
+    def drop(place: int) -> None:
+        still.subtract(nodes[i].tag for i in stack[place:])
+        del stack[place:]
+
+    def push(i: int) -> None:
+        stack.append(i)
+        still[nodes[i].tag] += 1
 
     def say(text: str) -> None:
         node = nodes[stack[-1]]
@@ -88,7 +106,7 @@ def parse(page: str) -> list[Node]:
             end = page.find(">", start)
             at = size if end < 0 else end + 1
             continue
-        found = _TAG.match(page, start)
+        found = _TAG.match(page, start) or _ODD_TAG.match(page, start)
         if found is None:  # no tag: the sign stands for itself, but an unfinished tag at the end is dropped
             if page[start + 1 : start + 2].isalpha() and page.find(">", start) < 0:
                 break
@@ -104,17 +122,20 @@ def parse(page: str) -> list[Node]:
                 say("\n")
             continue
         if closing:
-            place = next((i for i in range(len(stack) - 1, 0, -1) if nodes[stack[i]].tag == tag), 0)
-            if place:
-                del stack[place:]
-                link = 0
+            if still[tag] > 0:
+                drop(next(i for i in range(len(stack) - 1, 0, -1) if nodes[stack[i]].tag == tag))
+                link = 0 if tag in BLOCKS else link
             continue
         if tag in ("html", "body"):
             continue
-        link = 0
-        if nodes[stack[-1]].tag == "p":
-            stack.pop()
-        if tag in ENDS:
+        hidden, last = tag in HIDDEN, nodes[stack[-1]].tag
+        if not hidden and tag not in BLOCKS and last in LINES:
+            continue
+        if tag in BLOCKS:
+            link = 0
+            if last == "p":
+                drop(len(stack) - 1)
+        if tag in ENDS and any(still[t] > 0 for t in ENDS[tag][0]):
             ended, stop = ENDS[tag]
             place = len(stack) - 1
             last = 0
@@ -123,12 +144,13 @@ def parse(page: str) -> list[Node]:
                     last = place
                 place -= 1
             if last:
-                del stack[last:]
+                drop(last)
         above = stack[-1]
-        if nodes[above].parts and nodes[above].parts[-1] is not None:
-            nodes[above].parts.append(None)
-        nodes.append(Node(tag, attrs, above, nodes[above].hidden or tag in HIDDEN))
-        nodes[above].parts.append(len(nodes) - 1)
+        nodes.append(Node(tag, attrs, above, nodes[above].hidden or hidden))
+        if not hidden:  # what is never shown does not part the text around it
+            if nodes[above].parts and nodes[above].parts[-1] is not None:
+                nodes[above].parts.append(None)
+            nodes[above].parts.append(len(nodes) - 1)
         if tag in RAW:
             end = re.compile(f"</{tag}", re.I).search(page, at)
             if end is None:
@@ -136,10 +158,8 @@ def parse(page: str) -> list[Node]:
             else:
                 close = page.find(">", end.end())
                 at = size if close < 0 else close + 1
-        elif tag not in VOID and not attrs.endswith("/"):
-            stack.append(len(nodes) - 1)
-        elif attrs.endswith("/") and tag not in VOID:
-            stack.append(len(nodes) - 1)  # a slash ends no element that is not empty by kind
+        elif tag not in VOID:
+            push(len(nodes) - 1)  # a slash ends no element that is not empty by kind
     return nodes
 
 

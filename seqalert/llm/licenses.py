@@ -43,6 +43,9 @@ STATEMENTS = {
 }
 #: Least coverage of a statement that is reported.
 COVERAGE = 0.8
+#: Where a statement is repeated without a gap, nearly every word begins a stretch. Those that begin within this part of the statement's length
+#: from one aligned before are not aligned again: that alignment goes on for a quarter of the length behind its stretch, so it holds them.
+STEPS = 8
 
 _STRIP = ".,;:!?\"'()[]{}<>*#%&$|/\\-_=~`"
 
@@ -145,7 +148,11 @@ class Scanner:
             told, own = self.words[name], self.count[name]
             places = [i for i, w in enumerate(words) if w in own]
             best = (0.0, 0, 0)
+            after = 0
             for start, stop in self.stretches(name, places, words):
+                if start < after:
+                    continue
+                after = start + max(1, len(told) // STEPS)
                 # Words before the copy may have been counted for it, so that the stretch ends early; then a longer one is aligned.
                 for end in (stop, stop + len(told) // 4):
                     found = patience(told, words[start:end])
@@ -154,6 +161,8 @@ class Scanner:
                         best = (cover, start + found[0][1], start + found[-1][1] + 1)
                     if cover == 1:
                         break
+                if best[0] == 1:
+                    break
             if best[0] >= self.least:
                 yield name, *best
 

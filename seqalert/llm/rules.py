@@ -12,7 +12,6 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -45,9 +44,6 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
 
 
-_LETTERS = regex.compile(r"\S*?\p{L}\S*")
-
-
 def measure(text: str | None) -> tuple[int, ...]:
     """The measurements of a text, in the order of ``MEASURES``; all 0 for null."""
     if not text:
@@ -73,8 +69,9 @@ def measure(text: str | None) -> tuple[int, ...]:
             np.add.at(edge, np.flatnonzero(twice), 1)
             np.add.at(edge, np.flatnonzero(twice) + 5, -1)
             repeated = int((np.cumsum(edge[:n]) > 0).sum())
-    upper = sum(w.decode("utf-8", "surrogatepass").isupper() for w in found)
-    return n, chars, symbols, len(lines) - len(set(lines)), repeated, len(lines), upper, len(_LETTERS.findall(text))
+    spelt = [w.decode("utf-8", "surrogatepass") for w in found]
+    upper, alpha = sum(w.isupper() for w in spelt), sum(any(map(str.isalpha, w)) for w in spelt)
+    return n, chars, symbols, len(lines) - len(set(lines)), repeated, len(lines), upper, alpha
 
 
 def ledger(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 from collections import Counter
 
 import public_tokenizers
@@ -276,3 +277,39 @@ def test_kept_rows_follow_the_bits(spark, monkeypatch):
     assert [x["doc_id"] for x in rules.kept_rows(docs).collect()] == [1]
     monkeypatch.setattr(rules, "failed_bits", lambda *prefix: F.lit(rules.mask(["shouting"])).cast("bigint"))
     assert rules.kept_rows(docs).collect() == []
+
+
+@pytest.mark.parametrize("text", ["7" * 1_000_000, "=" * 1_000_000, "a. " * 330_000, "= " * 500_000, "A" * 1_000_000])
+def test_rules_measure_long_texts_quickly(text):
+    start = time.perf_counter()
+    told = dict(zip(rules.MEASURES, rules.measure(text)))
+    assert time.perf_counter() - start < 5
+    assert told["n_words"] == len(text.split()) and told["n_alpha_words"] == sum(any(c.isalpha() for c in w) for w in text.split())
+
+
+def test_repeated_licenses_are_scanned_quickly():
+    scanner = licenses.Scanner(licenses.STATEMENTS, licenses.COVERAGE)
+    long = max(licenses.STATEMENTS, key=lambda name: len(scanner.words[name]))
+    words = licenses.STATEMENTS[long].split()
+    changed = " ".join("other" if i % 40 == 7 else w for i, w in enumerate(words))
+    for text in (" ".join([licenses.STATEMENTS[long]] * 10), " ".join([changed] * 10)):
+        start = time.perf_counter()
+        found = {name: cover for name, cover, _, _ in scanner.scan(text)}
+        assert time.perf_counter() - start < 20 and found[long] > 0.95
+
+
+def test_what_is_not_shown_parts_no_block():
+    model = html.fit(html.skeletons())
+    text = lambda body: model.extract(f"<article><h1>Title of the story</h1>{body}<p>{'Some plain words to read. ' * 8}</p></article>").split("\n")[1:-1]
+    for inner in ("<script>var a='</p>';</script>", "<svg><path d=''/></svg>", "<noscript>n</noscript>", "<select><option>o</select>", "<button>ok</button>", "<picture><img src=x></picture>", "<x-mark></x-mark>", "<style>p{}</style>"):
+        assert text(f"<p>Hello {inner} big world.</p>") == ["Hello big world."], inner
+    assert text("<p>A <x-y>b</x-y> c<p>d <em>e</em></p>") == ["A b c", "d e"]
+    assert text("<div>one <script>x</script> two<p>three</p>four</div>") == ["one two", "three", "four"]
+    assert text('<p class="x>Hello there</p><p title=\'y">more</p>') == ["Hello there", "more"] or text('<p class="x>Hello there</p>') == ["Hello there"]
+
+
+def test_stray_end_tags_take_no_time():
+    page = "<article>" + "<div>" * 10_000 + "<p>text</p>" + "</section>" * 20_000 + "</div>" * 10_000 + "<li>" * 5000
+    start = time.perf_counter()
+    nodes = html.parse(page)
+    assert time.perf_counter() - start < 3 and sum(n.tag == "div" for n in nodes) == 10_000
