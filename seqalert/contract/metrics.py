@@ -161,6 +161,20 @@ def _(s, d):
     return curves.bootstrap_ci(curves.score_table(labelled(s, d)), 200)
 
 
+def _delong_sql(source: str, s1: str, s2: str) -> str:
+    """DeLong's test of two columns of ``source`` from average ranks over all rows and over the rows of a class."""
+    rank = lambda c, by: f"rank() OVER ({by[0]} ORDER BY {c}) + (count(*) OVER (PARTITION BY {by[1]} {c}) - 1) / 2.0::DOUBLE"
+    both = ("", ""), ("PARTITION BY y", "y,")
+    place = lambda i: f"CASE WHEN y = 1 THEN (r{i} - r{i}y) / n.n ELSE 1 - (r{i} - r{i}y) / n.p END AS v{i}"
+    var = lambda f, y: f"{f} FILTER (y = {y}) / count(*) FILTER (y = {y})"
+    parts = [sign + var(f, y) for sign, f in (("+", "var_samp(v1)"), ("+", "var_samp(v2)"), ("- 2 *", "covar_samp(v1, v2)")) for y in (1, 0)]
+    return f"""WITH b AS (SELECT y, {s1} AS s1, {s2} AS s2 FROM {source}), n AS (SELECT sum(y) AS p, sum(1 - y) AS n FROM b),
+    v AS (SELECT y, {', '.join(f"{rank(f's{i}', by)} AS r{i}{'y' if by[0] else ''}" for i in (1, 2) for by in both)} FROM b),
+    pv AS (SELECT y, {place(1)}, {place(2)} FROM v, n),
+    c AS (SELECT avg(v1) FILTER (y = 1) AS auc1, avg(v2) FILTER (y = 1) AS auc2, {' '.join(parts)} AS variance FROM pv)
+    SELECT auc1, auc2, auc1 - auc2 AS diff, variance, (auc1 - auc2) / sqrt(variance) AS z, auc1 - auc2 - 1.959963984540054 * sqrt(variance) AS ci_lo, auc1 - auc2 + 1.959963984540054 * sqrt(variance) AS ci_hi FROM c"""
+
+
 @query(
     "cur_12_delong",
     """, b AS (SELECT y, path_a AS s1, prob AS s2 FROM pool), n AS (SELECT sum(y) AS p, sum(1 - y) AS n FROM b),
@@ -178,6 +192,18 @@ def _(s, d):
     return curves.delong(pool(s, d), "path_a", "prob")
 
 
+_LEVELS = {"window": "pool", "trace": "(SELECT max(y) AS y, round(avg(prob), 12) AS prob, round(avg(path_a), 12) AS path_a, round(avg(path_b), 12) AS path_b, round(avg(path_c), 12) AS path_c FROM pool GROUP BY trace_id)"}
+
+
+@query(
+    "cur_14_delong_of_paths",
+    " UNION ALL ".join(f"SELECT '{level}' AS level, '{p}' AS path, * FROM ({_delong_sql(rows, 'prob', p)})" for level, rows in _LEVELS.items() for p in ("path_a", "path_b", "path_c")),
+    "pool", rounds="auc1 auc2 diff variance z ci_lo ci_hi",
+)
+def _(s, d):
+    return curves.significance(ordering.cut(pool(s, d)), "prob", ["path_a", "path_b", "path_c"]).drop("p", "neg_log10_p")
+
+
 @query("cur_14_significance", rounds="auc1 auc2 diff variance z ci_lo ci_hi p neg_log10_p")
 def _(s, d):
     return curves.significance(ordering.cut(pool(s, d)), "prob", ["path_a", "path_b", "path_c"])

@@ -94,7 +94,7 @@ def _(s, d):
 
 @query(
     "jn_12_knn",
-    f""", v AS ({VEC}), d AS (SELECT a.vec_id, b.vec_id AS other, sqrt(sum((a.x - b.x) * (a.x - b.x))) AS distance FROM v a JOIN v b USING (dim) WHERE b.vec_id IN (SELECT vec_id FROM embeddings ORDER BY md5(concat_ws(':', vec_id, 42)) LIMIT 1000) GROUP BY ALL)
+    f""", v AS ({VEC}), d AS (SELECT a.vec_id, b.vec_id AS other, sqrt(sum((a.x - b.x) * (a.x - b.x))) AS distance FROM v a JOIN v b USING (dim) GROUP BY ALL)
     SELECT vec_id, place, other, distance FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, other) - 1 AS place FROM d) WHERE place < 5""",
     rounds="distance", places=5,
 )
@@ -118,6 +118,17 @@ def _(s, d):
     return chronology.Markov(1).fit(train_windows(s, d)).score(ev_windows(s, d)).select("trace_id", "w", "score")
 
 
+@query(
+    "scr_06_markov_order_3",
+    """, bg AS (SELECT trace_id, w, win[i:i + 2] AS a, win[i + 3] AS b FROM (SELECT *, unnest(range(1, 18)) AS i FROM win)),
+    md AS (SELECT a, b, ln(n / sum(n) OVER (PARTITION BY a)) AS lp FROM (SELECT a, b, count(*) AS n FROM bg JOIN meta USING (trace_id) WHERE y = 0 GROUP BY a, b))
+    SELECT trace_id, w, -sum(coalesce(lp, -10)) / 17 AS score FROM bg LEFT JOIN md ON md.a = bg.a AND md.b = bg.b GROUP BY trace_id, w""",
+    "win", "meta", rounds="score",
+)
+def _(s, d):
+    return chronology.Markov(3).fit(train_windows(s, d)).score(ev_windows(s, d)).select("trace_id", "w", "score")
+
+
 @query("scr_06_markov_streams", MARKOV + "SELECT trace_id, w, -sum(coalesce(lp, -10)) / 19 AS score FROM bg LEFT JOIN md ON md.a = bg.a AND md.b = bg.b GROUP BY trace_id, w", "win", "meta", rounds="score")
 def _(s, d):
     tokens = ordering.cut(ev_tokens(s, d))

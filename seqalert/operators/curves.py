@@ -182,14 +182,14 @@ def calibrated_metrics(
 
 
 def rank_percentile(df: DataFrame, cols: Sequence[str], task_rows: int | None = None) -> DataFrame:
-    """Add ``<col>_pct``: average-tie rank divided by the row count, through one table of distinct values per column."""
-    out = df
+    """Add ``<col>_pct``: average-tie rank divided by the number of rows with a value, in one sort of the rows per column. Rows without
+    a value keep a NULL."""
+    out = df.withColumn("_one", F.lit(1))
     for c in cols:
-        counts = ordering.cut(df.groupBy(F.col(c).alias("_v")).agg(F.count(F.lit(1)).alias("_n")))
-        run = ordering.prefix_sum(counts, ["_v"], {"_upto": "_n"}, totals={"_t": "_n"}, task_rows=task_rows)
-        pct = run.select("_v", ((F.col("_upto") - (F.col("_n") - 1) / 2) / F.col("_t")).alias(f"{c}_pct"))
-        out = out.join(pct, F.col(c) == F.col("_v")).drop("_v")
-    return out
+        ranked = ordering.rank_sums(ordering.cut(out), c, {"_r": "_one"}, task_rows)
+        pct = (F.col("below__r") + (F.col("equal__r") + 1) / 2) / F.col("all__r")
+        out = ranked.withColumn(f"{c}_pct", pct).drop("below__r", "equal__r", "all__r")
+    return out.drop("_one")
 
 
 def savgol_weights(window: int, at: int, order: int = 2) -> np.ndarray:
@@ -276,42 +276,39 @@ def bootstrap_ci(tbl: DataFrame, rounds: int = 200, level: float = 0.95, seed: i
     return each.agg(*aggs)
 
 
-def delong(df: DataFrame, s1: str, s2: str, y: str = "y") -> DataFrame:
-    """Test of two correlated AUCs: placement values come from each score's table of distinct values, and the
-    covariance of the placements is an ordinary aggregate."""
-    df = ordering.cut(df.select(F.col(y).alias("y"), F.col(s1).cast("double").alias("s1"), F.col(s2).cast("double").alias("s2")))
-    out = df
-    for s in ("s1", "s2"):
-        tbl = score_table(df, s, "y")
-        other = F.col("N") - F.col("cum_neg") + F.col("neg") / 2, F.col("cum_pos") - F.col("pos") / 2
-        place = tbl.select(
-            F.col("score").alias(f"_{s}"), (other[0] / F.col("N")).alias(f"_p_{s}"), (other[1] / F.col("P")).alias(f"_n_{s}")
-        )
-        out = out.join(place, F.col(s) == F.col(f"_{s}"))
-    pos = out.select(
-        "y", F.when(F.col("y") == 1, F.col("_p_s1")).otherwise(F.col("_n_s1")).alias("v1"), F.when(F.col("y") == 1, F.col("_p_s2")).otherwise(F.col("_n_s2")).alias("v2")
-    )
-    parts = []
+def delong(df: DataFrame, s1: str, s2: str, y: str = "y", task_rows: int | None = None) -> DataFrame:
+    """Test of two correlated AUCs; see ``delong_all``."""
+    return delong_all(df, s1, [s2], y, task_rows).drop("other")
+
+
+def delong_all(df: DataFrame, score: str, others: Sequence[str], y: str = "y", task_rows: int | None = None) -> DataFrame:
+    """Test of the AUC of ``score`` against that of each of ``others``: one row each, with its name as ``other``.
+
+    Every score is sorted once and each row gets its placement among the rows of the other class; all covariances are one aggregate.
+    Rows without a label or without one of the scores are left out."""
+    names = [score, *others]
+    rows = df.select((F.col(y) == 1).cast("int").alias("pos"), *[F.col(c).cast("double").alias(f"s{i}") for i, c in enumerate(names)])
+    out = rows.dropna().withColumn("neg", 1 - F.col("pos"))
+    for i in range(len(names)):
+        ranked = ordering.rank_sums(ordering.cut(out), f"s{i}", {"pos": "pos", "neg": "neg"}, task_rows)
+        won = (F.col("below_neg") + F.col("equal_neg") / 2) / F.col("all_neg")
+        lost = (F.col("all_pos") - F.col("below_pos") - F.col("equal_pos") / 2) / F.col("all_pos")
+        out = ranked.withColumn(f"v{i}", F.when(F.col("pos") == 1, won).otherwise(lost)).drop(*[f"{k}_{c}" for k in ("below", "equal", "all") for c in ("pos", "neg")])
+    aggs = []
     for name, cls in (("p", 1), ("n", 0)):
-        v1, v2 = F.when(F.col("y") == cls, F.col("v1")), F.when(F.col("y") == cls, F.col("v2"))
-        parts += [
-            F.avg(v1).alias(f"m1{name}"),
-            F.avg(v2).alias(f"m2{name}"),
-            F.var_samp(v1).alias(f"v1{name}"),
-            F.var_samp(v2).alias(f"v2{name}"),
-            F.covar_samp(v1, v2).alias(f"c{name}"),
-            F.sum(F.when(F.col("y") == cls, 1).otherwise(0)).alias(f"n{name}"),
-        ]
-    a = pos.agg(*parts)
-    var1, var2 = F.col("v1p") / F.col("np") + F.col("v1n") / F.col("nn"), F.col("v2p") / F.col("np") + F.col("v2n") / F.col("nn")
-    cov = F.col("cp") / F.col("np") + F.col("cn") / F.col("nn")
-    var = F.greatest(F.lit(0.0), var1 + var2 - 2 * cov)
-    diff = F.col("m1p") - F.col("m2p")
-    z = F.when(var > 0, diff / F.sqrt(var)).otherwise(0.0)
-    half = 1.959963984540054 * F.sqrt(var)
-    return a.select(
-        F.col("m1p").alias("auc1"), F.col("m2p").alias("auc2"), diff.alias("diff"), var.alias("variance"), z.alias("z"), (diff - half).alias("ci_lo"), (diff + half).alias("ci_hi")
-    )
+        v = [F.when(F.col("pos") == cls, F.col(f"v{i}")) for i in range(len(names))]
+        aggs += [F.avg(v[i]).alias(f"m{i}{name}") for i in range(len(names))] + [F.var_samp(v[i]).alias(f"v{i}{name}") for i in range(len(names))]
+        aggs += [F.covar_samp(v[0], v[i]).alias(f"c{i}{name}") for i in range(1, len(names))]
+        aggs.append(F.sum(F.when(F.col("pos") == cls, 1).otherwise(0)).alias(f"n{name}"))
+    each = []
+    for i, name in enumerate(names[1:], 1):
+        part = lambda k: F.col(f"{k}p") / F.col("np") + F.col(f"{k}n") / F.col("nn")
+        var = F.greatest(F.lit(0.0), part("v0") + part(f"v{i}") - 2 * part(f"c{i}"))
+        each.append(F.struct(F.lit(name).alias("other"), F.col("m0p").alias("auc1"), F.col(f"m{i}p").alias("auc2"), var.alias("variance")))
+    found = out.agg(*aggs).select(F.explode(F.array(*each)).alias("e")).select("e.*")
+    diff, half = F.col("auc1") - F.col("auc2"), 1.959963984540054 * F.sqrt("variance")
+    z = F.when(F.col("variance") > 0, diff / F.sqrt("variance")).otherwise(0.0)
+    return found.select("other", "auc1", "auc2", diff.alias("diff"), "variance", z.alias("z"), (diff - half).alias("ci_lo"), (diff + half).alias("ci_hi"))
 
 
 def two_sided_p(z: float) -> tuple[float, float]:
@@ -324,13 +321,13 @@ def two_sided_p(z: float) -> tuple[float, float]:
 
 
 def significance(df: DataFrame, fused: str, paths: Sequence[str], y: str = "y", trace: str = "trace_id") -> DataFrame:
-    """DeLong of the fused score against every path, on windows and on trace means, with p and -log10 p."""
-    means = df.groupBy(trace).agg(F.max(y).alias(y), *[F.avg(c).alias(c) for c in (fused, *paths)])
+    """DeLong of the fused score against every path, on windows and on trace means, with p and -log10 p. Means are rounded to 12 digits, so
+    that traces tie or not whatever the order in which their scores were added up."""
+    means = df.groupBy(trace).agg(F.max(y).alias(y), *[F.round(F.avg(c), 12).alias(c) for c in (fused, *paths)])
     out = None
     for level, rows in (("window", df), ("trace", means)):
-        for p in paths:
-            one = delong(rows, fused, p, y).select(F.lit(level).alias("level"), F.lit(p).alias("path"), "*")
-            out = one if out is None else out.unionByName(one)
+        one = delong_all(rows, fused, paths, y).withColumnRenamed("other", "path").select(F.lit(level).alias("level"), "*")
+        out = one if out is None else out.unionByName(one)
 
     def add_p(it):
         for pdf in it:

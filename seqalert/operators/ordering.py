@@ -83,6 +83,60 @@ def prefix_sum(
     )
 
 
+def rank_sums(df: DataFrame, col: str, sums: dict[str, str], task_rows: int | None = None) -> DataFrame:
+    """Add to every row, per entry of ``sums`` (name -> column), the sum over rows with a smaller ``col`` (``below_<name>``), over rows with the same
+    (``equal_<name>``) and over all rows with a value (``all_<name>``). Rows without a value keep NULLs.
+
+    ``df`` is a stored table or a checkpoint. Its rows are sorted once, in ranges of about ``task_rows``; equal values are spread over as many
+    ranges as they fill. The sums of a range and of the values at its two ends, one row a range, complete what a row sees of its own range, so
+    nothing is joined on the value."""
+    task_rows = task_rows or TASK_ROWS
+    held, rest = df.where(F.col(col).isNotNull()), df.where(F.col(col).isNull())
+    nulls = rest.select("*", *[F.lit(None).cast("bigint").alias(f"{kind}_{n}") for n in sums for kind in ("below", "equal", "all")])
+    parts = min(MAX_RANGES, -(-df.count() // task_rows))
+
+    def seen(rows: DataFrame, part: Window) -> DataFrame:
+        order = part.orderBy(col)
+        same = {n: F.sum(c).over(order.rangeBetween(Window.currentRow, Window.currentRow)) for n, c in sums.items()}
+        upto = {n: F.sum(c).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow)) for n, c in sums.items()}
+        return rows.select("*", *[(upto[n] - same[n]).alias(f"below_{n}") for n in sums], *[same[n].alias(f"equal_{n}") for n in sums])
+
+    if parts <= 1:
+        whole = Window.partitionBy(F.lit(0))
+        out = seen(held, whole).select("*", *[F.sum(c).over(whole).alias(f"all_{n}") for n, c in sums.items()])
+        return out.unionByName(nulls)
+    spread = F.xxhash64(*[F.col(c) for c in df.columns])
+    ranged = cut(held.withColumn("_spread", spread).repartitionByRange(parts, col, "_spread").drop("_spread").withColumn("_range", F.spark_partition_id()))
+    part = Window.partitionBy("_range")
+    ends = ranged.select("_range", F.col(col).alias("_v"), *[F.col(c).alias(f"_c_{n}") for n, c in sums.items()], F.min(col).over(part).alias("_first"), F.max(col).over(part).alias("_last"))
+    at = lambda end, n: F.sum(F.when(F.col("_v") == F.col(end), F.col(f"_c_{n}")).otherwise(0))
+    totals = ends.groupBy("_range", "_first", "_last").agg(*[x for n in sums for x in (F.sum(f"_c_{n}").alias(f"_n_{n}"), at("_first", n).alias(f"_f_{n}"), at("_last", n).alias(f"_l_{n}"))])
+    totals = cut(totals)
+    # One row per range from here on, at most MAX_RANGES: sums of the ranges before, and of the end values in other ranges.
+    both = totals.select("_range", F.col("_first").alias("_v"), *[F.col(f"_f_{n}").alias(f"_e_{n}") for n in sums])
+    both = both.unionByName(totals.where("_first <> _last").select("_range", F.col("_last").alias("_v"), *[F.col(f"_l_{n}").alias(f"_e_{n}") for n in sums]))
+    value = Window.partitionBy("_v").orderBy("_range")
+    before, after = value.rowsBetween(Window.unboundedPreceding, -1), value.rowsBetween(1, Window.unboundedFollowing)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    both = both.select("_range", "_v", *[x for n in sums for x in (zero(F.sum(f"_e_{n}").over(before)).alias(f"_b_{n}"), zero(F.sum(f"_e_{n}").over(after)).alias(f"_a_{n}"))])
+    line = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(F.lit(0))
+    told = totals.select(
+        F.col("_range").alias("_r"), "_first", "_last", *[x for n in sums for x in (zero(F.sum(f"_n_{n}").over(line)).alias(f"_s_{n}"), F.sum(f"_n_{n}").over(every).alias(f"all_{n}"))]
+    )
+    for end in ("first", "last"):
+        one = both.select(F.col("_range").alias("_q"), F.col("_v").alias("_w"), *[F.col(f"_{x}_{n}").alias(f"_{x}_{end}_{n}") for n in sums for x in "ab"])
+        told = told.join(one, (F.col("_r") == F.col("_q")) & (F.col(f"_{end}") == F.col("_w"))).drop("_q", "_w")
+    told = cut(told)
+    out = seen(ranged, part).join(share(told), F.col("_range") == F.col("_r"))
+    first, last = F.col(col) == F.col("_first"), F.col(col) == F.col("_last")
+    cols = []
+    for n in sums:
+        earlier, later = F.when(first, F.col(f"_b_first_{n}")).otherwise(0), F.when(last, F.col(f"_a_last_{n}")).otherwise(0)
+        cols += [(F.col(f"below_{n}") + F.col(f"_s_{n}") - earlier).alias(f"below_{n}"), (F.col(f"equal_{n}") + earlier + later).alias(f"equal_{n}"), F.col(f"all_{n}")]
+    return out.select(*df.columns, *cols).unionByName(nulls)
+
+
 def number_rows(
     df: DataFrame,
     order: Sequence[str],

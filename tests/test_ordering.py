@@ -1,6 +1,7 @@
 """Skew-safe ordered primitives against plain Python, with ranges and chunks forced to be tiny."""
 
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -88,3 +89,41 @@ def test_task_limit_never_changes_curves(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet").select((F.col("event_type") == "error").cast("int").alias("y"), F.col("value").alias("score"))
     a, b = curves.score_table(e, task_rows=37), curves.score_table(e)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+@pytest.mark.parametrize("task_rows", [None, 40, 7, 1])
+def test_rank_sums_with_ties_over_many_ranges(spark, task_rows):
+    rng = random.Random(3)
+    rows = [(i, rng.choice([None, 5.0, 5.0, 5.0, float(rng.randrange(9)), float("-inf")]), rng.randrange(2)) for i in range(160)]
+    df = ordering.cut(spark.createDataFrame(rows, "i int, v double, pos int").withColumn("one", F.lit(1)).repartition(5))
+    got = ordering.rank_sums(df, "v", {"n": "one", "p": "pos"}, task_rows=task_rows)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    want = {}
+    for i, v, _ in rows:
+        if v is None:
+            want[i] = (None,) * 6
+        else:
+            held = [(w, p) for _, w, p in rows if w is not None]
+            want[i] = (sum(w < v for w, _ in held), sum(w == v for w, _ in held), len(held), *(sum(p for w, p in held if f(w)) for f in (lambda w: w < v, lambda w: w == v, lambda w: True)))
+    cols = [f"{k}_{n}" for n in "np" for k in ("below", "equal", "all")]
+    assert {r["i"]: tuple(r[c] for c in cols) for r in got.collect()} == want and got.count() == len(rows)
+    assert not any("Join" in line and "(v#" in line for line in plan.splitlines())
+
+
+def test_rows_without_a_score_keep_a_null_percentile(spark):
+    df = spark.createDataFrame([(1, 0.2, None), (2, None, 1.0), (3, 0.4, 3.0), (4, 0.4, None)], "i int, a double, b double")
+    got = {r["i"]: (r["a_pct"], r["b_pct"]) for r in curves.rank_percentile(df, ["a", "b"]).collect()}
+    assert got == {1: (1 / 3, None), 2: (None, 0.5), 3: (2.5 / 3, 1.0), 4: (2.5 / 3, None)}
+
+
+@pytest.mark.parametrize("task_rows", [None, 11])
+def test_delong_of_all_pairs_equals_each_pair(spark, task_rows):
+    rng = random.Random(6)
+    rows = [(rng.randrange(2), *(float(rng.randrange(12)) for _ in range(3))) for _ in range(120)]
+    df = spark.createDataFrame([*rows, (1, None, 1.0, 1.0), (None, 1.0, 1.0, 1.0)], "y int, a double, b double, c double")
+    every = {r["other"]: r for r in curves.delong_all(df, "a", ["b", "c"], task_rows=task_rows).collect()}
+    auc = lambda i: sum((p[i] > n[i]) + (p[i] == n[i]) / 2 for p in rows for n in rows if p[0] and not n[0]) / (sum(r[0] for r in rows) * sum(1 - r[0] for r in rows))
+    for other, i in (("b", 2), ("c", 3)):
+        one = curves.delong(df, "a", other).head()
+        assert all(math.isclose(one[k], every[other][k], rel_tol=1e-9, abs_tol=1e-12) for k in ("auc1", "auc2", "variance", "z"))
+        assert math.isclose(one["auc1"], auc(1)) and math.isclose(one["auc2"], auc(i))
