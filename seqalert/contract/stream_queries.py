@@ -31,7 +31,8 @@ def _tokens(s, d):
 
 def _run(s, stream):
     path = scratch(s)
-    return S.run_to_table(stream, f"{path}/out", f"{path}/state")
+    # The state of these tables is small: one partition a core.
+    return S.run_to_table(stream, f"{path}/out", f"{path}/state", s.sparkContext.defaultParallelism)
 
 
 @query("str_01_token_stream", "SELECT trace_id, pos, token FROM tok", "tok")
@@ -95,5 +96,5 @@ def _(s, d):
 )
 def _(s, d):
     path = scratch(s)
-    S.metrics_sink(S.alert_stream(_scores(s, d), POLICY), f"{path}/metrics", f"{path}/state").awaitTermination()
+    S.metrics_sink(S.alert_stream(_scores(s, d), POLICY), f"{path}/metrics", f"{path}/state", partitions=s.sparkContext.defaultParallelism).awaitTermination()
     return S.read_metrics(s, f"{path}/metrics")

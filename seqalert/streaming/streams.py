@@ -34,15 +34,20 @@ GAP = 86_400
 
 
 @contextmanager
-def state_store(spark: SparkSession):
-    """Queries started inside keep their state in the store that timers need."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+def state_store(spark: SparkSession, partitions: int | None = None):
+    """Queries started inside keep their state in the store that timers need, in so many ``partitions`` (the session's number of shuffle partitions if
+    None). A query keeps the number that it was first started with; every partition is opened and stored in every batch."""
+    settings = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+    if partitions:
+        settings["spark.sql.shuffle.partitions"] = str(partitions)
+    before = {key: spark.conf.get(key, None) for key in settings}
     try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
         yield
     finally:
-        spark.conf.set(key, before) if before else spark.conf.unset(key)
+        for key, value in before.items():
+            spark.conf.set(key, value) if value else spark.conf.unset(key)
 
 
 class Timed(StatefulProcessor):
@@ -412,7 +417,7 @@ def whole_episodes(closed: DataFrame, known: DataFrame) -> DataFrame:
     return closed.drop("missing")
 
 
-def metrics_sink(stream: DataFrame, path: str, checkpoint: str, by: str = "trace_id"):
+def metrics_sink(stream: DataFrame, path: str, checkpoint: str, by: str = "trace_id", partitions: int | None = None):
     """Count windows, alerts and opened alerts per ``by`` and micro-batch. Each batch has its own folder and replaces it
     when the batch runs again, so a restart counts nothing twice."""
 
@@ -422,7 +427,7 @@ def metrics_sink(stream: DataFrame, path: str, checkpoint: str, by: str = "trace
         )
         counts.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    with state_store(stream.sparkSession):
+    with state_store(stream.sparkSession, partitions):
         return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
@@ -431,9 +436,9 @@ def read_metrics(spark: SparkSession, path: str, by: str = "trace_id") -> DataFr
     return spark.read.parquet(path).groupBy(by).agg(*[F.sum(c).alias(c) for c in ("windows", "alert_windows", "alerts")])
 
 
-def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+def run_to_table(stream: DataFrame, path: str, checkpoint: str, partitions: int | None = None) -> DataFrame:
     """Run a stream over everything that is there, into a Parquet table."""
-    with state_store(stream.sparkSession):
+    with state_store(stream.sparkSession, partitions):
         q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
