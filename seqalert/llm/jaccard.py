@@ -12,7 +12,8 @@ Two steps, both exact up to collisions of 64-bit hashes:
 2. T-occurrence search inside a block. Distinct sets are held in an inverted index. For a query set of ``n`` shingles the
    ``L`` longest lists are set aside, with L by the cost of either side, the short ones are merged by a heap, candidates need ``T - L`` occurrences there, and
    the long lists are probed by binary search (DivideSkip). Found documents leave the index and become queries themselves,
-   so a near-copy group of any size costs about one full query. Blocks over ``task_docs`` sets are split into chunks that
+   so a near-copy group of any size costs about one full query. A large block is dealt into overlapping classes of size first:
+   sets whose sizes are too far apart cannot link. A class over ``task_docs`` sets or ``task_shingles`` shingles is split into chunks that
    share a pivot; sets not joined to the pivot are searched in every other chunk as well.
 """
 
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqalert.llm.components import components
-from seqalert.llm.text import emitted, mix, rows, runs, shingles
+from seqalert.llm.text import emitted, mix, rows, shingles
 from seqalert.operators.ordering import share
 from seqalert.session import cut
 
@@ -43,8 +44,10 @@ MERGE = 0.5
 #: Shingles found so often among HELD ones are common; the most frequent COMMON of them are told to all tasks. Any such set
 #: gives the same result, as it only decides which parts are left out.
 OFTEN, COMMON = 4, 500_000
-#: Most sets that one task searches at once.
-TASK_DOCS = 20_000
+#: Most sets, and most shingles of them, that one task searches at once. A block over a part of either (one in CLASSED) is dealt into
+#: classes of size, each reaching to CLASS times its least size.
+TASK_DOCS, TASK_SHINGLES = 20_000, 4_000_000
+CLASSED, CLASS = 20, 1.3
 
 
 def least_overlap(n: int, m: int, percent: int) -> int:
@@ -242,10 +245,14 @@ def _search(k: int, percent: int):
     """Edges inside one chunk of a block; a document without a link is an edge to itself."""
 
     def make(batches):
-        for (block, _), group in runs(batches, 2):
-            ids, sets = [r[2] for r in group], [shingles(r[3], k) for r in group]
-            for doc in ids:
-                yield block, doc, doc
+        for (block, _), group in groupby(rows(batches), key=lambda r: r[:2]):
+            ids, sets = [], []  # a text is let go as soon as it has become a set
+            for _, _, doc, text in group:
+                found = shingles(text, k)
+                if len(found):
+                    ids.append(doc)
+                    sets.append(found)
+                    yield block, doc, doc
             for a, b in block_edges(ids, sets, percent):
                 yield block, a, b
 
@@ -253,28 +260,33 @@ def _search(k: int, percent: int):
 
 
 def _search_others(k: int, percent: int):
-    """Edges between asking documents and the documents of one chunk."""
+    """Edges between asking documents and the documents of one chunk, which come before them."""
 
     def make(batches):
-        for (block, _, _), group in runs(batches, 3):
-            held = [r for r in group if not r[3]]
-            if not held:
-                continue
-            sets = [shingles(r[5], k) for r in held]
-            index = Index(sets, np.ones(len(sets), bool))
-            for asking in (r for r in group if r[3]):
-                for found in index.search(shingles(asking[5], k), percent):
-                    yield block, asking[4], held[found][4]
+        for (block, _, _), group in groupby(rows(batches), key=lambda r: r[:3]):
+            ids, sets, index = [], [], None
+            for _, _, _, asks, doc, text in group:
+                found = shingles(text, k)
+                if not len(found):
+                    continue
+                if not asks:
+                    ids.append(doc)
+                    sets.append(found)
+                elif sets:
+                    index = index or Index(sets, np.ones(len(sets), bool))
+                    for other in index.search(found, percent):
+                        yield block, doc, ids[other]
 
     return lambda batches: emitted(make(batches), _EDGE)
 
 
-def _dealt(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.repartition(*keys).sortWithinPartitions(*keys, "doc_id")
+def _dealt(df: DataFrame, keys: list[str], *then: str) -> DataFrame:
+    return df.repartition(*keys).sortWithinPartitions(*keys, *then, "doc_id")
 
 
 def near_groups(
-    docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", task_docs: int = TASK_DOCS, held: int = HELD
+    docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", task_docs: int = TASK_DOCS, held: int = HELD,
+    task_shingles: int = TASK_SHINGLES,
 ) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` of every row of ``docs``.
 
@@ -296,11 +308,22 @@ def near_groups(
     block = cut(components(near.distinct()).select(F.col("node").alias("doc_id"), F.col("component").alias("block")))
 
     # One set per distinct key of a block; blocks of one key need no search.
-    member = cut(base.where("n_shingles > 0").join(block, "doc_id").select("doc_id", "block", "key"))
-    rep = member.groupBy("block", "key").agg(F.min("doc_id").alias("rep"))
-    many = rep.groupBy("block").agg(F.count(F.lit(1)).alias("sets"), F.min("rep").alias("pivot")).where("sets > 1")
-    chunks = F.ceil(F.col("sets") / task_docs).cast("int").alias("chunks")
-    chosen = cut(rep.join(many, "block").select(F.col("rep").alias("doc_id"), "block", chunks, "pivot").distinct())
+    member = cut(base.where("n_shingles > 0").join(block, "doc_id").select("doc_id", "block", "key", "n_shingles"))
+    rep = member.groupBy("block", "key").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"))
+    load = [F.count(F.lit(1)).alias("sets"), F.sum("n").alias("load")]
+    many = rep.groupBy("block").agg(*load).where("sets > 1")
+    large = (F.col("sets") * CLASSED > task_docs) | (F.col("load") * CLASSED > task_shingles)
+    # A set stands in the classes of its own size and of all smaller sizes that it can be linked with.
+    size_class = lambda n: F.floor(F.log(n) / float(np.log(CLASS)))
+    least_size = F.greatest(F.lit(1.0), F.col("n") * (percent / 100 * (1 - 1e-9)))
+    classes = F.when(large, F.sequence(size_class(least_size), size_class(F.col("n").cast("double"))))
+    dealt = rep.join(many, "block").select(F.col("rep").alias("doc_id"), "block", "n", F.explode_outer(classes).alias("class"))
+    # Two classes that meet under one hash are searched together.
+    dealt = cut(dealt.select("doc_id", "n", F.when(F.col("class").isNull(), F.col("block")).otherwise(F.xxhash64("block", "class")).alias("block")))
+    sized = dealt.groupBy("block").agg(*load, F.min("doc_id").alias("pivot")).where("sets > 1")
+    chunks = F.ceil(F.greatest(F.col("sets") / task_docs, F.col("load") / task_shingles)).cast("int")
+    sized = sized.select("block", "pivot", chunks.alias("chunks"), F.ceil(F.col("sets") / chunks).alias("asked"))
+    chosen = cut(dealt.select("doc_id", "block").distinct().join(sized, "block"))
     texts = docs.join(share(chosen), "doc_id")
     chunk = F.expr("pmod(xxhash64(doc_id), chunks)").cast("int")
     alone = texts.where("chunks = 1").select("block", F.lit(0).alias("chunk"), "doc_id", "text")
@@ -314,12 +337,12 @@ def near_groups(
         # The pivot is its block's smallest document, so whoever is joined to it has it as its smallest.
         joined = inner.join(large.select("block", "pivot").distinct(), "block").where("b = pivot").select("block", F.col("a").alias("doc_id")).distinct()
         asks = cut(large.join(joined, ["block", "doc_id"], "left_anti"))
-        parts = asks.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / task_docs).cast("int").alias("parts"))
+        parts = asks.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / F.min("asked")).cast("int").alias("parts"))
         asking = asks.join(parts, "block").withColumn("part", F.expr("pmod(xxhash64(doc_id, 1), parts)").cast("int"))
         asking = asking.withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)"))).select("block", "chunk", "part", F.lit(True).alias("asks"), "doc_id", "text")
         asked = large.join(parts, "block").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))
         asked = asked.select("block", "chunk", "part", F.lit(False).alias("asks"), "doc_id", "text")
-        both = _dealt(asking.unionByName(asked), ["block", "chunk", "part"])
+        both = _dealt(asking.unionByName(asked), ["block", "chunk", "part"], "asks")
         cross = both.mapInArrow(_search_others(k, percent), "block bigint, a bigint, b bigint")
         found = found.union(inner.select("a", "b")).union(cross.select("a", "b"))
     copies = member.join(rep, ["block", "key"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
@@ -330,12 +353,22 @@ def near_groups(
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The documents of ``docs`` (``doc_id``, ``text``, ...) with one left of each near-copy group: the one with the smallest
-    ``doc_id``. Rows that repeat a ``doc_id`` are one document, of which one row stays: the one with the smallest SHA-256 of
-    its text, then of the whole row, however the rows are dealt. Rows without ``doc_id`` stay."""
-    groups = near_groups(docs, k, percent)
-    stays = cut(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
-    kept = docs.where("doc_id is not null").join(share(stays.select("doc_id")), "doc_id", "left_semi")
-    if not stays.where("n > 1").isEmpty():
-        digest = F.struct(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256), F.sha2(F.to_json(F.struct(*docs.columns)).cast("binary"), 256))
-        kept = kept.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), digest).alias("_row")).select("_row.*")
-    return kept.select(docs.columns).union(docs.where("doc_id is null"))
+    ``doc_id``, then the smallest SHA-256 of its text. Rows that share a ``doc_id`` are documents of their own where their texts
+    differ, and stay unless they link. Rows equal in ``doc_id`` and text (null and empty are equal) are one document; the one
+    with the smallest SHA-256 of the whole row stays, however the rows are dealt. Rows without ``doc_id`` stay. An empty table
+    gives an empty one; other columns are kept, whatever their names."""
+    known = docs.where("doc_id is not null")
+    nameless = docs.where("doc_id is null")
+    if known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        stays = near_groups(known, k, percent).where("doc_id = component_id").select("doc_id")
+        return known.join(share(cut(stays)), "doc_id", "left_semi").select(docs.columns).union(nameless)
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    texts = known.select("doc_id", "text", digest.alias("digest"))
+    numbers = cut(texts.select("doc_id", "digest").distinct().withColumn("number", F.monotonically_increasing_id()))
+    groups = near_groups(texts.join(numbers, ["doc_id", "digest"]).select("number", "text"), k, percent, doc_id="number")
+    named = groups.distinct().join(numbers, groups["doc_id"] == numbers["number"]).select("component_id", F.struct(numbers["doc_id"], "digest").alias("_least"))
+    stays = share(cut(named.groupBy("component_id").agg(F.min("_least").alias("_least")).select("_least.*")))
+    kept = known.join(stays, (known["doc_id"] == stays["doc_id"]) & (digest == stays["digest"]), "left_semi")
+    order = F.sha2(F.to_json(F.struct(*docs.columns)).cast("binary"), 256)
+    one = kept.groupBy(F.col("doc_id").alias("_of"), digest.alias("_text")).agg(F.min_by(F.struct(*docs.columns), order).alias("_row"))
+    return one.select("_row.*").union(nameless)

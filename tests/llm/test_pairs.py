@@ -50,14 +50,14 @@ def near_texts(seed, n=120):
         if r.random() < 0.3:
             w += passage
         out.append((i * 7 % 1000, " ".join(w).upper() if r.random() < 0.2 else "\t".join(w)))
-    return out + [(5000, None), (5001, ""), (5002, " \n"), (5003, "one"), (5004, "ONE"), (None, "one"), (5005, "one"), (5005, "two words"), (5006, "two words"), (5007, "z " * 3000)]
+    return out + [(5000, None), (5001, ""), (5002, " \n"), (5003, "one"), (5004, "ONE"), (None, "one"), (5005, "one"), (5005, "two words"), (5006, "two words"), (5006, None), (5007, "z " * 3000)]
 
 
-@pytest.mark.parametrize("k,percent,task_docs,held", [(4, 85, 20_000, 2_000_000), (5, 80, 20_000, 300), (3, 60, 3, 200)])
-def test_near_groups(spark, k, percent, task_docs, held):
+@pytest.mark.parametrize("k,percent,task_docs,held,task_shingles", [(4, 85, 20_000, 2_000_000, 4_000_000), (5, 80, 20_000, 300, 150), (3, 60, 3, 200, 4_000_000), (4, 85, 100, 2_000_000, 4_000_000)])
+def test_near_groups(spark, k, percent, task_docs, held, task_shingles):
     rows = near_texts(k)
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"component_id": F.lit("x"), "block": F.lit(1), "a": F.lit(2), "key": F.lit(3)})
-    got = jaccard.near_groups(docs.repartition(5), k, percent, task_docs=task_docs, held=held)
+    got = jaccard.near_groups(docs.repartition(5), k, percent, task_docs=task_docs, held=held, task_shingles=task_shingles)
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute_groups(rows, k, percent)
 
 
@@ -66,22 +66,40 @@ def test_near_groups_of_nothing(spark):
     assert jaccard.near_groups(docs).collect() == [] and jaccard.keep_one(docs).collect() == []
 
 
-def test_keep_one(spark):
+def brute_kept(rows):
+    """(doc_id, text) that stay: every distinct pair is a document of its own."""
+    sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    pairs = sorted({(d, sha(t)): t for d, t in rows if d is not None}.items())
+    found = brute_groups([(i, t) for i, (_, t) in enumerate(pairs)], 5, 80)
+    return {(pairs[i][0][0], pairs[i][0][1]) for i, _, c in found if i == c}
+
+
+@pytest.mark.parametrize("repeats", [False, True])
+def test_keep_one(spark, repeats):
     rows = near_texts(9)
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("lang", F.lit("en"))
+    if not repeats:
+        rows = list({d: (d, t) for d, t in rows}.values())
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"lang": F.lit("en"), "digest": F.lit(1), "number": F.lit(2), "_least": F.lit(3), "component_id": F.lit(4)})
     kept = jaccard.keep_one(docs)
-    want = {c for d, _, c in brute_groups(rows, 5, 80) if d is not None}
     assert kept.columns == docs.columns
-    assert Counter(r[0] for r in kept.collect()) == Counter([*want, None])
+    got = [(r["doc_id"], hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in kept.collect()]
+    assert Counter(g for g in got if g[0] is not None) == Counter(brute_kept(rows))
+    assert sum(d is None for d, _ in got) == 1
 
 
-def test_kept_row_of_an_id_does_not_depend_on_the_parts(spark):
+def test_kept_rows_of_an_id_do_not_depend_on_the_parts(spark):
     texts = [f"text number {i} tells of things that no other text has told {i * i}" for i in range(12)]
-    docs = spark.createDataFrame([(1, t) for t in texts] + [(2, "quite another text under an id of its own")], "doc_id bigint, text string")
-    want = {1: min(texts, key=lambda t: hashlib.sha256(t.encode()).hexdigest()), 2: "quite another text under an id of its own"}
-    for order in ("text", "reverse(text)", "hash(text)"):
+    near = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, t, 0) for t in texts] + [(1, texts[0], 1), (1, None, 0), (1, "", 0), (2, near, 0), (2, near + " end", 0), (3, near + " more", 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, other int")
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = sorted([(1, t) for t in texts] + [(1, "")] + [(2, min(near, near + " end", key=sha))])
+    seen = set()
+    for order in ("text", "reverse(text)", "hash(text, other)"):
         got = jaccard.keep_one(docs.orderBy(F.expr(order)).coalesce(1)).collect()
-        assert {r["doc_id"]: r["text"] for r in got} == want and len(got) == 2
+        assert sorted((r["doc_id"], r["text"] or "") for r in got) == want
+        seen.add(tuple(sorted((repr(tuple(r)) for r in got))))
+    assert len(seen) == 1
 
 
 def test_search_equals_brute_force():
