@@ -156,6 +156,14 @@ def _(s, d):
     return frequency.OneClassSvm(0.1).fit(v.where(F.col("y") == 0)).score(v).select("vec_id", "score")
 
 
+@query("scr_01_one_class_svm_windows", rounds="score")
+def _(s, d):
+    train = ordering.cut(train_windows(s, d))
+    model = features.WordTfidf(100).fit(train)
+    machine = frequency.OneClassSvm(0.01).fit(model.with_vectors(train))
+    return machine.score(model.with_vectors(ev_windows(s, d))).select("trace_id", "w", "score")
+
+
 @query("scr_02_isolation_forest", rounds="score")
 def _(s, d):
     v = vectors(s, d)
@@ -301,6 +309,12 @@ def _(s, d):
     return fusion.Mixture(3).fit(p.where(F.col("y") == 0)).score(p).select("trace_id", "w", "score")
 
 
+@query("fus_10_mixture_of_five", rounds="score")
+def _(s, d):
+    p = labelled_pool(s, d)
+    return fusion.Mixture(5).fit(p.where(F.col("y") == 0)).score(p).select("trace_id", "w", "score")
+
+
 @query("fus_11_score_forest", rounds="score")
 def _(s, d):
     p = labelled_pool(s, d)

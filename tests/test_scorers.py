@@ -96,6 +96,32 @@ def test_one_class_svm_prefers_the_training_side(spark):
     assert auc(frequency.OneClassSvm(0.1, 20).fit(df.where("y = 0")).score(df)) == 1.0
 
 
+def test_one_class_svm_is_within_its_tolerance_of_the_optimum(spark):
+    rng = np.random.default_rng(7)
+    x, nu = np.abs(rng.normal(1, 0.6, (600, 5))) * [1, 2, 1, 0.5, 1], 0.05
+    model = frequency.OneClassSvm(nu, tol=0.005).fit(spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "i int, vec array<double>").repartition(3))
+
+    def objective(w, rho):
+        return w @ w / 2 + np.maximum(0, rho - x @ w).mean() / nu - rho
+
+    w, best = x.mean(axis=0), np.inf
+    for step in range(1, 20_001):  # plain sub-gradients, with the best rho for each w
+        s = x @ w
+        rho = np.sort(s)[int(nu * len(x)) - 1]
+        best = min(best, objective(w, rho))
+        w = w - (w - x[s <= rho].mean(axis=0)) / (step + 1)
+    got = objective(model.w, model.rho)
+    assert best < 0 and got <= best + 0.01 * abs(best)
+    assert model.gaps[-1] <= 0.005 * (model.w @ model.w) and len(model.gaps) < 100
+
+
+def test_normal_quantiles():
+    from statistics import NormalDist
+
+    u = np.concatenate([np.linspace(1e-7, 1 - 1e-7, 2001), [1e-15, 1e-12, 0.075, 0.925, 1 - 1e-12]])
+    assert np.allclose(fusion.normal_quantile(u), [NormalDist().inv_cdf(v) for v in u], rtol=1e-12, atol=1e-15)
+
+
 @pytest.mark.parametrize("make", [
     lambda: chronology.Markov(1), lambda: chronology.Markov(2), lambda: chronology.Hmm(4, 15), lambda: chronology.ContextModel(3), lambda: topology.EmbeddingError(4, 6),
 ])
@@ -109,6 +135,12 @@ def test_hmm_likelihood_rises(planted):
     assert np.allclose(m.trans.sum(1), 1) and np.allclose(m.emit.sum(1), 1)
 
 
+def test_hmm_ends_when_it_gains_nothing(planted):
+    m = chronology.Hmm(2, 50, tol=1e-3).fit(planted)
+    gains = np.diff(m.likelihood)
+    assert len(m.likelihood) < 50 and gains[-1] <= 1e-3 * abs(m.likelihood[-1]) and (gains[:-1] > 1e-3 * np.abs(m.likelihood[1:-1])).all()
+
+
 def test_hmm_forward_equals_enumeration():
     start, trans = np.array([0.6, 0.4]), np.array([[0.7, 0.3], [0.2, 0.8]])
     emit = np.array([[0.5, 0.3, 0.2], [0.1, 0.2, 0.7]])
