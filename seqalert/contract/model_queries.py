@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seqalert.contract.abi_queries import li_tokens
 from seqalert.contract.base import abi_map, ev_tokens, ev_windows, meta, pool, query, table
-from seqalert.operators import features, ordering, sampling, windows as win
+from seqalert.operators import coresets, features, ordering, sampling, windows as win
 from seqalert.plans import protocols
 from seqalert.scorers import chronology, frequency, fusion, topology
 
@@ -74,7 +74,7 @@ def _(s, d):
 
 @query("smp_02_coreset")
 def _(s, d):
-    return features.coreset(vectors(s, d), 0.05).select("cluster", "vec_id")
+    return coresets.coreset(vectors(s, d), 0.05).select("cluster", "vec_id")
 
 
 @query(

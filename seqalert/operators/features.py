@@ -322,36 +322,6 @@ def with_residual(df: DataFrame, model: Projection, vec: str = "vec", name: str
     return df.withColumn(name, residual(vec))
 
 
-def coreset(df: DataFrame, fraction: float = 0.01, part: int = 2000, seed: int = 42, vec: str = "vec") -> DataFrame:
-    """Representative rows: cluster the vectors and keep the row nearest to each centre. There are ``fraction`` times as many
-    clusters as rows. More than ``part`` of them are found in two steps: coarse clusters split the rows, and each is
-    clustered on its own with its share of the clusters."""
-    from pyspark.ml.clustering import KMeans
-
-    rows = ordering.cut(df.withColumn("_f", array_to_vector(vec)))
-    k = max(2, int(rows.count() * fraction))
-
-    def centres_of(some: DataFrame, n: int) -> np.ndarray:
-        model = KMeans(k=n, seed=seed, featuresCol="_f", predictionCol="_c", maxIter=10).fit(some)
-        return np.array(model.clusterCenters())
-
-    if k <= part:
-        return nearest_to_centres(rows.drop("_f"), centres_of(rows, k), vec)
-    coarse = KMeans(k=-(-k // part), seed=seed, featuresCol="_f", predictionCol="_c", maxIter=10).fit(rows)
-    split = ordering.cut(coarse.transform(rows))
-    sizes = sorted((r[0], r[1]) for r in split.groupBy("_c").count().collect())
-    out, done, seen, total = None, 0, 0, sum(n for _, n in sizes)
-    for c, n in sizes:
-        seen += n
-        own = max(1, seen * k // total - done)
-        mine = split.where(F.col("_c") == c).drop("_c")
-        found = centres_of(mine, own) if own > 1 else np.array([coarse.clusterCenters()[c]])
-        near = nearest_to_centres(mine.drop("_f"), found, vec).withColumn("cluster", F.col("cluster") + done)
-        done += len(found)
-        out = near if out is None else out.unionByName(near)
-    return out
-
-
 def nearest_to_centres(df: DataFrame, centres: np.ndarray, vec: str = "vec") -> DataFrame:
     """The row nearest to each centre, ties by window key."""
     shared = df.sparkSession.sparkContext.broadcast(centres)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seqalert.operators import curves, features, sampling, windows as win
+from seqalert.operators import coresets, curves, features, sampling, windows as win
 from seqalert.scorers import chronology, frequency, fusion, topology
 
 
@@ -168,7 +168,7 @@ def test_dense_vectors_equal_the_weight_table(planted, make):
 
 def test_coreset_keeps_one_row_per_cluster(points):
     _, df = points
-    rows = features.coreset(df, 0.05).collect()
+    rows = coresets.coreset(df, 0.05).collect()
     assert len({r["cluster"] for r in rows}) == len(rows) <= 10
 
 
