@@ -7,7 +7,6 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -241,39 +240,84 @@ def _two_sided(df: DataFrame, half: int, size: int = ordering.CHUNK) -> DataFram
     return df.withColumn("_chunk", F.explode(F.sequence(lo, hi))).withColumn("_own", F.col("_chunk") == F.expr(f"_i div {size}"))
 
 
-def bootstrap_ci(tbl: DataFrame, rounds: int = 200, level: float = 0.95, seed: int = 42, groups: int | None = None, task_rows: int | None = None) -> DataFrame:
-    """Percentile interval of AUC, average precision and best F1 under resampling.
+#: Distinct scores one task of a bootstrap draws for.
+DRAW_ROWS = 50_000
+
 
-    Each replicate draws the positive and negative counts of every distinct score anew (a Poisson draw with the count
-    as its mean, the large-sample form of resampling rows), and the curves of all replicates come from one running sum
-    by replicate. ``groups`` merges neighbouring scores into about that many groups first, for a caller who wants an
-    approximation."""
-    rows = tbl.select("score", "pos", "neg", "cum_pos", "cum_neg", "P", "N")
+def bootstrap_ci(tbl: DataFrame, rounds: int = 200, level: float = 0.95, seed: int = 42, groups: int | None = None, task_rows: int | None = None) -> DataFrame:
+    """Percentile interval of AUC, average precision and best F1 under resampling; see ``replicates``. ``groups`` merges neighbouring scores
+    into about that many groups first, for a caller who wants an approximation. All NULL without rows; no AUC where a class is missing."""
+    rows = tbl
     if groups:
         at = F.floor((F.col("cum_pos") + F.col("cum_neg") - 1) / F.greatest(F.lit(1.0), (F.col("P") + F.col("N")) / groups))
         rows = rows.groupBy(at.alias("_g")).agg(F.max("score").alias("score"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    rows = ordering.cut(rows.select("score", "pos", "neg"))
-
-    def draw(batches):
-        # A stored partition keeps its number and its rows, so a repeated task draws the same counts.
-        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
-        for pdf in batches:
-            for at in range(0, len(pdf), 1000):
-                part = pdf.iloc[at : at + 1000]
-                pos, neg = (rng.poisson(part[c].to_numpy()[:, None], (len(part), rounds)).ravel() for c in ("pos", "neg"))
-                out = pd.DataFrame({"replicate": np.tile(np.arange(rounds, dtype="int32"), len(part)), "score": np.repeat(part["score"].to_numpy(), rounds), "pos": pos, "neg": neg})
-                yield out[(out["pos"] > 0) | (out["neg"] > 0)]
-
-    drawn = ordering.cut(rows.mapInPandas(draw, "replicate int, score double, pos bigint, neg bigint"))
-    by = ["replicate"]
-    curve = ordering.prefix_sum(drawn, ["score"], {"cum_pos": "pos", "cum_neg": "neg"}, by=by, descending=True, totals={"P": "pos", "N": "neg"}, task_rows=task_rows)
-    each = all_metrics(curve, by=by).select("auc", "ap", F.col("best_f1").alias("f1"))
-    # One row per replicate.
     lo, hi = (1 - level) / 2, 1 - (1 - level) / 2
     aggs = []
     for m in ("auc", "ap", "f1"):
         aggs += [F.percentile(m, F.lit(lo)).alias(f"{m}_lo"), F.percentile(m, F.lit(hi)).alias(f"{m}_hi")]
-    return each.agg(*aggs)
+    return replicates(rows, rounds, seed, task_rows).agg(*aggs)
+
+
+def replicates(tbl: DataFrame, rounds: int, seed: int = 42, task_rows: int | None = None) -> DataFrame:
+    """``replicate``, ``auc``, ``ap`` and ``f1`` (best over all thresholds) of ``rounds`` resamplings of the rows behind a score table.
+
+    A replicate draws the positive and negative counts of every distinct score anew (a Poisson draw with the count as its mean, the
+    large-sample form of resampling rows). A row of the table carries the counts of all replicates as one array, and only inside a
+    task: the table is sorted once into ranges of ``task_rows`` scores, each range adds up its draws, and with the totals of the ranges
+    before it goes through the same draws again for its part of the curves. What is shuffled is the table and one row per range and replicate. A
+    draw follows from ``seed`` and the score alone, so neither ranges nor repeated tasks change it."""
+    rows = ordering.cut(tbl.select(F.col("score").cast("double").alias("score"), "pos", "neg"))
+    parts = min(ordering.MAX_RANGES, max(1, -(-rows.count() // (task_rows or DRAW_ROWS))))
+    ranged = ordering.cut(rows.repartitionByRange(parts, F.desc("score")).withColumn("_range", F.spark_partition_id())).groupBy("_range")
+
+    def blocks(pdf: pd.DataFrame):
+        pdf = pdf.sort_values("score", ascending=False)
+        for at in range(0, len(pdf), 1000):
+            part = pdf.iloc[at : at + 1000]
+            yield poisson_counts(*(part[c].to_numpy() for c in ("score", "pos", "neg")), rounds, seed)
+
+    def totals(pdf: pd.DataFrame) -> pd.DataFrame:
+        sums = np.zeros((2, rounds), dtype="int64")
+        for drawn in blocks(pdf):
+            sums += [counts.sum(0) for counts in drawn]
+        return pd.DataFrame({"_range": pdf["_range"].iloc[0], "replicate": np.arange(rounds, dtype="int32"), "pos": sums[0], "neg": sums[1]})
+
+    def curve(pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        start = start.sort_values("replicate")
+        all_pos, all_neg = start["P"].to_numpy(), start["N"].to_numpy()
+        tp, fp = ((start[f"cum_{c}"] - start[c]).to_numpy() for c in ("pos", "neg"))
+        won, ap, f1 = np.zeros(rounds), np.zeros(rounds), np.zeros(rounds)
+        for pos, neg in blocks(pdf):
+            cum_pos, cum_neg = tp + pos.cumsum(0), fp + neg.cumsum(0)
+            precision = cum_pos / np.maximum(cum_pos + cum_neg, 1)
+            recall = cum_pos / np.maximum(all_pos, 1)
+            won += (pos * (all_neg - cum_neg + neg / 2)).sum(0)
+            ap += (pos * precision).sum(0)
+            f1 = np.maximum(f1, (2 * precision * recall / (precision + recall + EPS)).max(0))
+            tp, fp = cum_pos[-1], cum_neg[-1]
+        return pd.DataFrame({"replicate": start["replicate"].to_numpy(), "won": won, "ap": ap, "f1": f1, "P": all_pos, "N": all_neg})
+
+    sums = ordering.cut(ranged.applyInPandas(totals, "_range int, replicate int, pos bigint, neg bigint"))
+    starts = ordering.prefix_sum(sums, ["_range"], {"cum_pos": "pos", "cum_neg": "neg"}, by=["replicate"], totals={"P": "pos", "N": "neg"})
+    each = ranged.cogroup(starts.groupBy("_range")).applyInPandas(curve, "replicate int, won double, ap double, f1 double, P bigint, N bigint")
+    whole = each.groupBy("replicate", "P", "N").agg(F.sum("won").alias("won"), F.sum("ap").alias("ap"), F.max("f1").alias("f1"))
+    return whole.select(
+        "replicate",
+        F.when((F.col("P") > 0) & (F.col("N") > 0), F.col("won") / (F.col("P").cast("double") * F.col("N"))).alias("auc"),
+        F.when(F.col("P") > 0, F.col("ap") / F.col("P")).alias("ap"),
+        F.when(F.col("P") + F.col("N") > 0, F.col("f1")).alias("f1"),
+    )
+
+
+def poisson_counts(score: np.ndarray, pos: np.ndarray, neg: np.ndarray, rounds: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Drawn counts, one row a score and one column a replicate."""
+    out = np.zeros((2, len(score), rounds), dtype="int64")
+    for i, bits in enumerate((score + 0.0).view("uint64")):
+        rng = np.random.Generator(np.random.Philox(key=np.array([seed, bits], dtype="uint64")))
+        for j, mean in enumerate((pos[i], neg[i])):
+            if mean:
+                out[j, i] = rng.poisson(mean, rounds)
+    return out[0], out[1]
 
 
 def delong(df: DataFrame, s1: str, s2: str, y: str = "y", task_rows: int | None = None) -> DataFrame:

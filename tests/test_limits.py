@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqalert.functions import sql
-from seqalert.operators import curves, features, ordering, pools, windows as win
+from seqalert.operators import coresets, curves, features, ordering, pools, windows as win
 from seqalert.plans import protocols
 from seqalert.contract.base import QUERIES
 from seqalert.scorers import chronology, frequency, topology
@@ -38,18 +38,67 @@ def test_bootstrap_keeps_every_score(spark):
     ci, auc = curves.bootstrap_ci(tbl, 40).head(), curves.roc_auc(tbl).head()["auc"]
     assert ci["auc_lo"] < auc < ci["auc_hi"] and ci["auc_hi"] - ci["auc_lo"] < 0.03
     assert curves.bootstrap_ci(tbl, 10).head() == curves.bootstrap_ci(tbl, 10).head()
-    split = curves.bootstrap_ci(tbl, 10, task_rows=50_000).head()
-    assert split["auc_lo"] == pytest.approx(curves.bootstrap_ci(tbl, 10).head()["auc_lo"])
+    assert curves.bootstrap_ci(tbl, 10, task_rows=3_000).head() == pytest.approx(curves.bootstrap_ci(tbl, 10).head())
+
+
+def test_bootstrap_equals_plain_resampling(spark):
+    rng = np.random.default_rng(5)
+    rows = [(round(float(rng.normal() + y), 2), y) for y in (0, 1) for _ in range(400)]
+    tbl = curves.score_table(spark.createDataFrame(rows, "score double, y int"))
+    each = {r["replicate"]: r for r in curves.replicates(tbl, 6, seed=9, task_rows=50).collect()}
+    table = sorted((r["score"], r["pos"], r["neg"]) for r in tbl.collect())[::-1]
+    pos, neg = curves.poisson_counts(np.array([t[0] for t in table]), np.array([t[1] for t in table]), np.array([t[2] for t in table]), 6, 9)
+    for i in range(6):
+        drawn = [(t[0], int(p), int(n)) for t, p, n in zip(table, pos[:, i], neg[:, i]) if p + n]
+        again = spark.createDataFrame([(s, y) for s, p, n in drawn for y in [1] * p + [0] * n], "score double, y int")
+        want = curves.all_metrics(curves.score_table(again)).head()
+        assert [each[i][m] for m in ("auc", "ap", "f1")] == pytest.approx([want["auc"], want["ap"], want["best_f1"]])
+
+
+def test_bootstrap_without_rows_or_with_one_class(spark):
+    none = curves.score_table(spark.createDataFrame([], "score double, y int"))
+    assert all(v is None for v in curves.bootstrap_ci(none, 5).head())
+    one = curves.score_table(spark.createDataFrame([(0.5, 1), (0.25, 1)], "score double, y int"))
+    ci = curves.bootstrap_ci(one, 20).head()
+    assert ci["auc_lo"] is None and ci["ap_hi"] == 1.0
 
 
 def test_coreset_has_its_share_of_clusters(spark):
     rng = np.random.default_rng(2)
     rows = [(i, rng.normal(size=3).tolist()) for i in range(600)]
     df = spark.createDataFrame(rows, "vec_id bigint, vec array<double>")
-    out = features.coreset(df, 0.1, part=20).collect()
+    out = coresets.coreset(df, 0.1, part=20).collect()
     assert 55 <= len(out) <= 60 and len({r["cluster"] for r in out}) == len(out) == len({r["vec_id"] for r in out})
 
 
+def test_coreset_covers_better_than_a_sample(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 6)) * 8
+    x = np.vstack([centres[i] + rng.normal(size=(n, 6)) for i, n in enumerate([700] + [30] * 39)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(9999, None)], "vec_id bigint, vec array<double>")
+
+    def distance(ids):
+        d = ((x[:, None, :] - x[list(ids)][None, :, :]) ** 2).sum(2)
+        return np.sqrt(d.min(1)).mean()
+
+    def chosen(df, part):
+        return {r["vec_id"] for r in coresets.coreset(df, 80 / len(x), part=part).collect()}
+
+    flat, deep = chosen(df, 256), chosen(df, 25)
+    assert len(flat) == len(deep) == 80
+    samples = [distance(rng.choice(len(x), 80, replace=False)) for _ in range(5)]
+    assert distance(flat) < 0.75 * min(samples) and distance(deep) < 0.85 * min(samples)
+    # The same rows whatever the partitioning, and when centres meet the rows by a shuffle.
+    monkeypatch.setattr(coresets, "SHARED_BYTES", 1)
+    assert chosen(df.repartition(7), 25) == deep
+
+
+def test_coreset_of_equal_rows_and_none(spark):
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(50)], "vec_id bigint, vec array<double>")
+    assert coresets.coreset(same, 0.2, part=3).count() == 1
+    assert coresets.coreset(same.limit(0), 0.2).count() == 0
+
+
 def test_every_family_is_held_out_once(spark):
     rows = [(f"t{i}", i % 2, f"f{i}" if i % 2 else None, float(i)) for i in range(24)]
     df = spark.createDataFrame(rows, "trace_id string, y int, family string, x double")
