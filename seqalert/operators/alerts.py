@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from seqalert.operators import ordering
 
 KEY = ("trace_id",)
-#: Windows per chunk of the general state fold, which holds one chunk as a pandas frame.
-FOLD_CHUNK = 1 << 17
+#: Windows per chunk of the general state fold, which holds one chunk as a row and a batch of chunks in a Python worker.
+FOLD_CHUNK = 1 << 13
 
 
 @dataclass(frozen=True)
@@ -153,42 +153,44 @@ def _run_state(starts: np.ndarray, ends: np.ndarray, hold: int, state: int) -> t
 def _fold(marked: DataFrame, hold: int, key: list[str], size: int) -> DataFrame:
     """Exact alert state for any policy. Each chunk is turned into a function from its start state to its end
     state; the functions are chained over the chunks of a sequence, and each chunk then runs once more from its
-    known start state."""
-    chunked = marked.withColumn("_chunk", F.expr(f"w div {size}"))
-    types = {f.name: f.dataType.simpleString() for f in chunked.schema}
-    keys = ", ".join(f"`{k}` {types[k]}" for k in key)
-
-    def ends_of(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("w")
-        s, e = pdf["_starts"].to_numpy(bool), pdf["_ends"].to_numpy(bool)
-        row = pdf.iloc[:1][[*key, "_chunk"]].copy()
-        row["_map"] = [[_run_state(s, e, hold, state)[1] for state in range(hold + 1)]]
-        return row
-
-    def states_of(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_chunk")
-        state, begin = 0, []
-        for step in pdf["_map"]:
-            begin.append(state)
-            state = int(step[state])
-        return pdf[[*key, "_chunk"]].assign(_begin=begin)
-
-    slim = chunked.select(*key, "_chunk", "w", "_starts", "_ends")
-    maps = slim.groupBy(*key, "_chunk").applyInPandas(ends_of, f"{keys}, _chunk bigint, _map array<int>")
-    # One row per chunk of a sequence.
-    begins = maps.groupBy(*key).applyInPandas(states_of, f"{keys}, _chunk bigint, _begin int")
-
-    def alerts_of(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        pdf = left.sort_values("w")
-        begin = int(right["_begin"].iloc[0]) if len(right) else 0
-        alert, _ = _run_state(pdf["_starts"].to_numpy(bool), pdf["_ends"].to_numpy(bool), hold, begin)
-        was = np.concatenate([[begin > 0], alert[:-1]])
-        return pdf.assign(alert=alert, was_alert=was).drop(columns=["_starts", "_ends", "_chunk"])
-
-    out_cols = [c for c in marked.columns if c not in ("_starts", "_ends")]
-    schema = ", ".join(f"`{c}` {types[c]}" for c in out_cols) + ", alert boolean, was_alert boolean"
-    grouped = chunked.groupBy(*key, "_chunk").cogroup(begins.groupBy(*key, "_chunk"))
-    return grouped.applyInPandas(alerts_of, schema)
+    known start state. A chunk is one row that holds its windows in order, and a sequence of chunks one row that holds their functions, so that a
+    task takes many of them in one batch."""
+    flags = F.struct("w", *[F.coalesce(F.col(c), F.lit(False)).alias(c) for c in ("_starts", "_ends")], *[c for c in marked.columns if c not in (*key, "w", "_starts", "_ends")])
+    chunks = marked.groupBy(*key, F.expr(f"w div {size}").alias("_chunk")).agg(F.array_sort(F.collect_list(flags)).alias("_rows"))
+
+    @F.pandas_udf("array<int>")
+    def ends_of(starts: pd.Series, ends: pd.Series) -> pd.Series:
+        return pd.Series([[_run_state(s, e, hold, state)[1] for state in range(hold + 1)] for s, e in zip(starts, ends)], index=starts.index, dtype=object)
+
+    @F.pandas_udf("array<int>")
+    def begins_of(maps: pd.Series) -> pd.Series:
+        out = []
+        for steps in maps:
+            state, begin = 0, []
+            for step in np.asarray(steps).reshape(-1, hold + 1):
+                begin.append(state)
+                state = int(step[state])
+            out.append(begin)
+        return pd.Series(out, index=maps.index, dtype=object)
+
+    @F.pandas_udf("array<boolean>")
+    def alerts_of(starts: pd.Series, ends: pd.Series, begin: pd.Series) -> pd.Series:
+        return pd.Series([_run_state(s, e, hold, int(b))[0] for s, e, b in zip(starts, ends, begin)], index=starts.index, dtype=object)
+
+    maps = chunks.select(*key, "_chunk", ends_of("_rows._starts", "_rows._ends").alias("_map"))
+    # One entry per chunk of a sequence.
+    lines = maps.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_chunk", "_map"))).alias("_line"))
+    begins = lines.withColumn("_begin", begins_of(F.flatten("_line._map")))
+    begins = begins.select(*[F.col(k).alias(f"_k_{k}") for k in key], F.explode(F.arrays_zip(F.col("_line._chunk").alias("at"), F.col("_begin").alias("begin"))).alias("_b"))
+    same = F.col("_chunk") == F.col("_b.at")
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    known = chunks.join(begins, same).select(*key, "_rows", F.col("_b.begin").alias("_begin"))
+    known = known.withColumn("_alert", alerts_of("_rows._starts", "_rows._ends", "_begin"))
+    # The state before a window is that of the window before it; before the first, the chunk's start state.
+    was = F.concat(F.array(F.col("_begin") > 0), F.slice("_alert", F.lit(1), F.size("_alert") - 1))
+    rows = known.select(*key, F.explode(F.arrays_zip(F.col("_rows").alias("row"), F.col("_alert").alias("alert"), was.alias("was_alert"))).alias("_r"))
+    return rows.select(*[c if c in key else F.col(f"_r.row.`{c}`") for c in marked.columns if c not in ("_starts", "_ends")], "_r.alert", "_r.was_alert")
 
 
 def segments(df: DataFrame, flag: str, key: Sequence[str] = KEY, size: int = ordering.CHUNK) -> DataFrame:

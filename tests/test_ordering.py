@@ -127,3 +127,25 @@ def test_delong_of_all_pairs_equals_each_pair(spark, task_rows):
         one = curves.delong(df, "a", other).head()
         assert all(math.isclose(one[k], every[other][k], rel_tol=1e-9, abs_tol=1e-12) for k in ("auc1", "auc2", "variance", "z"))
         assert math.isclose(one["auc1"], auc(1)) and math.isclose(one["auc2"], auc(i))
+
+
+def test_many_small_groups_need_no_ranges(spark):
+    rows = [(i % 40, i, 1) for i in range(400)]
+    df = spark.createDataFrame(rows, "g int, o int, v int")
+    out = ordering.prefix_sum(df, ["o"], {"run": "v"}, by=["g"], task_rows=50)
+    assert "_range" not in out._jdf.queryExecution().toString()
+    assert {(r["g"], r["o"]): r["run"] for r in out.collect()} == {(g, o): o // 40 + 1 for g, o, _ in rows}
+
+
+def test_fold_takes_many_chunks_in_one_batch(spark):
+    rng = random.Random(5)
+    rows = [(t, w, rng.random() < 0.3, rng.random() < 0.4) for t, n in (("a", 70), ("b", 5), (None, 33)) for w in range(n)]
+    marked = spark.createDataFrame(rows, "trace_id string, w bigint, _starts boolean, _ends boolean")
+    out = alerts._fold(marked, 3, ["trace_id"], 8)
+    assert "InPandas" not in out._jdf.queryExecution().toString()
+    want = {}
+    for t in ("a", "b", None):
+        mine = [r for r in rows if r[0] == t]
+        flags, _ = alerts._run_state(np.array([r[2] for r in mine]), np.array([r[3] for r in mine]), 3, 0)
+        want |= {(t, w): (bool(f), bool(w and flags[w - 1])) for w, f in enumerate(flags)}
+    assert {(r["trace_id"], r["w"]): (r["alert"], r["was_alert"]) for r in out.collect()} == want
