@@ -19,7 +19,9 @@ START = 946_684_800
 def _source(s, df, schema, parts=3, order="pos"):
     """A table as a folder of files that arrive one after the other, in ``order``, and a row that ends the stream."""
     path = scratch(s)
-    df.select(*[f.strip().split(" ")[0] for f in schema.split(",")]).repartitionByRange(parts, order).write.parquet(path)
+    # Stored first: the bounds of the ranges are looked up in a pass of their own.
+    rows = ordering.cut(df.select(*[f.strip().split(" ")[0] for f in schema.split(",")]))
+    rows.repartitionByRange(parts, order).write.parquet(path)
     S.write_end(s, path, schema)
     return S.token_stream(s, path, schema, max_files=1)
 

@@ -16,8 +16,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import StructType
@@ -52,9 +51,12 @@ def state_store(spark: SparkSession, partitions: int | None = None):
 
 class Timed(StatefulProcessor):
     """One record of state per key and one timer; ``delay`` and ``gap`` are seconds. The record starts with the last time seen and
-    the timer's time, both in microseconds of the processor's clock."""
+    the timer's time, both in microseconds of the processor's clock. A batch has few rows of a key and many keys, so rows come and go
+    as tuples: a data frame per key costs more than all else."""
 
     fields = ""
+    #: Names of the columns that come out.
+    names: tuple[str, ...] = ()
 
     def __init__(self, delay: float, gap: float) -> None:
         self.delay, self.gap = round(delay * 1_000_000), round(gap * 1_000_000)
@@ -73,9 +75,10 @@ class Timed(StatefulProcessor):
         return max(1, -(-(us + self.delay) // 1000) - _KEEP_MS + 1)
 
     def load(self) -> tuple[int, int | None, tuple | None]:
-        if not self.state.exists():
+        held = self.state.get()
+        if held is None:
             return -(1 << 62), None, None
-        seen, timer, *rest = self.state.get()
+        seen, timer, *rest = held
         return seen, timer, tuple(rest)
 
     def store(self, seen: int, timer: int | None, due: int, rest: tuple) -> None:
@@ -88,13 +91,12 @@ class Timed(StatefulProcessor):
         self.state.update((int(seen), int(timer), *rest))
 
     def handleInputRows(self, key, rows, timerValues):
-        frames = list(rows)
-        if key[0] is None or not frames:
+        came = list(rows)
+        if key[0] is None or not came:
             return
-        frame = pd.concat(frames)
         seen, timer, rest = self.load()
-        seen = max(seen, int(frame["us"].max()))
-        yield self.rows(key, frame, seen, timer, rest, self.clock(timerValues))
+        seen = max(seen, max(r["us"] for r in came))
+        yield from self.told(self.rows(key, came, seen, timer, rest, self.clock(timerValues)))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         seen, timer, rest = self.load()
@@ -108,30 +110,31 @@ class Timed(StatefulProcessor):
             self.state.clear()
             if timer is not None:
                 self.handle.deleteTimer(self.alarm(timer))
-            yield out
         else:
-            yield self.due(key, seen, timer, rest, now)
+            out = self.due(key, seen, timer, rest, now)
+        yield from self.told(out)
 
-    def rows(self, key, frame: pd.DataFrame, seen: int, timer: int | None, rest: tuple | None, now: int) -> pd.DataFrame:
+    def told(self, out: list[tuple]) -> Iterator[Row]:
+        row = Row(*self.names)
+        return (row(*values) for values in out)
+
+    def rows(self, key, came: list[Row], seen: int, timer: int | None, rest: tuple | None, now: int) -> list[tuple]:
         """What the rows of a batch bring out; ends with ``store``."""
         raise NotImplementedError
 
-    def due(self, key, seen: int, timer: int | None, rest: tuple, now: int) -> pd.DataFrame:
+    def due(self, key, seen: int, timer: int | None, rest: tuple, now: int) -> list[tuple]:
         """What comes out when the timer goes off before the trace is over."""
         self.store(seen, timer, seen + self.gap, rest)
-        return self.frame([])
+        return []
 
-    def over(self, key, rest: tuple) -> pd.DataFrame:
+    def over(self, key, rest: tuple) -> list[tuple]:
         """What comes out when the trace is over."""
-        return self.frame([])
-
-    def frame(self, rows: list) -> pd.DataFrame:
-        raise NotImplementedError
+        return []
 
 
 def _apply(stream: DataFrame, keys: list[str], processor: Timed, output: str) -> DataFrame:
     slim = stream.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    return slim.groupBy(*keys).transformWithStateInPandas(processor, output, "Append", "EventTime")
+    return slim.groupBy(*keys).transformWithState(processor, output, "Append", "EventTime")
 
 
 def _clocked(stream: DataFrame) -> DataFrame:
@@ -155,15 +158,12 @@ class _Order(Timed):
     """Numbers the rows of a trace. Rows wait, sorted, until the clock has passed them."""
 
     fields = "pos bigint, last_us bigint, last_id bigint, wait_us array<bigint>, wait_id array<bigint>, wait_token array<int>"
+    names = ("trace_id", "us", "id", "token", "pos", "late")
 
-    def frame(self, rows: list) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["trace_id", "us", "id", "token", "pos", "late"]).astype({"pos": "Int64", "token": "Int64", "late": bool})
-
-    def rows(self, key, frame, seen, timer, rest, now):
+    def rows(self, key, came, seen, timer, rest, now):
         pos, last_us, last_id, *waiting = rest or (0, -(1 << 62), -(1 << 62), [], [], [])
         held, out = dict(zip(zip(waiting[0], waiting[1]), waiting[2])), []
-        for us, i, token in zip(frame["us"].tolist(), frame["id"].tolist(), frame["token"].tolist()):
-            token = None if token is None or token != token else int(token)
+        for us, i, token in ((r["us"], r["id"], r["token"]) for r in came):
             if (us, i) <= (last_us, last_id) or (us, i) in held:
                 out.append((key[0], us, i, token, None, True))
             else:
@@ -182,11 +182,11 @@ class _Order(Timed):
         wait = sorted(held)
         rest = (pos, last_us, last_id, [k[0] for k in wait], [k[1] for k in wait], [held[k] for k in wait])
         self.store(seen, timer, wait[0][0] if wait else seen + self.gap, rest)
-        return self.frame(out)
+        return out
 
     def over(self, key, rest):
         pos, _, _, us, ids, tokens = rest
-        return self.frame([(key[0], u, i, t, pos + n, False) for n, (u, i, t) in enumerate(zip(us, ids, tokens))])
+        return [(key[0], u, i, t, pos + n, False) for n, (u, i, t) in enumerate(zip(us, ids, tokens))]
 
 
 def ordered(stream: DataFrame, delay: float = 3600, gap: float = 365 * 86_400) -> DataFrame:
@@ -200,21 +200,18 @@ def ordered(stream: DataFrame, delay: float = 3600, gap: float = 365 * 86_400) -
 
 class _Windows(Timed):
     fields = "nxt bigint, tail array<int>, wait_pos array<bigint>, wait_token array<int>"
+    names = ("trace_id", "w", "win", "pos", "late")
 
     def __init__(self, delay: float, gap: float, w: int, stride: int, size: int) -> None:
         super().__init__(delay, gap)
         self.w, self.stride, self.size = w, stride, size
 
-    def frame(self, rows: list) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["trace_id", "w", "win", "pos", "late"]).astype({"w": "Int64", "pos": "Int64", "late": bool})
-
-    def rows(self, key, frame, seen, timer, rest, now):
+    def rows(self, key, came, seen, timer, rest, now):
         trace, chunk = key
         begin, w, stride = int(chunk) * self.size, self.w, self.stride
         nxt, tail, wait_pos, wait_token = rest or (begin, [], [], [])
-        came = frame["pos"].to_numpy(np.int64)
-        pos = np.concatenate([np.array(wait_pos, np.int64), came])
-        token = np.concatenate([np.array(wait_token, np.int64), frame["token"].to_numpy(np.int64)])
+        pos = np.array([*wait_pos, *(r["pos"] for r in came)], np.int64)
+        token = np.array([*wait_token, *(r["token"] for r in came)], np.int64)
         # What was waiting comes first, so of equal positions the row seen first stays.
         first = np.unique(pos, return_index=True)[1]
         fresh = first[pos[first] >= nxt]
@@ -235,11 +232,11 @@ class _Windows(Timed):
         if nxt >= begin + self.size + w - 1:
             tail, ready = [], len(pos)
         self.store(seen, timer, seen + self.gap, (int(nxt), tail, pos[ready:].tolist(), token[ready:].tolist()))
-        return self.frame(out)
+        return out
 
     def over(self, key, rest):
         begin = int(key[1]) * self.size
-        return self.frame([(key[0], None, None, p, True) for p in rest[2] if begin <= p < begin + self.size])
+        return [(key[0], None, None, p, True) for p in rest[2] if begin <= p < begin + self.size]
 
 
 def window_stream(stream: DataFrame, w: int = 20, stride: int = 2, size: int = PACK, delay: float = 0, gap: float = GAP) -> DataFrame:
@@ -280,8 +277,8 @@ class _Alerts:
     def push(self, ws, probs) -> Iterator[tuple[int, float, bool, str | None]]:
         """Yield ``(w, prob, alert, event)`` for every window whose turn has come."""
         for w, p in zip(ws, probs):
-            if w >= self.nxt:
-                self.waiting[int(w)] = float(p)
+            if w is not None and w >= self.nxt:
+                self.waiting[w] = float("nan") if p is None else p
         while self.nxt in self.waiting:
             prob = self.waiting.pop(self.nxt)
             was = self.alert
@@ -326,22 +323,20 @@ STATE = "nxt bigint, probs array<double>, alert boolean, hold int, ahead_w array
 
 class _AlertRows(Timed):
     fields = STATE
+    names = ("trace_id", "w", "prob", "alert", "event")
 
     def __init__(self, delay: float, gap: float, policy: Policy) -> None:
         super().__init__(delay, gap)
         self.policy = policy
 
-    def frame(self, rows: list) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["trace_id", "w", "prob", "alert", "event"]).astype({"alert": "boolean"})
-
-    def rows(self, key, frame, seen, timer, rest, now):
+    def rows(self, key, came, seen, timer, rest, now):
         run = _Alerts(self.policy, rest)
-        out = [(key[0], *row) for row in run.push(frame["w"], frame["prob"])]
+        out = [(key[0], *row) for row in run.push(*zip(*((r["w"], r["prob"]) for r in came)))]
         self.store(seen, timer, seen + self.gap, run.stored())
-        return self.frame(out)
+        return out
 
     def over(self, key, rest):
-        return self.frame([(key[0], w, p, None, "stranded") for w, p in sorted(zip(rest[4], rest[5]))])
+        return [(key[0], w, p, None, "stranded") for w, p in sorted(zip(rest[4], rest[5]))]
 
 
 def alert_stream(stream: DataFrame, policy: Policy, delay: float = 0, gap: float = GAP) -> DataFrame:
@@ -358,21 +353,18 @@ _UNSET = ("first_alert", "first_inside", "attack_start", "attack_end")
 
 class _Episodes(_AlertRows):
     fields = f"{STATE}, {', '.join(f'{c} bigint' for c in _COUNTERS)}, expected bigint"
+    names = ("trace_id", *_COUNTERS, "missing")
 
-    def frame(self, rows: list) -> pd.DataFrame:
-        names = [*_COUNTERS, "missing"]
-        return pd.DataFrame(rows, columns=["trace_id", *names]).astype({"trace_id": str, **{c: "Int64" for c in names}})
-
-    def rows(self, key, frame, seen, timer, rest, now):
+    def rows(self, key, came, seen, timer, rest, now):
         run = _Alerts(self.policy, rest[:6] if rest else None)
         count = dict(zip(_COUNTERS, rest[6:-1])) if rest else {c: None if c in _UNSET else 0 for c in _COUNTERS}
-        told = {c: frame[c].dropna() for c in ("attack_start", "attack_end", "expected")}
-        expected = int(told["expected"].iloc[0]) if len(told["expected"]) else rest[-1] if rest else None
+        told = {c: next((r[c] for r in came if r[c] is not None), None) for c in ("attack_start", "attack_end", "expected")}
+        expected = told["expected"] if told["expected"] is not None else rest[-1] if rest else None
         for c in ("attack_start", "attack_end"):
-            if len(told[c]):
-                count[c] = int(told[c].iloc[0])
+            if told[c] is not None:
+                count[c] = told[c]
         start, end = count["attack_start"], count["attack_end"]
-        for w, _, alert, event in run.push(frame["w"], frame["prob"]):
+        for w, _, alert, event in run.push(*zip(*((r["w"], r["prob"]) for r in came))):
             count["n_windows"] += 1
             if not alert:
                 continue
@@ -386,12 +378,12 @@ class _Episodes(_AlertRows):
                     count["first_inside"] = w
         kept = [None if count[c] is None else int(count[c]) for c in _COUNTERS]
         self.store(seen, timer, seen + self.gap, (*run.stored(), *kept, expected))
-        return self.frame([])
+        return []
 
     def over(self, key, rest):
         ahead, n, expected = rest[4], rest[6], rest[-1]
         known = expected if expected is not None else max(ahead) + 1 if ahead else n
-        return self.frame([(key[0], *rest[6:-1], known - n)])
+        return [(key[0], *rest[6:-1], known - n)]
 
 
 def episode_stream(stream: DataFrame, policy: Policy, delay: float = 0, gap: float = GAP) -> DataFrame:

@@ -170,3 +170,36 @@ def test_episode_query_returns_no_part(spark, sf, monkeypatch):
     monkeypatch.setattr(stream_queries.S, "episode_stream", lambda stream, policy: whole(stream.withColumn("prob", F.raise_error(F.lit("broken")).cast("double")), policy))
     with pytest.raises(Exception, match="broken"):
         QUERIES["str_05_episode_stream"](spark, sf)
+
+
+def test_processor_takes_rows_without_data_frames():
+    from pyspark.sql import Row
+
+    class Value:
+        held = None
+
+        def get(self):
+            return self.held
+
+        def update(self, held):
+            self.held = held
+
+    class Handle:
+        value = Value()
+
+        def getValueState(self, name, schema):
+            return self.value
+
+        def registerTimer(self, at):
+            pass
+
+    class Clock:
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    order = S._Order(0, 60)
+    order.init(Handle())
+    came = [Row(us=5, id=2, token=None), Row(us=3, id=1, token=7)]
+    out = list(order.handleInputRows(("a",), iter(came), Clock()))
+    assert [tuple(r) for r in out] == [("a", 3, 1, 7, 0, False), ("a", 5, 2, None, 1, False)]
+    assert list(out[0].asDict()) == list(S._Order.names)
