@@ -30,26 +30,31 @@ class EmbeddingError:
         # Tokens without a vector stand at zero, behind the last row.
         self.tokens = np.array([t for t, _ in table], dtype=int)
         self.vectors = np.vstack([*[v for _, v in table], np.zeros(self.dim)])
-        self.projection = features.pca(self._embed(train), self.n, "_e")
+        tokens, vectors = self.tokens, self.vectors
+        self.projection = features.pca(train, self.n, "win", lambda wins: [_embedded(wins, tokens, vectors)])
         return self
 
-    def _embed(self, windows: DataFrame) -> DataFrame:
-        shared = windows.sparkSession.sparkContext.broadcast((self.tokens, self.vectors))
+    def score(self, windows: DataFrame) -> DataFrame:
+        """Add ``score``; a window's vectors stay inside its task."""
+        shared = windows.sparkSession.sparkContext.broadcast((self.tokens, self.vectors, self.projection))
 
-        @F.pandas_udf("array<double>")
-        def embed(col: pd.Series) -> pd.Series:
-            tokens, vectors = shared.value
+        @F.pandas_udf("double")
+        def error(col: pd.Series) -> pd.Series:
             if not len(col):
-                return pd.Series([], dtype=object)
-            x = np.array(col.tolist(), dtype=int)
-            at = np.minimum(np.searchsorted(tokens, x), len(tokens) - 1)
-            at = np.where(tokens[at] == x, at, len(tokens))
-            return pd.Series(list(vectors[at].reshape(len(x), -1)), index=col.index)
+                return pd.Series([], dtype="float64")
+            tokens, vectors, projection = shared.value
+            return pd.Series(projection.residual(_embedded(col, tokens, vectors)), index=col.index)
 
-        return windows.withColumn("_e", embed("win"))
+        return windows.withColumn("score", error("win"))
 
-    def score(self, windows: DataFrame) -> DataFrame:
-        return features.with_residual(self._embed(windows), self.projection, "_e").drop("_e")
+
+def _embedded(wins: pd.Series, tokens: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    if not len(wins):
+        return np.empty((0, 0))
+    x = np.array(wins.tolist(), dtype=int)
+    at = np.minimum(np.searchsorted(tokens, x), len(tokens) - 1)
+    at = np.where(tokens[at] == x, at, len(tokens))
+    return vectors[at].reshape(len(x), -1)
 
 
 def batch_score(df: DataFrame, make_predict_fn: Callable, w: int = 20, batch: int = 1024, col: str = "win", name: str = "score") -> DataFrame:

@@ -249,3 +249,48 @@ def test_significance_of_a_clear_gap(pool):
     r = rows["window", "noise"]
     assert r["diff"] > 0.2 and r["p"] < 1e-6 and abs(r["neg_log10_p"] + math.log10(max(r["p"], 1e-300))) < 1e-6
     assert rows["trace", "noise"]["auc1"] > 0.95
+
+
+def test_cells_give_the_same_projection_and_residuals_as_matrices(spark):
+    import inspect
+
+    import numpy as np
+
+    from seqalert.operators import features
+
+    rng = np.random.default_rng(3)
+    wins = [rng.integers(0, 9, 12).tolist() for _ in range(60)] + [[77] * 12]
+    df = spark.createDataFrame([("a", w, v) for w, v in enumerate(wins)], "trace_id string, w bigint, win array<int>")
+    for tfidf in (features.WordTfidf(40, sublinear=False), features.PhraseTfidf(50, 3), features.CharTfidf(20, 3, 5)):
+        tfidf = tfidf.fit(df.limit(60))._slim()
+        x = tfidf.matrix(wins)
+        n, sums, gram = features._gram_of_cells(df, tfidf)
+        assert n == len(wins) and np.allclose(sums, x.sum(axis=0)) and np.allclose(gram, x.T @ x)
+        for method in ("pca", "svd"):
+            model = features._projections(n, sums, gram, method, [4])[0]
+            assert np.allclose(model.residual_of_cells(len(wins), *tfidf.sparse(wins)), model.residual(x), atol=1e-12)
+    assert "matrix(" not in inspect.getsource(features.sweep_features) + inspect.getsource(features._residuals)
+
+
+def test_markov_scores_windows_in_one_pass(spark):
+    import math
+
+    from pyspark.sql import functions as F
+
+    from seqalert.operators import windows as win
+    from seqalert.scorers.chronology import UNSEEN, Markov
+
+    rows = [("a", 0, [1, 2, 1, 2, 3]), ("a", 1, [1, None, 2, 1]), ("b", 0, [9]), ("b", 1, [2, 1, 9]), (None, 0, [1, 2]), ("c", 0, None)]
+    df = spark.createDataFrame(rows, "trace_id string, w bigint, win array<int>")
+    for k in (1, 2):
+        model = Markov(k).fit(df.where("win is not null"))
+        key = lambda d: sorted(map(str, d.select("state", "nxt", "n", F.round("p", 9)).collect()))
+        assert key(model.model) == key(win.transitions(df, k))
+        p = {(tuple(r["state"]), r["nxt"]): r["p"] for r in model.model.collect() if r["nxt"] is not None}
+        out = model.score(df)
+        assert "Join" not in out._jdf.queryExecution().toString()
+        got = {(r["trace_id"], r["w"]): r["score"] for r in out.collect()}
+        for t, w, v in rows:
+            grams = [(tuple(v[i : i + k]), v[i + k]) for i in range(len(v or []) - k)] if t else []
+            want = -sum(math.log(p[g]) if g in p else UNSEEN for g in grams) / max(1, len(v or []) - k)
+            assert abs(got[t, w] - want) < 1e-9
