@@ -22,7 +22,8 @@ def _write_traces(s, d, column="token", sep=" ", per_line=7, tail=""):
     text = F.concat(F.array_join(F.col("_r.token"), sep), F.lit(tail))
     folder = F.concat_ws("_", F.coalesce("family", F.lit("benign")), "trace_id")
     out = rows.repartition("trace_id").sortWithinPartitions("trace_id", "_line").select("split", folder.alias("run"), text.alias("value"))
-    out.write.partitionBy("split", "run").text(path)
+    # Tasks move their own files into place; by default the driver moves all of them, one after the other.
+    out.write.partitionBy("split", "run").option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
     return path
 
 
