@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqalert.llm.text import emitted, made, rows, share_parts
+from seqalert.session import cut
 
 #: Most labelled rows that the classifier is fitted on, features it starts from and features it keeps.
 FIT_ROWS, CANDIDATES, FEATURES = 20_000, 30_000, 2_000
@@ -208,7 +209,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed: int
     """Language model from all ``docs``, classifier from a sample of at most about ``fit_rows`` labelled rows that are not held out.
 
     Features are taken from the toxic rows of the sample, at most ``CANDIDATES`` of them by number of rows; the ``FEATURES`` of
-    the largest likelihood ratio are weighted by a penalised logistic fit. Rows without id or label, and labels other than
+    the largest likelihood ratio are weighted by a penalised logistic fit. Counting and choosing is Spark's work; the driver gets one number
+    per candidate and label, and the chosen features of the sample's rows. Rows without id or label, and labels other than
     0 and 1, teach nothing. Without any toxic row the model scores every text by the same prior."""
     spark = docs.sparkSession
     sc = spark.sparkContext
@@ -250,28 +252,44 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed: int
         for y, body in rows(batches):
             yield int(y), np.array(sorted(reader.features(body)), np.int32).tobytes()
 
-    got = taught.mapInArrow(lambda b: emitted(vectors(b), row), "label int, found binary").toArrow()
+    # Features by row are stored, not sent to the driver: a row may have any number of the candidates, the driver needs those that are chosen.
+    stored = cut(taught.mapInArrow(lambda b: emitted(vectors(b), row, 500), "label int, found binary"))
     plain.destroy()
     narrow.destroy()
-    rows_of = sorted(zip(got["label"].to_pylist(), got["found"].to_pylist()))  # the fit does not depend on the order of the tasks
-    y = np.array([label for label, _ in rows_of], float)
-    found = [np.frombuffer(f, np.int32) for _, f in rows_of]
-    del got, rows_of
-    ones, zeros = y.sum(), len(y) - y.sum()
+    width = len(names)
+
+    def occurrences(batches):
+        n = np.zeros((2, width + 1), np.int64)  # the last place counts rows
+        for y, found in rows(batches):
+            n[y, np.frombuffer(found, np.int32)] += 1
+            n[y, width] += 1
+        y, at = np.nonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(y.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(n[y, at])], names=["label", "at", "n"])
+
+    got = stored.mapInArrow(occurrences, "label int, at int, n bigint").groupBy("label", "at").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros((2, width + 1))
+    n[got["label"].to_numpy(), got["at"].to_numpy()] = got["n"].to_numpy()
+    zeros, ones = n[:, width]
     if not ones or not zeros:
         return Model(Reader(cost, {}), np.zeros(1), float(np.log((ones + 1) / (zeros + 99))))
-    col = np.concatenate(found)
-    row_of = np.repeat(np.arange(len(y)), [len(f) for f in found])
-    n1 = np.bincount(col, y[row_of], len(names))
-    n0 = np.bincount(col, minlength=len(names)) - n1
+    n0, n1 = n[:, :width]
     ratio = np.log((n1 + 0.5) / (ones + 1)) - np.log((n0 + 0.5) / (zeros + 1))
     gain = np.where(ratio > 1, n1 * ratio, 0)
     chosen = np.sort(np.argsort(-gain, kind="stable")[:FEATURES])
     chosen = chosen[gain[chosen] > 0]
-    place = np.full(len(names), -1)
+    place = np.full(width, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
-    use = place[col] >= 0
-    weights, bias = _logistic(row_of[use], place[col[use]], y, len(chosen))
+
+    def narrowed(batches):
+        for y, found in rows(batches):
+            at = place[np.frombuffer(found, np.int32)]
+            yield y, at[at >= 0].tobytes()
+
+    got = stored.mapInArrow(lambda b: emitted(narrowed(b), row), "label int, found binary").toArrow()
+    rows_of = sorted(zip(got["label"].to_pylist(), got["found"].to_pylist()))  # the fit does not depend on the order of the tasks
+    y = np.array([label for label, _ in rows_of], float)
+    found = [np.frombuffer(f, np.int32) for _, f in rows_of]
+    weights, bias = _logistic(np.repeat(np.arange(len(y)), [len(f) for f in found]), np.concatenate(found), y, len(chosen))
     return Model(Reader(cost, {names[c]: i for i, c in enumerate(chosen)}), weights, bias)
 
 

@@ -3,8 +3,10 @@
 import hashlib
 import random
 import time
+import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -192,6 +194,37 @@ def test_toxicity(spark):
     assert {x["predicted"] for x in toxicity.scored(edge, nothing).collect()} == {0}
 
 
+def test_toxicity_fit_sends_the_driver_only_chosen_features(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    common = [f"{a}{b}{c}" for a in ("ba", "do", "ki", "lu") for b in ("mer", "nat", "sol", "tir") for c in ("an", "eth", "is", "om", "ux")]
+    lines = []
+    for i in range(600):
+        words = [str(w) for w in rng.permutation(common)[:70]] + (["idiot", "moron"] if i % 5 == 0 else [])
+        lines.append((i, " ".join(words), int(i % 5 == 0)))
+    docs = spark.createDataFrame([x[:2] for x in lines], "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame([(i, y) for i, _, y in lines], "doc_id bigint, toxic int")
+    sent, plain = [], type(docs).toArrow
+
+    def counted(df):
+        out = plain(df)
+        if "found" in out.column_names:
+            sent.append(sum(len(f) for f in out["found"].to_pylist()) // 4)
+        return out
+
+    monkeypatch.setattr(type(docs), "toArrow", counted)
+    model = toxicity.fit(docs, labels)
+    # The same model from all features at once: those of the toxic rows that are e times likelier there, weighted by the same fit.
+    taught = [(y, toxicity.Reader(model.reader.cost).features(text)) for i, text, y in lines if zlib.crc32(str(i).encode()) % 4 != 2]
+    ones, zeros = sum(y for y, _ in taught), sum(1 - y for y, _ in taught)
+    n1, n0 = (Counter(f for y, found in taught if y == label for f in found) for label in (1, 0))
+    chosen = {f for f, n in n1.items() if n >= 3 and np.log((n + 0.5) / (ones + 1)) - np.log((n0[f] + 0.5) / (zeros + 1)) > 1}
+    assert set(model.reader.chosen) == chosen and 0 < len(chosen) < 20
+    rows = [[model.reader.chosen[f] for f in found if f in chosen] for _, found in taught]
+    weights, bias = toxicity._logistic(np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.array(sum(rows, [])), np.array([y for y, _ in taught], float), len(chosen))
+    assert np.allclose([model.weights[model.reader.chosen[f]] for f in sorted(chosen)], [weights[model.reader.chosen[f]] for f in sorted(chosen)]) and np.isclose(model.bias, bias)
+    assert sum(sent) == sum(len(r) for r in rows)
+
+
 def brute_measures(text):
     text = text or ""
     blank = "\x20\x09\x0a\x0b\x0c\x0d"
