@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seqalert.contract.base import abi_map, li_tokens, query, table
+from seqalert.contract.base import abi_map, li_tokens, query, scratch, table
 from seqalert.operators import abi, ordering, windows as win
 
 
@@ -145,15 +145,41 @@ def _(s, d):
     return abi.lookup(queries, abi_map(s, d)).select("l_orderkey", "l_linenumber", "answer")
 
 
+def _stored(s, rows):
+    """Rows that several passes read, in column files: a pass reads the columns that it needs, where a checkpoint gives whole rows one by one."""
+    path = scratch(s)
+    rows.write.parquet(path)
+    return s.read.parquet(path)
+
+
 def _job(s, d):
-    """Every supplier's line items as one file: those with an odd number of items as names, the others as numbers."""
-    named = ordering.cut(_named(s, d).select("trace_id", "pos", F.col("token").alias("name")))
-    sizes = named.groupBy("trace_id").agg((F.count(F.lit(1)) % 2 == 1).alias("as_names"))
-    numbers = li_tokens(s, d).select("trace_id", "pos", F.col("token").cast("string").alias("number"))
-    rows = named.join(sizes, "trace_id").join(numbers, ["trace_id", "pos"])
-    tokens = rows.select("trace_id", "pos", F.when(F.col("as_names"), F.col("name")).otherwise(F.col("number")).alias("token"))
-    files = sizes.select("trace_id", F.concat(F.lit("inbox/"), "trace_id", F.lit(".txt")).alias("path"))
-    return files, ordering.cut(tokens)
+    """Every supplier's line items as one file: those with an odd number of named items as names, the others as numbers.
+
+    Files are counted first, so that a line item is sorted once, as a name or as a number. Where parts are missing or repeat, a supplier has more rows
+    of one kind than of the other; its file ends with the shorter."""
+    l, p = table(s, d, "lineitem"), table(s, d, "part")
+    keys = p.groupBy("p_partkey").agg(F.count(F.lit(1)).alias("_k"))
+    sizes = l.join(keys, F.col("p_partkey") == F.col("l_partkey"), "left").groupBy("l_suppkey").agg(F.sum(F.coalesce("_k", F.lit(0))).alias("named"), F.count(F.lit(1)).alias("numbered"))
+    sizes = ordering.cut(sizes.where("named > 0"))
+    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"]
+
+    def tokens(of, rows, token, count):
+        of = ordering.cut(of)
+        some = ordering.share(of.select("l_suppkey"))
+        out = win.tokens_from(rows(l.join(some, "l_suppkey", "left_semi")), "l_suppkey", order, token, sizes=tuple(of.agg(F.max(count), F.sum(count)).head()))
+        # Where all files are as long as names and numbers are, there is nothing to end.
+        short = of.where("named <> numbered").select(F.col("l_suppkey").cast("string").alias("trace_id"), F.least("named", "numbered").alias("_end"))
+        if short.isEmpty():
+            return out
+        return out.join(ordering.share(short), "trace_id", "left").where("_end IS NULL OR pos < _end").drop("_end")
+
+    name = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), F.replace("p_brand", F.lit("#"), F.lit("")))
+    known = sizes.where("l_suppkey IS NOT NULL")
+    names = tokens(known.where("named % 2 = 1"), lambda rows: rows.join(p, F.col("p_partkey") == F.col("l_partkey")), name, "named")
+    numbers = tokens(known.where("named % 2 = 0"), lambda rows: rows, (F.col("l_partkey") % 341).cast("int").cast("string"), "numbered")
+    trace = F.col("l_suppkey").cast("string")
+    files = sizes.select(trace.alias("trace_id"), F.concat(F.lit("inbox/"), trace, F.lit(".txt")).alias("path"))
+    return files, _stored(s, names.unionByName(numbers))
 
 
 @query(
@@ -209,7 +235,7 @@ def _(s, d):
     files, tokens = _job(s, d)
     m = ordering.cut(abi_map(s, d))
     resolved = ordering.cut(abi.resolve_abi(files, tokens, m))
-    converted = ordering.cut(abi.convert(resolved, tokens, m))
+    converted = _stored(s, abi.convert(resolved, tokens, m))
     return abi.validate_conversion(abi.conversion_report(resolved, converted), converted, m)
 
 

@@ -248,3 +248,28 @@ def test_phrases_are_counted_as_scikit_learn_does(spark):
     assert {e[0]: e[2] for e in model.entries} == want
     x = model.matrix(wins)
     assert np.allclose(np.linalg.norm(x, axis=1), 1) and x[2, next(e[1] for e in model.entries if e[0] == "5 5 5")] > 0
+
+
+def test_conversion_job_numbers_a_line_item_once(spark, tmp_path, monkeypatch):
+    """Files with missing and repeated parts, against brute force; no row is sorted both as a name and as a number."""
+    from seqalert.contract import abi_queries
+
+    parts = [(k, f"n {k}", f"B#{k}", "T", 5, 1.0) for k in range(9)] + [(3, "n 3", "B#3", "T", 5, 1.0)]  # 3 comes twice, from 9 on none
+    items = {1: [0, 1, 2], 2: [4, 5], 3: [3, 6], 4: [7, 9, 8], 5: [3, 12], 6: [11], 7: [3, 3], 8: [8, None, 9, 7, 6], None: [1, 2, 4]}
+    rows = [(100 + i, part, supplier, i) for supplier, keys in items.items() for i, part in enumerate(keys)]
+    spark.createDataFrame(parts, "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    lines = spark.createDataFrame(rows, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int").withColumn("l_shipdate", F.lit("2024-01-01").cast("timestamp"))
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    seen, plain = [], ordering.number_rows
+    monkeypatch.setattr(ordering, "number_rows", lambda df, *a, **k: seen.append(df.count()) or plain(df, *a, **k))
+    files, tokens = abi_queries._job(spark, str(tmp_path))
+    want, sorted_rows = {}, 0
+    for supplier, keys in items.items():
+        named = [f"n_{k}_B{k}" for k in keys if k is not None and k < 9 for _ in range(2 if k == 3 else 1)]
+        kind = named if len(named) % 2 else [None if k is None else str(k) for k in keys]
+        if supplier is not None and named:
+            want |= {(str(supplier), i): x for i, x in enumerate(kind[: min(len(named), len(keys))])}
+            sorted_rows += len(kind)
+    assert {(r["trace_id"], r["pos"]): r["token"] for r in tokens.collect()} == want and tokens.count() == len(want)
+    assert sorted((r["trace_id"] or "", r["path"] or "") for r in files.collect()) == [("", "")] + [(str(i), f"inbox/{i}.txt") for i in (1, 2, 3, 4, 5, 7, 8)]
+    assert sum(seen) == sorted_rows
