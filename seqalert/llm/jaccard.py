@@ -27,6 +27,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +49,8 @@ OFTEN, COMMON = 4, 500_000
 #: classes of size, each reaching to CLASS times its least size.
 TASK_DOCS, TASK_SHINGLES = 20_000, 4_000_000
 CLASSED, CLASS = 20, 1.3
+#: Most bytes of ids that the driver sends to all tasks, as plain arrays: a hashed table of the rows takes six times as much, and more while it grows.
+SENT = 24 << 20
 
 
 def least_overlap(n: int, m: int, percent: int) -> int:
@@ -284,6 +287,54 @@ def _dealt(df: DataFrame, keys: list[str], *then: str) -> DataFrame:
     return df.repartition(*keys).sortWithinPartitions(*keys, *then, "doc_id")
 
 
+def _sent(table: DataFrame) -> Broadcast | None:
+    """The columns of the stored ``table`` (all long) as arrays in the order of the first, or None if they take more than ``SENT`` bytes."""
+    rows = SENT // (8 * len(table.columns))
+    if table.limit(rows + 1).count() > rows:
+        return None
+    told = table.toArrow()
+    cols = [told[c].to_numpy() for c in table.columns]
+    order = np.argsort(cols[0], kind="stable")
+    return table.sparkSession.sparkContext.broadcast([c[order] for c in cols])
+
+
+def _with_blocks(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``docs`` with a row for each ``block`` that the stored table ``pairs`` (``doc_id``, ``block``) has for them. Texts stay where they lie while
+    the pairs fit ``SENT``; beyond, both are shuffled."""
+    told = _sent(pairs.select("doc_id", "block"))
+    if told is None:
+        return docs.join(pairs.select("doc_id", "block"), "doc_id")
+
+    @F.arrow_udf("array<bigint>")
+    def blocks(col: pa.Array) -> pa.Array:
+        ids, block = told.value
+        doc = col.fill_null(0).to_numpy(zero_copy_only=False)
+        first = np.searchsorted(ids, doc)
+        held = (np.searchsorted(ids, doc, "right") - first) * col.is_valid().to_numpy(zero_copy_only=False)
+        ends = np.append(0, held.cumsum())
+        at = np.repeat(first - ends[:-1], held) + np.arange(ends[-1])
+        return pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(block[at], pa.int64()))
+
+    return docs.withColumn("block", F.explode(blocks("doc_id")))
+
+
+def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``doc_id`` is in the stored table ``ids``, found as in ``_with_blocks``."""
+    told = _sent(ids)
+    if told is None:
+        return docs.join(ids, "doc_id", "left_semi").select(docs.columns)
+
+    @F.arrow_udf("boolean")
+    def among(col: pa.Array) -> pa.Array:
+        (held,) = told.value
+        doc = col.fill_null(0).to_numpy(zero_copy_only=False)
+        at = np.searchsorted(held, doc)
+        found = held[np.minimum(at, len(held) - 1)] == doc if len(held) else np.zeros(len(doc), bool)
+        return pa.array(found & col.is_valid().to_numpy(zero_copy_only=False))
+
+    return docs.where(among(F.col("doc_id").cast("bigint")))
+
+
 def near_groups(
     docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", task_docs: int = TASK_DOCS, held: int = HELD,
     task_shingles: int = TASK_SHINGLES,
@@ -324,13 +375,15 @@ def near_groups(
     chunks = F.ceil(F.greatest(F.col("sets") / task_docs, F.col("load") / task_shingles)).cast("int")
     sized = sized.select("block", "pivot", chunks.alias("chunks"), F.ceil(F.col("sets") / chunks).alias("asked"))
     chosen = cut(dealt.select("doc_id", "block").distinct().join(sized, "block"))
-    texts = docs.join(share(chosen), "doc_id")
     chunk = F.expr("pmod(xxhash64(doc_id), chunks)").cast("int")
-    alone = texts.where("chunks = 1").select("block", F.lit(0).alias("chunk"), "doc_id", "text")
+    alone = _with_blocks(docs, chosen.where("chunks = 1")).select("block", F.lit(0).alias("chunk"), "doc_id", "text")
     found = _dealt(alone, ["block", "chunk"]).mapInArrow(_search(k, percent), "block bigint, a bigint, b bigint")
     found = found.select("a", "b")
-    if not chosen.where("chunks > 1").isEmpty():
-        large = cut(texts.where("chunks > 1").withColumn("chunk", chunk))
+    split = chosen.where("chunks > 1")
+    if not split.isEmpty():
+        # One row per block that is too large for a task.
+        shape = share(cut(split.select("block", "pivot", "chunks", "asked").distinct()))
+        large = cut(_with_blocks(docs, split).join(shape, "block").withColumn("chunk", chunk))
         pivots = large.where("doc_id = pivot").withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)")))
         local = large.where("doc_id <> pivot").unionByName(pivots).select("block", "chunk", "doc_id", "text")
         inner = cut(_dealt(local, ["block", "chunk"]).mapInArrow(_search(k, percent), "block bigint, a bigint, b bigint"))
@@ -361,13 +414,14 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     nameless = docs.where("doc_id is null")
     if known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
         stays = near_groups(known, k, percent).where("doc_id = component_id").select("doc_id")
-        return known.join(share(cut(stays)), "doc_id", "left_semi").select(docs.columns).union(nameless)
+        return _among(known, cut(stays)).union(nameless)
     digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
     texts = known.select("doc_id", "text", digest.alias("digest"))
     numbers = cut(texts.select("doc_id", "digest").distinct().withColumn("number", F.monotonically_increasing_id()))
     groups = near_groups(texts.join(numbers, ["doc_id", "digest"]).select("number", "text"), k, percent, doc_id="number")
     named = groups.distinct().join(numbers, groups["doc_id"] == numbers["number"]).select("component_id", F.struct(numbers["doc_id"], "digest").alias("_least"))
-    stays = share(cut(named.groupBy("component_id").agg(F.min("_least").alias("_least")).select("_least.*")))
+    # A row with its digest takes about 256 bytes of a hashed table.
+    stays = share(cut(named.groupBy("component_id").agg(F.min("_least").alias("_least")).select("_least.*")), SENT // 256)
     kept = known.join(stays, (known["doc_id"] == stays["doc_id"]) & (digest == stays["digest"]), "left_semi")
     order = F.sha2(F.to_json(F.struct(*docs.columns)).cast("binary"), 256)
     one = kept.groupBy(F.col("doc_id").alias("_of"), digest.alias("_text")).agg(F.min_by(F.struct(*docs.columns), order).alias("_row"))

@@ -87,6 +87,24 @@ def test_keep_one(spark, repeats):
     assert sum(d is None for d, _ in got) == 1
 
 
+@pytest.mark.parametrize("sent", [jaccard.SENT, 0])
+def test_ids_reach_the_tasks_as_arrays(spark, monkeypatch, sent):
+    """The driver hashes no table of ids: they are sent as plain arrays, or shuffled where they are too many."""
+    rows = list({d: (d, t) for d, t in near_texts(9)}.values())
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("block", F.lit(1))
+    shared = []
+    monkeypatch.setattr(jaccard, "share", lambda df, *bound: shared.append(df.columns) or df)
+    monkeypatch.setattr(jaccard, "SENT", sent)
+    kept = jaccard.keep_one(docs)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert not shared and ("ArrowEvalPython" in plan) == (sent > 0)
+    sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    assert {(r["doc_id"], sha(r["text"])) for r in kept.collect() if r["doc_id"] is not None} == brute_kept(rows)
+    got = jaccard.near_groups(docs, 3, 60, task_docs=3)
+    assert shared == [["block", "pivot", "chunks", "asked"]]
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute_groups(rows, 3, 60)
+
+
 def test_kept_rows_of_an_id_do_not_depend_on_the_parts(spark):
     texts = [f"text number {i} tells of things that no other text has told {i * i}" for i in range(12)]
     near = " ".join(f"w{i}" for i in range(80))
