@@ -273,3 +273,46 @@ def test_conversion_job_numbers_a_line_item_once(spark, tmp_path, monkeypatch):
     assert {(r["trace_id"], r["pos"]): r["token"] for r in tokens.collect()} == want and tokens.count() == len(want)
     assert sorted((r["trace_id"] or "", r["path"] or "") for r in files.collect()) == [("", "")] + [(str(i), f"inbox/{i}.txt") for i in (1, 2, 3, 4, 5, 7, 8)]
     assert sum(seen) == sorted_rows
+
+
+@pytest.mark.parametrize("run,task_rows", [(1 << 18, None), (64, 50)])
+def test_auc_of_runs_is_that_of_the_score_table(spark, monkeypatch, run, task_rows):
+    monkeypatch.setattr(curves, "RUN", run)
+    rng = np.random.default_rng(3)
+    rows = [("a", float(np.round(s, 1)), int(s + rng.normal() > 0)) for s in rng.normal(size=900)]
+    rows += [("b", 5.0, i % 2) for i in range(300)] + [("c", float(i), 1) for i in range(9)] + [(None, float(i % 7), i % 3) for i in range(60)]
+    rows += [("a", None, 1), ("b", 1.0, None), ("b", float("nan"), 1), ("b", float("nan"), 0), ("d", -0.0, 1), ("d", 0.0, 0)]
+    df = spark.createDataFrame(rows, "k string, score double, y int").repartition(5)
+    want = {r["k"]: r["auc"] for r in curves.roc_auc(curves.score_table(df, by=["k"]), ["k"]).collect()}
+    runs = None
+    for k in "abcd":
+        one = curves.score_runs(df.where(F.col("k") == k)).select(F.lit(k).alias("k"), "n", "run")
+        runs = one if runs is None else runs.unionByName(one)
+    runs = runs.unionByName(curves.score_runs(df.where("k is null")).select(F.lit(None).cast("string").alias("k"), "n", "run"))
+    got = {r["k"]: r["auc"] for r in curves.roc_auc_of_runs(ordering.cut(runs), ["k"], task_rows).collect()}
+    assert got.keys() == want.keys() and got["c"] is None and got["d"] == 0.5
+    assert all(got[k] == want[k] or got[k] == pytest.approx(want[k], abs=1e-12) for k in got)
+
+
+def test_abi_impact_stores_no_row_per_window(spark, monkeypatch):
+    """Two scorers under two ABIs against brute force; the tokens are read once, and every stored table is small beside the windows."""
+    from seqalert.plans import protocols
+
+    rng = np.random.default_rng(8)
+    traces = {f"t{i}": rng.integers(0, 9, 90).tolist() for i in range(30)} | {"none": [1] * 40}
+    tokens = spark.createDataFrame([(t, i, x) for t, seq in traces.items() for i, x in enumerate(seq)], "trace_id string, pos bigint, token int")
+    labels = spark.createDataFrame([(f"t{i}", int(i % 3 == 0)) for i in range(30)], "trace_id string, y int")
+    abi_map = spark.createDataFrame([(abi, f"n{i}", (i * k) % 9, 0, True, False) for abi, k in (("a", 1), ("b", 2)) for i in range(7)], "abi string, name string, number int, ord bigint, common boolean, anchor boolean")
+    stored, plain = [], ordering.cut
+    monkeypatch.setattr(ordering, "cut", lambda df: stored.append((out := plain(df)).count()) or out)
+    sizes = []
+    scorers = {"sum": lambda w: w.withColumn("score", F.expr("aggregate(win, 0D, (a, x) -> a + x)")), "last": lambda w: w.withColumn("score", F.col("win")[19].cast("double"))}
+    got = {(r["config"], r["scorer"]): r["auc"] for r in protocols.abi_impact(tokens, labels, abi_map, [("a", "b")], 9, lambda benign: sizes.append(benign.count()) or scorers).collect()}
+    assert sizes == [20 * 36] and max(stored) < 100
+    read = {"correct": lambda x: x, "a_to_b": lambda x: x * 2 % 9 if x < 7 else 0}
+    for config, f in read.items():
+        wins = [(int(t[1:]) % 3 == 0, [f(x) for x in seq[i : i + 20]]) for t, seq in traces.items() if t != "none" for i in range(0, 71, 2)]
+        for name, score in (("sum", sum), ("last", lambda w: w[-1])):
+            up, down = [score(w) for y, w in wins if y], [score(w) for y, w in wins if not y]
+            won = sum((a > b) + (a == b) / 2 for a in up for b in down)
+            assert got[config, name] == pytest.approx(won / len(up) / len(down))
