@@ -294,3 +294,66 @@ def test_markov_scores_windows_in_one_pass(spark):
             grams = [(tuple(v[i : i + k]), v[i + k]) for i in range(len(v or []) - k)] if t else []
             want = -sum(math.log(p[g]) if g in p else UNSEEN for g in grams) / max(1, len(v or []) - k)
             assert abs(got[t, w] - want) < 1e-9
+
+
+def test_counts_of_tasks_equal_those_of_rows(spark, monkeypatch):
+    """N-grams are counted inside tasks, in any number of parts; windows with missing tokens and short ones count as before."""
+    import numpy as np
+
+    from seqalert.operators import features
+
+    rng = np.random.default_rng(6)
+    wins = [rng.integers(-3, 40, n).tolist() for n in rng.integers(0, 15, 80)] + [[7, 7, 7], [], [5]]
+    holes = [[1, None, 2], [None], [None, None, 3, 1]]
+    schema = "trace_id string, w bigint, win array<int>"
+    frames = [spark.createDataFrame([("a", i, w) for i, w in enumerate(x)], schema).repartition(3) for x in (wins, wins + holes + [None])]
+    made, plain = [], features._Tfidf._counts
+    monkeypatch.setattr(features._Tfidf, "_counts", lambda self, df: made.append(df.count()) or plain(self, df))
+    for held in (features.HELD, 30):
+        monkeypatch.setattr(features, "HELD", held)
+        for df in frames:
+            for make in (lambda: features.WordTfidf(5000), lambda: features.WordTfidf(5000, bigrams=False), lambda: features.PhraseTfidf(5000, 3), lambda: features.CharTfidf(5000, 3, 5)):
+                del made[:]
+                got = make().fit(df)
+                assert made == [3 if df is frames[1] else 0]
+                want = plain(got, df).collect()
+                assert sorted((e[0] is None, e[0] or 0, e[2], e[3] or 0) for e in got.entries if not isinstance(e[0], str)) == sorted((r[0] is None, r[0] or 0, r[1], r[2] or 0) for r in want if not isinstance(r[0], str))
+                assert sorted((e[0], e[2], e[3]) for e in got.entries if isinstance(e[0], str)) == sorted(tuple(r) for r in want if isinstance(r[0], str))
+
+
+def test_cells_equal_counts_by_name():
+    from collections import Counter
+
+    import numpy as np
+
+    from seqalert.operators import features
+
+    rng = np.random.default_rng(2)
+    wins = [np.array(rng.integers(0, 6, n), dtype=np.int32) for n in (12, 1, 0, 3, 12)]
+    for tfidf in (features.PhraseTfidf(9, 3), features.PhraseTfidf(9, 4), features.CharTfidf(9, 3, 5)):
+        name = lambda w: tfidf._named(int(w)) if isinstance(tfidf, features.CharTfidf) else []
+        def grams(w):
+            if isinstance(tfidf, features.CharTfidf):
+                return [g for t in w for g in name(t)]
+            return [" ".join(str(int(t)) for t in w[i : i + n]) for n in range(1, tfidf.longest + 1) for i in range(len(w) - n + 1)]
+
+        known = sorted({g for w in wins for g in grams(w)})[::2]
+        tfidf.entries = [(g, i, 1, 1, 1.0) for i, g in enumerate(known)]
+        want = [(r, i, float(n)) for r, w in enumerate(wins) for i, n in sorted((known.index(g), n) for g, n in Counter(grams(w)).items() if g in known)]
+        assert list(zip(*(x.tolist() for x in tfidf.cells(wins)))) == want
+
+
+def test_residuals_of_several_sizes_share_a_product():
+    import numpy as np
+
+    from seqalert.operators import features
+
+    rng = np.random.default_rng(1)
+    x = np.where(rng.random((300, 30)) < 0.2, rng.random((300, 30)), 0)
+    x[7] = 0
+    r, c = np.nonzero(x)
+    for method in ("pca", "svd"):
+        few, many = features._projections(300, x.sum(axis=0), x.T @ x, method, [4, 11])
+        got = many.residuals_of_cells([4, 11], 300, r, c, x[r, c])
+        for model, one in zip((few, many), got):
+            assert np.allclose(one, model.residual(x), atol=1e-12) and np.array_equal(one, model.residual_of_cells(300, r, c, x[r, c]))
